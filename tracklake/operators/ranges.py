@@ -104,7 +104,7 @@ def distance_to_anchor(points: DataFrame, lat: float, lon: float) -> DataFrame:
 def with_steps(points: DataFrame) -> DataFrame:
     """Add ``step_km``, the distance from the previous point (0 at the start)."""
     near = neighbors(points, ["traj_id"], "pos", {"_la": ("lat", -1), "_lo": ("lon", -1)}, "traj_id")
-    step = F.coalesce(haversine_km("_la", "_lo", "lat", "lon"), F.lit(0.0))
+    step = F.coalesce(haversine_km("_la", "_lo", "lat", "lon", floor=1e-9), F.lit(0.0))
     return near.withColumn("step_km", step).drop("_la", "_lo")
 
 
