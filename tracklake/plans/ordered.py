@@ -83,9 +83,10 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str, b
     if bound_key is not None and not is_hot(df, bound_key):
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    ranked = order_index(df, [*(F.col(k) for k in keys), *order], out="_idx")
-    first = ranked.groupBy(*keys).agg(F.min("_idx").alias("_first"))
-    return ranked.join(first, keys).withColumn(out, F.col("_idx") - F.col("_first") + 1).drop("_idx", "_first")
+    ranked = order_index(df, [*(F.col(k) for k in keys), *order], out="_rank_at")
+    first = ranked.groupBy(*keys).agg(F.min("_rank_at").alias("_rank_from"))
+    place = F.col("_rank_at") - F.col("_rank_from") + 1
+    return ranked.join(first, keys).withColumn(out, place).drop("_rank_at", "_rank_from")
 
 
 def neighbors(
