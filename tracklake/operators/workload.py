@@ -123,15 +123,14 @@ def profile_table(spark: SparkSession) -> DataFrame:
 
 
 def _with_cell(points: DataFrame, bins: int) -> DataFrame:
-    e = points.select(F.struct(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))).scalar()
-    boxed = points.withColumn("_e", e)
+    e = extent(points).first()
 
-    def at(value: str, low: str, high: str) -> Column:
-        low, high = F.col(f"_e.{low}"), F.col(f"_e.{high}")
-        span = F.greatest(high - low, F.lit(1e-6))
-        return F.least(F.greatest(F.floor((F.col(value) - low) / span * (bins - 1)), F.lit(0)), F.lit(bins - 1))
+    def at(axis: str) -> Column:
+        low, span = e[f"{axis}_min"], max(e[f"{axis}_max"] - e[f"{axis}_min"], 1e-6)
+        cell = F.floor((F.col(axis) - F.lit(low)) / F.lit(span) * (bins - 1))
+        return F.least(F.greatest(cell, F.lit(0)), F.lit(bins - 1))
 
-    return boxed.withColumn("_cell", at("lat", "a", "b") * bins + at("lon", "c", "d")).drop("_e")
+    return points.withColumn("_cell", at("lat") * bins + at("lon"))
 
 
 def _cell_sizes(points: DataFrame, bins: int) -> DataFrame:
@@ -146,9 +145,10 @@ def _cell_sizes(points: DataFrame, bins: int) -> DataFrame:
 def normalized(df: DataFrame, raw: str, out: str) -> DataFrame:
     """Divide by the total; equal shares if the total is zero."""
     clean = F.greatest(F.coalesce(F.nanvl(F.col(raw), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    total = df.select(F.struct(F.sum(clean).alias("s"), F.count(F.lit(1)).alias("n"))).scalar()
-    share = F.when(F.col("_t.s") > 1e-12, clean / F.col("_t.s")).otherwise(1.0 / F.col("_t.n"))
-    return df.withColumn("_t", total).withColumn(out, share).drop("_t")
+    total = df.agg(F.sum(clean).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    if (total["s"] or 0.0) > 1e-12:
+        return df.withColumn(out, clean / F.lit(total["s"]))
+    return df.withColumn(out, F.lit(1.0 / max(1, total["n"])))
 
 
 def density_weights(points: DataFrame, bins: int = GRID_BINS) -> DataFrame:
@@ -173,20 +173,19 @@ def turn_weights(points: DataFrame) -> DataFrame:
     angle = F.abs(F.col("heading") - F.col("_h"))
     angle = F.coalesce(F.greatest(F.least(angle, 360.0 - angle), F.lit(0.0)) / 180.0, F.lit(0.0))
     near = near.withColumns({"_angle": angle, "_dv": F.coalesce(F.abs(F.col("speed") - F.col("_s")), F.lit(0.0))})
-    top = near.select(F.max("_dv")).scalar()
-    near = near.withColumn("_top", top)
-    change = F.when(F.col("_top") > 1e-6, F.col("_dv") / F.col("_top")).otherwise(F.col("_dv"))
+    top = near.agg(F.max("_dv")).first()[0] or 0.0
+    change = F.col("_dv") / F.lit(top) if top > 1e-6 else F.col("_dv")
     raw = 1.0 + 8.0 * F.greatest("turn_score", F.lit(0.0)) + 4.0 * F.col("_angle") + 2.0 * change
     done = normalized(near.withColumn("_raw", raw), "_raw", "turn")
-    return done.drop("_raw", "_h", "_s", "_angle", "_dv", "_top")
+    return done.drop("_raw", "_h", "_s", "_angle", "_dv")
 
 
 def port_weights(points: DataFrame, bins: int = GRID_BINS) -> DataFrame:
     """Dense, track ends, and slow: 0.35 / 0.35 / 0.30, each normalised."""
     both = endpoint_weights(density_weights(points, bins))
     both = both.withColumn("_speed", F.greatest("speed", F.lit(0.0)))
-    limit = quantiles(both.select("traj_id", "pos", "_speed"), "_speed", {"p": 0.30}, ["traj_id", "pos"]).scalar()
-    both = both.withColumn("_slow", F.when(F.col("_speed") <= limit, 1.0).otherwise(F.lit(0.0)))
+    limit = quantiles(both.select("traj_id", "pos", "_speed"), "_speed", {"p": 0.30}, ["traj_id", "pos"]).first()["p"]
+    both = both.withColumn("_slow", F.when(F.col("_speed") <= F.lit(limit), 1.0).otherwise(F.lit(0.0)))
     both = normalized(both, "_slow", "_slow_share")
     raw = 0.35 * F.col("density") + 0.35 * F.col("endpoint") + 0.30 * F.col("_slow_share")
     done = normalized(both.withColumn("_raw", raw), "_raw", "port")
@@ -207,8 +206,8 @@ def anchor_weights(points: DataFrame, kind: str) -> DataFrame:
 def all_weights(points: DataFrame) -> DataFrame:
     """Every weight side by side, written once for the whole generation."""
     wide = turn_weights(endpoint_weights(sparse_weights(density_weights(points))))
-    limit = quantiles(points.select("traj_id", "pos", F.greatest("speed", F.lit(0.0)).alias("v")), "v", {"p": 0.30}, ["traj_id", "pos"]).scalar()
-    slow = F.when(F.greatest("speed", F.lit(0.0)) <= limit, 1.0).otherwise(F.lit(0.0))
+    limit = quantiles(points.select("traj_id", "pos", F.greatest("speed", F.lit(0.0)).alias("v")), "v", {"p": 0.30}, ["traj_id", "pos"]).first()["p"]
+    slow = F.when(F.greatest("speed", F.lit(0.0)) <= F.lit(limit), 1.0).otherwise(F.lit(0.0))
     wide = normalized(wide.withColumn("_slow", slow), "_slow", "_slow_share")
     port = 0.35 * F.col("density") + 0.35 * F.col("endpoint") + 0.30 * F.col("_slow_share")
     wide = wide.withColumns({"port": port, "uniform": F.lit(1.0)})
