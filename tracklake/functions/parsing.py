@@ -48,3 +48,8 @@ def epoch_seconds_ntz(ts: Column | str) -> Column:
     """Seconds since 1970 as double for a timestamp without zone, read as UTC."""
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return F.timestamp_diff("MICROSECOND", origin, ts) / F.lit(1e6)
+
+
+def epoch_day(t: str = "t") -> Column:
+    """UTC date of epoch seconds, whatever the session time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(t) / 86400.0).cast("int"))

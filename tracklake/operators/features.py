@@ -230,6 +230,31 @@ def apply_minmax(features: DataFrame, scaler: DataFrame, cols: list[str]) -> Dat
 # ---- nearest neighbours -------------------------------------------------------------------
 
 
+class _Search:
+    """Best k rows of one block of history for one batch of points."""
+
+    def __init__(self, names: list[str], scale: np.ndarray, k: int, leave_one_out: bool):
+        self.names, self.scale, self.k, self.leave_one_out = names, scale, k, leave_one_out
+
+    def __call__(self, pdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        base, target = block[self.names].to_numpy(float) * self.scale, block["target"].to_numpy(float)
+        ident, take = block[POINT].to_numpy(np.int64), min(self.k + self.leave_one_out, len(block))
+        out = [pd.DataFrame({"traj_id": [], "pos": [], "d2": [], "target": []}).astype({"traj_id": "int64", "pos": "int64"})]
+        for low in range(0, len(pdf) if take else 0, 256):
+            part = pdf.iloc[low : low + 256]
+            x = part[self.names].to_numpy(float) * self.scale
+            d2 = np.stack([((base - row) ** 2).sum(axis=1) for row in x])
+            if self.leave_one_out:
+                own = part[POINT].to_numpy(np.int64)
+                d2[(own[:, None, 0] == ident[None, :, 0]) & (own[:, None, 1] == ident[None, :, 1])] = np.inf
+            best = np.lexsort((np.broadcast_to(target, d2.shape), d2), axis=1)[:, : min(self.k, take)]
+            rows = np.repeat(np.arange(len(part)), best.shape[1])
+            found = pd.DataFrame({p: part[p].to_numpy()[rows] for p in POINT})
+            found["d2"], found["target"] = d2[rows, best.ravel()], target[best.ravel()]
+            out.append(found[np.isfinite(found["d2"])])
+        return pd.concat(out, ignore_index=True)
+
+
 def knn_prior_score(
     points: DataFrame,
     history: DataFrame,
@@ -242,52 +267,50 @@ def knn_prior_score(
     """Mean target of the k nearest history rows, weighted by 1 / (distance^2 + 1e-4).
 
     ``history`` has (traj_id, pos, target) and the feature columns; ``leave_one_out``
-    skips the row of the point itself.  History is read in blocks of bounded size;
-    each block gives every point its best k, and the blocks are merged per point.
+    skips the row of the point itself.  A history of at most ``block_rows`` rows is
+    broadcast.  A longer one is cut into blocks of that size: every block meets every
+    group of points in a task of its own, gives each point its best k, and the
+    blocks are merged per point.
     """
-    spark = points.sparkSession
     scale = np.sqrt(np.array(weights if weights is not None else [1.0] * len(cols)))
     names = [f"_f{i}" for i in range(len(cols))]
-    need = points.select(*POINT, *[F.col(c).alias(n) for c, n in zip(cols, names)])
-    numbered = order_index(history.select(*POINT, "target", *[F.col(c).alias(n) for c, n in zip(cols, names)]), [F.col(p) for p in POINT], "_i")
-    total = numbered.count()
-    parts = None
-    for start in range(0, max(1, total), block_rows):
-        block = numbered.filter(F.col("_i").between(start, start + block_rows - 1)).toPandas()
-        shared = spark.sparkContext.broadcast(
-            (block[names].to_numpy(float) * scale, block["target"].to_numpy(float), block[POINT].to_numpy(np.int64))
-        )
-
-        def nearest(batches, shared=shared):
-            base, target, ident = shared.value
-            norm = (base * base).sum(axis=1)
+    renamed = [F.col(c).alias(n) for c, n in zip(cols, names)]
+    need = points.select(*POINT, *renamed)
+    kept = materialize(history.select(*POINT, "target", *renamed))
+    total = kept.count()
+    search = _Search(names, scale, k, leave_one_out)
+    schema = "traj_id bigint, pos bigint, d2 double, target double"
+    if total <= block_rows:
+        base = points.sparkSession.sparkContext.broadcast(kept.toPandas())
+
+        def nearest(batches):
             for pdf in batches:
-                out = []
-                for lo in range(0, len(pdf), 256):
-                    part = pdf.iloc[lo : lo + 256]
-                    x = part[names].to_numpy(float) * scale
-                    d2 = np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * x @ base.T + norm[None, :], 0.0)
-                    if leave_one_out:
-                        same = (part[POINT].to_numpy(np.int64)[:, None, :] == ident[None, :, :]).all(axis=2)
-                        d2[same] = np.inf
-                    take = min(k, d2.shape[1])
-                    best = np.argpartition(d2, take - 1, axis=1)[:, :take] if take else np.empty((len(part), 0), int)
-                    rows = np.repeat(np.arange(len(part)), best.shape[1])
-                    flat = best.ravel()
-                    got = pd.DataFrame({p: part[p].to_numpy()[rows] for p in POINT})
-                    got["d2"], got["target"] = d2[rows, flat], target[flat]
-                    got["h"] = flat + start
-                    out.append(got[np.isfinite(got["d2"])])
-                yield pd.concat(out) if out else pd.DataFrame(columns=[*POINT, "d2", "target", "h"])
-
-        found = need.mapInPandas(nearest, "traj_id bigint, pos bigint, d2 double, target double, h bigint")
-        parts = found if parts is None else parts.unionByName(found)
-    if total > block_rows:
-        parts = rank_within(parts, POINT, [F.col("d2"), F.col("h")], "_r", None).filter(F.col("_r") <= k)
+                yield search(pdf, base.value)
+
+        parts = need.mapInPandas(nearest, schema)
+    else:
+        parts = _blocked(need, kept, search, schema, total, block_rows)
+        parts = rank_within(parts, POINT, [F.col("d2"), F.col("target")], "_r", None).filter(F.col("_r") <= k)
     w = 1.0 / (F.col("d2") + 1e-4)
     return parts.groupBy(*POINT).agg((F.sum(w * F.col("target")) / F.sum(w)).alias("score"))
 
 
+def _blocked(need: DataFrame, kept: DataFrame, search: _Search, schema: str, total: int, block_rows: int) -> DataFrame:
+    """Every (block of history, group of points) pair as one cogrouped task."""
+    blocks = math.ceil(total / block_rows)
+    groups = max(1, math.ceil(need.count() / block_rows))
+
+    def spread(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def place(n: int) -> Column:
+        return F.pmod(F.xxhash64(*POINT), F.lit(n)).cast("int")
+
+    left = need.withColumn("_g", place(groups)).withColumn("_b", spread(blocks))
+    right = kept.withColumn("_b", place(blocks)).withColumn("_g", spread(groups))
+    return left.groupBy("_b", "_g").cogroup(right.groupBy("_b", "_g")).applyInPandas(lambda a, b: search(a, b), schema)
+
+
 def combine_sources(scores: DataFrame, how: str = "mean") -> DataFrame:
     """Mean, minimum or median over the scores of several history sources."""
     pick = {"mean": F.avg("score"), "min": F.min("score"), "median": F.percentile("score", F.lit(0.5))}

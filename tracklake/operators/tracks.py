@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import heading_change
 from ..functions.hashing import unit_hash
+from ..functions.parsing import epoch_day
 from ..plans.materialize import materialize
-from ..plans.ordered import attach, max_rows, neighbors, order_index, rank_within, scan, with_bound
+from ..plans.ordered import attach, neighbors, order_index, rank_within, scan, with_bound
 from ..plans.quantiles import quantiles
 
 # Accepted ranges of the loader.
@@ -131,7 +132,7 @@ def build_points(
     keep = ["traj_id", "pos", "mmsi", "report_id", "t", "lat", "lon", "speed", "heading"]
     keep += ["is_start", "is_end", "turn_score", "n_points"]
     keep += ["source_id"] if "source_id" in points.columns else []
-    return points.select(*keep, F.to_date(F.timestamp_seconds("t")).alias("day"))
+    return points.select(*keep, epoch_day().alias("day"))
 
 
 def load_audit(

@@ -91,8 +91,8 @@ def report_id() -> Column:
     return F.xxhash64(*RAW_COLUMNS)
 
 
-def type_reports(raw: DataFrame) -> DataFrame:
-    """REPORTS from raw text; unreadable values become NULL."""
+def type_reports(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """REPORTS from raw text, with the columns in ``keep``; unreadable values become NULL."""
     ident = F.col("report_id") if "report_id" in raw.columns else report_id()
     ts = parse_ts("timestamp_raw")
     return raw.select(
@@ -106,6 +106,7 @@ def type_reports(raw: DataFrame) -> DataFrame:
         to_double("sog_raw").alias("sog"),
         to_double("cog_raw").alias("cog"),
         to_text("ship_raw").alias("ship_type"),
+        *keep,
     )
 
 
@@ -119,8 +120,9 @@ def reject_reason() -> Column:
     )
 
 
-def judge_reports(raw: DataFrame) -> DataFrame:
-    return type_reports(raw).withColumn("reason", reject_reason())
+def judge_reports(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed rows with their reject reason."""
+    return type_reports(raw, keep).withColumn("reason", reject_reason())
 
 
 def validate_reports(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
