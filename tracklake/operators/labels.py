@@ -8,12 +8,12 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import clamp, degree_distance, heading_change
 from ..functions.spacing import base_size, budget, is_evenly_spaced
+from ..plans.groups import map_groups
 from ..plans.materialize import materialize
 from ..plans.ordered import attach, first_overall, neighbors, rank_within, scan
 from ..plans.quantiles import quantiles, quantiles_within
@@ -207,7 +207,7 @@ def query_useful_targets(points: DataFrame, queries: DataFrame, crossings: DataF
     """Four point targets and the score built from them; ``block_budget_target`` gives the fifth."""
     total = float(max(1, queries.count()))
     moving = behavior_change(points)
-    hits = hits_with_boundary(moving, queries).select("query_id", *POINT, "is_boundary", "behavior", "n_points")
+    hits = materialize(hits_with_boundary(moving, queries).select("query_id", *POINT, "is_boundary", "behavior"))
     crossings = crossing_brackets(points, queries) if crossings is None else crossings
     live = hits.select("query_id").distinct()
     cross = crossings.join(live, "query_id", "left_semi").withColumn("_cross", F.lit(True))
@@ -215,6 +215,7 @@ def query_useful_targets(points: DataFrame, queries: DataFrame, crossings: DataF
     flag = {k: F.coalesce(F.col(k), F.lit(False)).cast("double") for k in ("_hit", "_cross", "is_boundary")}
     value = flag["_hit"] * (0.50 + 0.35 * F.coalesce("behavior", F.lit(0.0))) + 0.40 * flag["is_boundary"] + 0.30 * flag["_cross"]
     valued = both.withColumns({"value": value, "_edge": flag["is_boundary"] + flag["_cross"], "_in": flag["_hit"]})
+    valued = materialize(valued.select("query_id", *POINT, "value", "_edge", "_in", "behavior"))
     kept = replacement_support(valued.select("query_id", *POINT, "value"))
     best = kept.groupBy(*POINT).agg(F.sum("value").alias("_rep"))
     per_point = valued.groupBy(*POINT).agg(
@@ -447,10 +448,9 @@ def marginal_coverage(
     k = budget(ratio=ratio)
     ready = dense.select(*POINT, "label", k.alias("_k"), is_evenly_spaced(k=base_size(k, temporal_fraction)).alias("_base"))
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        n, want = len(pdf), int(pdf["_k"].iloc[0])
-        score, kept = pdf["label"].to_numpy(), pdf["_base"].to_numpy().copy()
+    def choose(data: dict) -> dict:
+        score, kept, want = data["label"], data["_base"].astype(bool), int(data["_k"][0])
+        n = len(score)
         radius = max(0, int(np.ceil(radius_scale * n / max(1, want))))
         left = np.maximum(score, 0.0)
         for at in np.flatnonzero(kept):
@@ -474,9 +474,9 @@ def marginal_coverage(
             best = int(np.argmax(gain))
             kept[best] = True
             left[max(0, best - radius) : best + radius + 1] = 0.0
-        return pdf.loc[kept, POINT]
+        return {c: data[c][kept] for c in POINT}
 
-    return ready.groupBy("traj_id").applyInPandas(choose, "traj_id bigint, pos bigint")
+    return map_groups(ready, ["traj_id"], "pos", choose, "traj_id bigint, pos bigint")
 
 
 def query_spine(points: DataFrame, queries: DataFrame, fraction: float = 0.10, mass: str = "hit_group", turn_fraction: float = 0.25) -> DataFrame:

@@ -244,10 +244,10 @@ def audit_support(points: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def flagged_support(
-    points: DataFrame, retained: DataFrame, support: DataFrame, sets: tuple[str, ...] = SETS
+    points: DataFrame, retained: DataFrame, support: DataFrame, sets: tuple[str, ...] = SETS, errors: DataFrame | None = None
 ) -> DataFrame:
     """Support rows per set with the kept flag and the whole-track error of dropped points."""
-    errors = sed_ped(points, retained, sets)
+    errors = sed_ped(points, retained, sets) if errors is None else errors
     counts = attach(errors, [*sets, "traj_id"], {"kept_in_track": F.count_if("kept")}, "traj_id")
     slim = counts.select(*sets, "traj_id", "pos", "kept", "kept_in_track", "sed_km", "ped_km")
     return support.join(slim, ["traj_id", "pos"])
@@ -355,11 +355,12 @@ def query_scores(
     sets: tuple[str, ...] = SETS,
     support: DataFrame | None = None,
     crossings: DataFrame | None = None,
+    errors: DataFrame | None = None,
 ) -> DataFrame:
     """All components for every (set, query); queries without hits get 1."""
     support = materialize(audit_support(points, queries)) if support is None else support
     crossings = crossing_brackets(points, queries) if crossings is None else crossings
-    flagged = flagged_support(points, retained, support, sets)
+    flagged = flagged_support(points, retained, support, sets, errors)
     per_track = track_scores(flagged, sets)
     keys = [*sets, "query_id"]
     q = per_track.groupBy(*keys).agg(
@@ -449,12 +450,13 @@ def evaluate(
     points: DataFrame, retained: DataFrame, queries: DataFrame, sets: tuple[str, ...] = SETS
 ) -> DataFrame:
     """The whole metric row of every kept set."""
-    audit = range_audit(query_scores(points, retained, queries, sets), sets)
+    errors = materialize(sed_ped(points, retained, sets))
+    audit = range_audit(query_scores(points, retained, queries, sets, errors=errors), sets)
     size = points.select(F.count(F.lit(1))).scalar()
     kept = retained.groupBy(*sets).agg(F.count(F.lit(1)).alias("kept_points"))
     kept = kept.withColumn("kept_share", F.col("kept_points") / size)
     parts = [
-        geometric_distortion(sed_ped(points, retained, sets), sets),
+        geometric_distortion(errors, sets),
         length_preservation(track_lengths(points, retained, sets), sets),
         retained_gap_stats(points, retained, sets),
         endpoint_sanity(points, retained, sets),

@@ -10,13 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import fast_unit_hash
 from ..functions.spacing import base_size, budget, distance_to_spaced, is_evenly_spaced
+from ..plans.groups import map_groups
 from ..plans.materialize import materialize
 from ..plans.ordered import attach, first_overall, hot_limit, max_rows, rank_within
 from ..plans.splits import LINE_DISTANCE, split_strength, spread_score
@@ -269,13 +269,11 @@ def _hybrid_matched(
         "traj_id", "pos", "n_points", "score", "_prio", base.alias("_base"), swaps.alias("_swaps")
     )
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        score, prio, is_base = pdf["score"].to_numpy(), pdf["_prio"].to_numpy(), pdf["_base"].to_numpy()
-        count, last = int(pdf["_swaps"].iloc[0]), len(pdf) - 1
-        keep = is_base.copy()
-        removable = [int(p) for p in np.flatnonzero(is_base) if p not in (0, last)]
-        others = [int(p) for p in np.flatnonzero(~is_base)]
+    def choose(data: dict) -> dict:
+        score, prio, keep = data["score"], data["_prio"], data["_base"].astype(bool)
+        count, last = int(data["_swaps"][0]), len(score) - 1
+        removable = [int(p) for p in np.flatnonzero(keep) if p not in (0, last)]
+        others = [int(p) for p in np.flatnonzero(~keep)]
         if count > 0:
             if mode == "local_swap":
                 adds = sorted(others, key=lambda p: (-prio[p], p))[:count]
@@ -283,9 +281,9 @@ def _hybrid_matched(
             else:
                 added, gone = _local_delta_swap(score, removable, others, count)
             keep[gone], keep[added] = False, True
-        return pdf.loc[keep, ["traj_id", "pos"]]
+        return {"traj_id": data["traj_id"][keep], "pos": data["pos"][keep]}
 
-    return ready.groupBy("traj_id").applyInPandas(choose, "traj_id bigint, pos bigint")
+    return map_groups(ready, TRACK, "pos", choose, "traj_id bigint, pos bigint")
 
 
 # ---- geometry ---------------------------------------------------------------------------
@@ -431,25 +429,24 @@ def simplify_segment_budget(
     cols = ["traj_id", "pos", "lat", "lon", "score"] + ([segment_score] if segment_score else [])
     ready = points.select(*cols, F.floor(F.col("pos") / size).alias("block")).join(plan, ["traj_id", "block"], "left")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        lat, lon, score = (pdf[c].to_numpy() for c in ("lat", "lon", "score"))
-        aux = pdf[segment_score].to_numpy() if segment_score else None
-        kept = np.zeros(len(pdf), dtype=bool)
+    def choose(data: dict) -> dict:
+        lat, lon, score = data["lat"], data["lon"], data["score"]
+        aux = data[segment_score] if segment_score else None
+        kept = np.zeros(len(lat), dtype=bool)
         kept[[0, -1]] = True
         ends = kept.copy()
-        heads = pdf[pdf["slots"].notna()].drop_duplicates("block").sort_values(["block_score", "block"], ascending=[False, True])
-        for block, count in zip(heads["block"], heads["slots"]):
-            start = int(block) * size
-            stop = min(len(pdf), start + size)
+        firsts = np.flatnonzero((data["pos"] % size == 0) & ~np.isnan(data["slots"]))
+        best_first = sorted(firsts, key=lambda a: (-data["block_score"][a], a))
+        for start in best_first:
+            stop = min(len(lat), start + size)
             spacing = int(np.floor((stop - start) * spacing_fraction))
-            _pick_in_block(lat, lon, score, kept, start, stop, int(count), spacing, gain_weight, aux, blend)
-        out = pdf.loc[kept, ["traj_id", "pos"]].copy()
-        out["reason"] = np.where(ends[kept], "skeleton", "learned")
-        return out
+            _pick_in_block(lat, lon, score, kept, start, stop, int(data["slots"][start]), spacing, gain_weight, aux, blend)
+        reason = np.where(ends[kept], "skeleton", "learned")
+        return {"traj_id": data["traj_id"][kept], "pos": data["pos"][kept], "reason": reason.astype(object)}
 
     schema = "traj_id bigint, pos bigint, reason string"
-    chosen = materialize(ready.groupBy("traj_id").applyInPandas(choose, schema))
+    ready = ready.withColumn("slots", F.col("slots").cast("double"))
+    chosen = materialize(map_groups(ready, TRACK, "pos", choose, schema))
     return fallback_fill(points, chosen, total)
 
 

@@ -9,8 +9,6 @@ no distinct step is needed afterwards.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +17,8 @@ CELL_SECONDS = 3600.0
 CELL_DEGREES = 0.05
 GROWTH = 4
 LEVELS = 8  # level 8 is one cell for everything
-MAX_BOX_CELLS = 64
-MAX_ITEM_CELLS = 8
+BOX_CELLS_PER_AXIS = 4
+ITEM_CELLS_PER_AXIS = 2
 BROADCAST_KEYS = 500_000
 
 AXES = ("t", "lat", "lon")
@@ -28,52 +26,37 @@ BOX_SPANS = {"t": ("t_start", "t_end"), "lat": ("lat_min", "lat_max"), "lon": ("
 POINT_SPANS = {axis: (axis, axis) for axis in AXES}
 
 
-def _size(axis: str, level: int) -> float:
-    return (CELL_SECONDS if axis == "t" else CELL_DEGREES) * GROWTH**level
-
-
-def _cell(value: str, axis: str, level: int) -> Column:
-    if level >= LEVELS:
-        return F.lit(0).cast("bigint")
-    return F.floor(F.col(value) / F.lit(_size(axis, level))).cast("bigint")
+def _finest(axis: str) -> float:
+    return CELL_SECONDS if axis == "t" else CELL_DEGREES
 
 
-def _touched(spans: dict, level: int) -> Column:
-    counts = [_cell(hi, a, level) - _cell(lo, a, level) + 1 for a, (lo, hi) in spans.items()]
-    return reduce(lambda x, y: x * y, [c.cast("double") for c in counts])
+def _size(axis: str) -> Column:
+    """Cell size at the level of the row; unlimited at the last level."""
+    sizes = [_finest(axis) * GROWTH**level for level in range(LEVELS)] + [float("inf")]
+    return F.element_at(F.lit(sizes), F.col("_level") + 1)
 
 
-def _level(spans: dict, limit: int) -> Column:
-    choice = F.lit(LEVELS)
-    for level in reversed(range(LEVELS)):
-        choice = F.when(_touched(spans, level) <= limit, level).otherwise(choice)
-    return choice
+def _cell(value: str, axis: str) -> Column:
+    return F.floor(F.col(value) / _size(axis)).cast("bigint")
 
 
-def _low_cells(spans: dict, levels: list[int], prefix: str) -> list[Column]:
-    """First touched cell per axis at the level of the row."""
-    out = []
-    for axis, (lo, _) in spans.items():
-        choice = F.lit(None).cast("bigint")
-        for level in levels:
-            choice = F.when(F.col("_level") == level, _cell(lo, axis, level)).otherwise(choice)
-        out.append(choice.alias(f"{prefix}{axis}"))
-    return out
+def _level(spans: dict, per_axis: int) -> Column:
+    """Finest level at which the row touches at most ``per_axis`` cells on every axis."""
+    steps = [(F.col(hi) - F.col(lo)) / F.lit(_finest(a) * (per_axis - 1)) for a, (lo, hi) in spans.items()]
+    widest = F.greatest(*steps, F.lit(1.0))
+    level = F.ceil(F.log(widest) / F.log(F.lit(float(GROWTH))))
+    return F.when(level >= LEVELS, LEVELS).otherwise(level).cast("int")
 
 
-def _with_keys(df: DataFrame, spans: dict, own: str, levels: Column, used: list[int], prefix: str) -> DataFrame:
-    """One row per (level, touched cell)."""
+def _with_keys(df: DataFrame, spans: dict, levels: Column, prefix: str) -> DataFrame:
+    """One row per (level, touched cell), with the first touched cell of every axis."""
     out = df.withColumn("_level", F.explode(levels))
-    out = out.select("*", *_low_cells(spans, used, prefix))
+    out = out.withColumns({f"{prefix}{a}": _cell(lo, a) for a, (lo, _) in spans.items()})
     for axis, (lo, hi) in spans.items():
-        if lo == hi:
-            out = out.withColumn(f"_k{axis}", F.col(f"{prefix}{axis}"))
-            continue
-        last = F.lit(None).cast("bigint")
-        for level in used:
-            last = F.when(F.col("_level") == level, _cell(hi, axis, level)).otherwise(last)
-        out = out.withColumn(f"_k{axis}", F.explode(F.sequence(F.col(f"{prefix}{axis}"), last)))
-    return out.withColumnRenamed(own, f"{prefix}own") if own else out
+        first = F.col(f"{prefix}{axis}")
+        key = first if lo == hi else F.explode(F.sequence(first, F.greatest(first, _cell(hi, axis))))
+        out = out.withColumn(f"_k{axis}", key)
+    return out
 
 
 def box_join(items: DataFrame, boxes: DataFrame, spans: dict = POINT_SPANS) -> DataFrame:
@@ -82,31 +65,32 @@ def box_join(items: DataFrame, boxes: DataFrame, spans: dict = POINT_SPANS) -> D
     ``spans`` names the low and high column of the item per axis.  Column names of
     the two sides must differ.  ``boxes`` should be a written or otherwise cheap
     table: its levels are looked at once to size the plan.
+
+    A pair meets at the coarser level of its two sides.  The keys of the boxes are
+    broadcast only if their counted number is small; otherwise Spark shuffles both
+    sides by cell and splits cells that are hot.
     """
-    boxes = boxes.withColumn("_q_level", _level(BOX_SPANS, MAX_BOX_CELLS))
-    used = sorted(r[0] for r in boxes.select("_q_level").distinct().collect())
-    if not used:
-        used = [LEVELS]
+    boxes = boxes.withColumn("_q_own", _level(BOX_SPANS, BOX_CELLS_PER_AXIS))
+    sizes = {r["_q_own"]: r["count"] for r in boxes.groupBy("_q_own").count().collect()}
+    used = sorted(sizes) or [LEVELS]
     is_point = all(lo == hi for lo, hi in spans.values())
     if is_point:
-        all_levels = used
-        box_levels = F.array(F.col("_q_level"))
-        item_levels = F.array(*[F.lit(level) for level in used])
-        left = items.withColumn("_i_level", F.lit(0))
+        box_levels = F.array("_q_own")
+        left = items.withColumn("_i_own", F.lit(0))
+        item_levels = F.lit(used)
     else:
-        all_levels = list(range(LEVELS + 1))
-        box_levels = F.sequence(F.col("_q_level"), F.lit(LEVELS))
-        left = items.withColumn("_i_level", _level(spans, MAX_ITEM_CELLS))
-        above = [F.when(F.lit(level) > F.col("_i_level"), F.lit(level)) for level in used]
-        item_levels = F.array_compact(F.array(F.col("_i_level"), *above))
-    left = _with_keys(left, spans, "_i_level", item_levels, all_levels, "_i_")
-    right = _with_keys(boxes, BOX_SPANS, "_q_level", box_levels, all_levels, "_q_")
+        box_levels = F.sequence(F.col("_q_own"), F.lit(LEVELS))
+        left = items.withColumn("_i_own", _level(spans, ITEM_CELLS_PER_AXIS))
+        coarser = F.filter(F.lit(used), lambda level: level > F.col("_i_own"))
+        item_levels = F.concat(F.array("_i_own"), coarser)
+    left = _with_keys(left, spans, item_levels, "_i_")
+    right = _with_keys(boxes, BOX_SPANS, box_levels, "_q_")
     keys = ["_level", *[f"_k{a}" for a in AXES]]
-    n_keys = boxes.count() * (MAX_BOX_CELLS if is_point else 2 * MAX_BOX_CELLS)
-    if n_keys <= BROADCAST_KEYS:
+    if 2 * BOX_CELLS_PER_AXIS**3 * sum(sizes.values()) <= BROADCAST_KEYS:
         right = F.broadcast(right)
     pairs = left.join(right, keys)
-    pairs = pairs.filter(F.col("_level") == F.greatest("_i_own", "_q_own"))
+    if not is_point:
+        pairs = pairs.filter(F.col("_level") == F.greatest("_i_own", "_q_own"))
     for axis, (lo, hi) in spans.items():
         q_lo, q_hi = BOX_SPANS[axis]
         pairs = pairs.filter((F.col(lo) <= F.col(q_hi)) & (F.col(hi) >= F.col(q_lo)))

@@ -16,10 +16,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import map_groups
 from .materialize import materialize
 from .ordered import hot_limit, is_hot, neighbors, rank_within, scan
 
@@ -99,15 +99,12 @@ def _finish(points: DataFrame, keys: list[str], measure: Measure) -> DataFrame:
     """Split groups that fit a task; rows flagged ``_anchor`` are interval ends."""
     need = [*dict.fromkeys(["traj_id", *keys, *measure.columns, "_anchor", "_ceiling"])]
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        data = {c: pdf[c].to_numpy() for c in measure.columns}
-        anchors = np.flatnonzero(pdf["_anchor"].to_numpy())
-        strength = _split_in_task(data, anchors, float(pdf["_ceiling"].iloc[0]), measure)
-        out = pd.DataFrame({"traj_id": pdf["traj_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), "strength": strength})
-        return out[~pdf["_anchor"].to_numpy()]
+    def split(data: dict) -> dict:
+        anchor = data["_anchor"].astype(bool)
+        strength = _split_in_task(data, np.flatnonzero(anchor), float(data["_ceiling"][0]), measure)
+        return {"traj_id": data["traj_id"][~anchor], "pos": data["pos"][~anchor], "strength": strength[~anchor]}
 
-    return points.select(*need).groupBy(*keys).applyInPandas(split, "traj_id bigint, pos bigint, strength double")
+    return map_groups(points.select(*need), keys, "pos", split, "traj_id bigint, pos bigint, strength double")
 
 
 def split_strength(points: DataFrame, measure: Measure, anchor: Column) -> DataFrame:
