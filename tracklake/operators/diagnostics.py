@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.boxjoin import box_join
+from ..plans.materialize import materialize
 from ..plans.ordered import order_index, scan, with_bound
 from .ranges import BOX_COLUMNS, query_hits
 from .tracks import extent, one_row
@@ -56,20 +57,24 @@ def _volume(prefix: str = "") -> Column:
 def box_iou(queries: DataFrame) -> DataFrame:
     """Intersection over union of overlapping boxes, for ordered pairs (earlier_id < query_id).
 
-    Pairs that are not listed have IoU 0.  Two boxes without volume count as equal.
+    Pairs that are not listed have IoU 0.  Boxes without volume count as equal; each is
+    paired with the first of them only, which is the pair a duplicate search stops at.
     """
     q = queries.select("query_id", *BOX_COLUMNS)
     other = q.select(F.col("query_id").alias("earlier_id"), *[F.col(c).alias(f"e_{c}") for c in BOX_COLUMNS])
     spans = {"t": ("e_t_start", "e_t_end"), "lat": ("e_lat_min", "e_lat_max"), "lon": ("e_lon_min", "e_lon_max")}
-    pairs = box_join(other, q, spans).filter(F.col("earlier_id") < F.col("query_id"))
+    # cutting the keys of few boxes is work for many tasks
+    other = other.repartition(queries.sparkSession.sparkContext.defaultParallelism)
+    pairs = box_join(other, q, spans, few_items=True).filter(F.col("earlier_id") < F.col("query_id"))
     shared = F.lit(1.0)
     for lo, hi in (("lat_min", "lat_max"), ("lon_min", "lon_max"), ("t_start", "t_end")):
         shared = shared * F.greatest(F.least(hi, f"e_{hi}") - F.greatest(lo, f"e_{lo}"), F.lit(0.0))
     union = _volume() + _volume("e_") - shared
     solid = pairs.filter((_volume() > 1e-12) | (_volume("e_") > 1e-12))
     solid = solid.select("query_id", "earlier_id", F.when(union > 1e-12, shared / union).otherwise(F.lit(0.0)).alias("iou"))
-    flat = q.filter(_volume() <= 1e-12).select("query_id", F.lit(1).alias("_k"))
-    same = flat.join(flat.withColumnRenamed("query_id", "earlier_id"), "_k").filter("earlier_id < query_id")
+    flat = q.filter(_volume() <= 1e-12).select("query_id")
+    first = flat.agg(F.min("query_id")).first()[0]
+    same = flat.filter(F.col("query_id") > F.lit(first)).withColumn("earlier_id", F.lit(first).cast("int"))
     return solid.filter("iou > 0").unionByName(same.select("query_id", "earlier_id", F.lit(1.0).alias("iou")))
 
 
@@ -117,7 +122,7 @@ def query_diagnostics(points: DataFrame, queries: DataFrame, limits) -> DataFram
     wide = wide.withColumns({"is_empty": F.col("point_hits") == 0, "is_too_broad": broad})
     if limits.duplicate_iou is None:
         return wide.withColumns({"near_duplicate_of": F.lit(None).cast("int"), "near_duplicate_iou": F.lit(0.0)})
-    iou = box_iou(queries)
+    iou = materialize(box_iou(queries))
     first = iou.filter(F.col("iou") >= limits.duplicate_iou).groupBy("query_id").agg(F.min("earlier_id").alias("near_duplicate_of"))
     seen = iou.join(first, "query_id", "left").filter(F.col("near_duplicate_of").isNull() | (F.col("earlier_id") <= F.col("near_duplicate_of")))
     best = seen.groupBy("query_id").agg(F.max("iou").alias("near_duplicate_iou"), F.first("near_duplicate_of").alias("near_duplicate_of"))

@@ -1,9 +1,9 @@
 """Join of boxes in (t, lat, lon) with points, segments or other boxes.
 
-Space and time are cut into cells at eight levels of size.  A box uses the finest
+Space and time are cut into cells at eight levels of size each.  A box uses the finest
 level at which it touches few cells, so wide boxes do not explode into thousands
 of keys and narrow boxes do not match half the data.  The join is an equi-join on
-(level, cell); a pair that shares several cells is kept in exactly one of them, so
+(levels, cell); a pair that shares several cells is kept in exactly one of them, so
 no distinct step is needed afterwards.
 """
 
@@ -30,27 +30,32 @@ def _finest(axis: str) -> float:
     return CELL_SECONDS if axis == "t" else CELL_DEGREES
 
 
-def _size(axis: str) -> Column:
-    """Cell size at the level of the row; unlimited at the last level."""
+def _cell(value: str, axis: str) -> Column:
+    """Cell number at the level of the row; the last level is one cell."""
     sizes = [_finest(axis) * GROWTH**level for level in range(LEVELS)] + [float("inf")]
-    return F.element_at(F.lit(sizes), F.col("_level") + 1)
+    level = F.col("_lt" if axis == "t" else "_ls")
+    return F.floor(F.col(value) / F.element_at(F.lit(sizes), level + 1)).cast("bigint")
 
 
-def _cell(value: str, axis: str) -> Column:
-    return F.floor(F.col(value) / _size(axis)).cast("bigint")
+def _level(spans: dict, axes: tuple[str, ...], per_axis: int) -> Column:
+    """Finest level at which the row touches at most ``per_axis`` cells on these axes."""
+    steps = [(F.col(spans[a][1]) - F.col(spans[a][0])) / F.lit(_finest(a) * (per_axis - 1)) for a in axes]
+    level = F.ceil(F.log(F.greatest(*steps, F.lit(1.0), F.lit(1.0))) / F.log(F.lit(float(GROWTH))))
+    return F.when(level >= LEVELS, LEVELS).otherwise(level).cast("int")
 
 
-def _level(spans: dict, per_axis: int) -> Column:
-    """Finest level at which the row touches at most ``per_axis`` cells on every axis."""
-    steps = [(F.col(hi) - F.col(lo)) / F.lit(_finest(a) * (per_axis - 1)) for a, (lo, hi) in spans.items()]
-    widest = F.greatest(*steps, F.lit(1.0))
-    level = F.ceil(F.log(widest) / F.log(F.lit(float(GROWTH))))
-    return F.when(level >= LEVELS, LEVELS).otherwise(level).cast("int")
+def _meeting_levels(own: str, others: list[tuple[int, int]]) -> Column:
+    """Levels (time, space) at which the row can meet the other side."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("s")) for a, b in others])
+    coarser = F.transform(
+        pairs, lambda o: F.struct(F.greatest(F.col(f"{own}t"), o["t"]).alias("t"), F.greatest(F.col(f"{own}s"), o["s"]).alias("s"))
+    )
+    return F.array_distinct(coarser)
 
 
 def _with_keys(df: DataFrame, spans: dict, levels: Column, prefix: str) -> DataFrame:
-    """One row per (level, touched cell), with the first touched cell of every axis."""
-    out = df.withColumn("_level", F.explode(levels))
+    """One row per (levels, touched cell), with the first touched cell of every axis."""
+    out = df.withColumn("_lv", F.explode(levels)).withColumns({"_lt": F.col("_lv.t"), "_ls": F.col("_lv.s")}).drop("_lv")
     out = out.withColumns({f"{prefix}{a}": _cell(lo, a) for a, (lo, _) in spans.items()})
     for axis, (lo, hi) in spans.items():
         first = F.col(f"{prefix}{axis}")
@@ -59,41 +64,53 @@ def _with_keys(df: DataFrame, spans: dict, levels: Column, prefix: str) -> DataF
     return out
 
 
-def box_join(items: DataFrame, boxes: DataFrame, spans: dict = POINT_SPANS) -> DataFrame:
+def _levels_of(df: DataFrame, own: str) -> list[tuple[int, int]]:
+    rows = df.select(F.col(f"{own}t").alias("t"), F.col(f"{own}s").alias("s")).distinct().collect()  # at most 81
+    return sorted((r["t"], r["s"]) for r in rows) or [(LEVELS, LEVELS)]
+
+
+def box_join(items: DataFrame, boxes: DataFrame, spans: dict = POINT_SPANS, few_items: bool = False) -> DataFrame:
     """All (item, box) pairs whose bounding boxes overlap, with the columns of both sides.
 
     ``spans`` names the low and high column of the item per axis.  Column names of
-    the two sides must differ.  ``boxes`` should be a written or otherwise cheap
-    table: its levels are looked at once to size the plan.
+    the two sides must differ.  ``boxes`` (and ``items`` if ``few_items``) should be a
+    written or otherwise cheap table: its levels are looked at once to size the plan.
 
-    A pair meets at the coarser level of its two sides.  The keys of the boxes are
-    broadcast only if their counted number is small; otherwise Spark shuffles both
-    sides by cell and splits cells that are hot.
+    Time and space have levels of their own, so a box that is long and narrow is
+    pruned on both.  A pair meets at the coarser levels of its two sides.  The keys of
+    the boxes are broadcast only if their counted number is small; otherwise Spark
+    shuffles both sides by cell and splits cells that are hot.
     """
-    boxes = boxes.withColumn("_q_own", _level(BOX_SPANS, BOX_CELLS_PER_AXIS))
-    sizes = {r["_q_own"]: r["count"] for r in boxes.groupBy("_q_own").count().collect()}
-    used = sorted(sizes) or [LEVELS]
+    space = ("lat", "lon")
+    boxes = boxes.withColumns(
+        {"_q_lt": _level(BOX_SPANS, ("t",), BOX_CELLS_PER_AXIS), "_q_ls": _level(BOX_SPANS, space, BOX_CELLS_PER_AXIS)}
+    )
+    box_levels = _levels_of(boxes, "_q_l")
     is_point = all(lo == hi for lo, hi in spans.values())
     if is_point:
-        box_levels = F.array("_q_own")
-        left = items.withColumn("_i_own", F.lit(0))
-        item_levels = F.lit(used)
+        items = items.withColumns({"_i_lt": F.lit(0), "_i_ls": F.lit(0)})
+        item_levels = [(0, 0)]
+    elif few_items:
+        items = items.withColumns(
+            {"_i_lt": _level(spans, ("t",), ITEM_CELLS_PER_AXIS), "_i_ls": _level(spans, space, ITEM_CELLS_PER_AXIS)}
+        )
+        item_levels = _levels_of(items, "_i_l")
     else:
-        box_levels = F.sequence(F.col("_q_own"), F.lit(LEVELS))
-        left = items.withColumn("_i_own", _level(spans, ITEM_CELLS_PER_AXIS))
-        coarser = F.filter(F.lit(used), lambda level: level > F.col("_i_own"))
-        item_levels = F.concat(F.array("_i_own"), coarser)
-    left = _with_keys(left, spans, item_levels, "_i_")
-    right = _with_keys(boxes, BOX_SPANS, box_levels, "_q_")
-    keys = ["_level", *[f"_k{a}" for a in AXES]]
-    if 2 * BOX_CELLS_PER_AXIS**3 * sum(sizes.values()) <= BROADCAST_KEYS:
+        # one level for time and space: the possible levels are known without reading the items
+        both = _level(spans, AXES, ITEM_CELLS_PER_AXIS)
+        items = items.withColumns({"_i_lt": both, "_i_ls": both})
+        item_levels = [(level, level) for level in range(LEVELS + 1)]
+    left = _with_keys(items, spans, _meeting_levels("_i_l", box_levels), "_i_")
+    right = _with_keys(boxes, BOX_SPANS, _meeting_levels("_q_l", item_levels), "_q_")
+    keys = ["_lt", "_ls", *[f"_k{a}" for a in AXES]]
+    if right.count() <= BROADCAST_KEYS:
         right = F.broadcast(right)
     pairs = left.join(right, keys)
     if not is_point:
-        pairs = pairs.filter(F.col("_level") == F.greatest("_i_own", "_q_own"))
+        pairs = pairs.filter((F.col("_lt") == F.greatest("_i_lt", "_q_lt")) & (F.col("_ls") == F.greatest("_i_ls", "_q_ls")))
     for axis, (lo, hi) in spans.items():
         q_lo, q_hi = BOX_SPANS[axis]
         pairs = pairs.filter((F.col(lo) <= F.col(q_hi)) & (F.col(hi) >= F.col(q_lo)))
         if not is_point:
             pairs = pairs.filter(F.col(f"_k{axis}") == F.greatest(f"_i_{axis}", f"_q_{axis}"))
-    return pairs.drop(*keys, "_i_own", "_q_own", *[f"{p}{a}" for p in ("_i_", "_q_") for a in AXES])
+    return pairs.drop(*keys, *[f"{p}{a}" for p in ("_i_", "_q_") for a in (*AXES, "lt", "ls")])
