@@ -280,6 +280,28 @@ def _(spark, sf):
     return labels.query_spine(points(spark, sf), boxes(spark), 0.3).select("traj_id", "pos", r("label").alias("label"))
 
 
+def _residual_sql(ratio):
+    tag = str(ratio).replace(".", "")
+    keep = f"CASE WHEN n >= 2 THEN greatest(2, least(n, CAST(ceil({ratio}e0 * n) AS BIGINT))) ELSE 1 END"
+    return f"""{spaced_sql('points', f'rb{tag}', base_sql(ratio, 0.5))},
+   ra{tag} AS (SELECT h.query_id, h.traj_id, h.pos, h.turn_score, b.pos IS NOT NULL AS base, row_number() OVER w - 1 AS i, count(*) OVER v AS n, count(b.pos) OVER v AS kept, max(turn_score) OVER v AS mt,
+      row_number() OVER (PARTITION BY h.query_id, h.traj_id ORDER BY turn_score DESC, h.pos) AS tr FROM hits h LEFT JOIN rb{tag} b ON b.traj_id = h.traj_id AND b.pos = h.pos
+      WINDOW w AS (PARTITION BY h.query_id, h.traj_id ORDER BY h.pos), v AS (PARTITION BY h.query_id, h.traj_id)),
+   rc{tag} AS (SELECT *, {keep} AS k, coalesce(max(CASE WHEN base THEN i END) OVER (PARTITION BY query_id, traj_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS lo,
+      coalesce(min(CASE WHEN base THEN i END) OVER (PARTITION BY query_id, traj_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS hi FROM ra{tag}),
+   rg{tag} AS (SELECT DISTINCT query_id, traj_id, CAST(CASE WHEN k = 1 THEN 0 ELSE round_even(j * (n - 1) / (k - 1)::DOUBLE, 0) END AS BIGINT) AS i FROM rc{tag}, range(200) AS x(j) WHERE j < k),
+   rd{tag} AS (SELECT c.*, CASE WHEN c.i = 0 OR c.i = n - 1 THEN 1 WHEN c.i = CASE WHEN kept > 0 THEN (lo + hi) // 2 ELSE n // 2 END THEN 2
+      WHEN n >= 3 AND mt > 0 AND tr <= least(n, greatest(1, ceil(0.25e0 * k))) THEN 3 WHEN g.i IS NOT NULL THEN 4 ELSE 5 END AS tier FROM rc{tag} c LEFT JOIN rg{tag} g ON g.query_id = c.query_id AND g.traj_id = c.traj_id AND g.i = c.i),
+   re{tag} AS (SELECT *, row_number() OVER (PARTITION BY query_id, traj_id ORDER BY tier, CASE WHEN tier = 2 THEN -(hi - lo - 1) ELSE i END, lo, pos) AS rn FROM rd{tag} WHERE NOT base),
+   rf{tag} AS (SELECT traj_id, pos, 1e0 / count(*) OVER (PARTITION BY query_id) AS v FROM re{tag} WHERE rn <= k - kept)"""
+
+
+@check("j17_query_residual", f"""WITH {HITS_SQL}, {_residual_sql(0.3)}, {_residual_sql(0.5)}
+   SELECT traj_id, pos, round(sum(v) / 12, 10) AS label FROM (SELECT * FROM rf03 UNION ALL SELECT * FROM rf05) GROUP BY traj_id, pos""")
+def _(spark, sf):
+    return labels.query_residual(points(spark, sf), boxes(spark), [0.3, 0.5]).select("traj_id", "pos", r("label", 10).alias("label"))
+
+
 @check("j21_mask_temporal_base", f"WITH {HITS_SQL}, {_POINT_SQL}, {spaced_sql('points', 'base', base_sql(0.3, 0.5))} SELECT traj_id, pos, round(label, 9) AS label FROM pl ANTI JOIN base USING (traj_id, pos)")
 def _(spark, sf):
     pl = labels.point_f1_labels(points(spark, sf), boxes(spark))

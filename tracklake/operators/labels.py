@@ -543,3 +543,64 @@ def residual_target_rows(points: DataFrame, sparse: DataFrame, ratios: list[floa
         F.coalesce(F.sum(F.when(base, F.col("label"))), zero).alias("base_mass"),
         F.coalesce(F.sum(F.when(~base, F.col("label"))), zero).alias("residual_mass"),
     )
+
+
+def query_residual(
+    points: DataFrame,
+    queries: DataFrame,
+    ratios: list[float],
+    weights: list[float] | None = None,
+    temporal_fraction: float = 0.5,
+    multiplier: float = 1.0,
+    mass: str = "query",
+) -> DataFrame:
+    """What the evenly spaced base misses inside each visit, by order of need.
+
+    First the two ends of the visit, then the middles of the largest gaps between base
+    points, then sharp turns, evenly spaced points and the rest; as many as the visit
+    lacks at the budget.  All budgets are handled side by side.
+    """
+    if mass not in ("query", "point"):
+        raise ValueError(f"unknown mass mode: {mass!r}")
+    weights = weights or budget_weights(ratios)
+    total = float(max(1, queries.count()))
+    c = F.col
+    hits = query_hits(points.select(*POINT, "t", "lat", "lon", "turn_score", "n_points"), queries)
+    budgets = F.array(*[F.struct(F.lit(float(r)).alias("ratio"), F.lit(float(w)).alias("_w")) for r, w in zip(ratios, weights)])
+    spread = hits.select("query_id", *POINT, "turn_score", "n_points", F.explode(budgets).alias("_budget"))
+    spread = spread.select("query_id", *POINT, "turn_score", "n_points", "_budget.*")
+    base = is_evenly_spaced(k=base_size(budget(ratio=c("ratio")), temporal_fraction))
+    visit = ["ratio", *VISIT]
+    rows = spread.withColumn("_base", base)
+    rows = scan(rows, visit, "pos", {"_i": ("sum", F.lit(1).cast("bigint"))}, "traj_id").withColumn("_i", c("_i") - 1)
+    here = F.when(c("_base"), c("_i"))
+    rows = scan(rows, visit, "pos", {"_lo": ("last_before", here), "_hi": ("next_after", here)}, "traj_id")
+    rows = attach(rows, visit, {"_n": F.count(F.lit(1)), "_kept": F.count_if("_base"), "_turns": F.max("turn_score")}, "traj_id")
+    rows = rank_within(rows, visit, [c("turn_score").desc(), c("pos")], "_tr", "traj_id")
+    i, n = c("_i"), c("_n")
+    keep = F.least(n, F.greatest(F.lit(1), F.ceil(F.lit(multiplier) * c("ratio") * n)))
+    keep = F.when(n >= 2, F.greatest(keep, F.lit(2))).otherwise(keep)
+    low, high = F.coalesce("_lo", F.lit(-1)), F.coalesce("_hi", n)
+    middle = F.when(c("_kept") > 0, F.floor((low + high) / 2)).otherwise(F.floor(n / 2))
+    sharp = (n >= 3) & (c("_turns") > 0) & (c("_tr") <= F.least(n, F.greatest(F.lit(1), F.ceil(0.25 * keep))))
+
+    def place(tier: int, first: Column, second: Column) -> Column:
+        return F.struct(F.lit(tier).alias("tier"), first.cast("bigint").alias("a"), second.cast("bigint").alias("b"))
+
+    need = (
+        F.when((i == 0) | (i == n - 1), place(1, i, F.lit(0)))
+        .when(i == middle, place(2, -(high - low - 1), low))
+        .when(sharp, place(3, i, F.lit(0)))
+        .when(is_evenly_spaced(i, n, keep), place(4, i, F.lit(0)))
+        .otherwise(place(5, i, F.lit(0)))
+    )
+    missing = F.greatest(keep - c("_kept"), F.lit(0))
+    open_rows = rows.withColumns({"_need": need, "_missing": missing}).filter(~c("_base") & (c("_missing") > 0))
+    chosen = rank_within(open_rows, visit, [c("_need"), c("pos")], "_r", "traj_id").filter(c("_r") <= c("_missing"))
+    value = c("_w")
+    if mass == "query":
+        sizes = chosen.groupBy("ratio", "query_id").agg(F.count(F.lit(1)).alias("_m"))
+        chosen = chosen.join(sizes, ["ratio", "query_id"])
+        value = value / c("_m")
+    scale = total * float(sum(weights))
+    return chosen.groupBy(*POINT).agg((F.sum(value) / F.lit(scale)).alias("label"))

@@ -64,9 +64,13 @@ def _with_keys(df: DataFrame, spans: dict, levels: Column, prefix: str) -> DataF
     return out
 
 
-def _levels_of(df: DataFrame, own: str) -> list[tuple[int, int]]:
-    rows = df.select(F.col(f"{own}t").alias("t"), F.col(f"{own}s").alias("s")).distinct().collect()  # at most 81
-    return sorted((r["t"], r["s"]) for r in rows) or [(LEVELS, LEVELS)]
+def _levels_of(df: DataFrame, own: str, spans: dict) -> tuple[list[tuple[int, int]], dict]:
+    """Levels in use (at most 81 rows reach the driver) and the extent per axis."""
+    aggs = [f(spans[a][k]).alias(f"{a}{k}") for a in AXES for k, f in ((0, F.min), (1, F.max))]
+    rows = df.groupBy(F.col(f"{own}t").alias("_t"), F.col(f"{own}s").alias("_s")).agg(*aggs).collect()
+    levels = sorted((r["_t"], r["_s"]) for r in rows) or [(LEVELS, LEVELS)]
+    extent = {a: (min(r[f"{a}0"] for r in rows), max(r[f"{a}1"] for r in rows)) for a in AXES} if rows else {}
+    return levels, extent
 
 
 def box_join(items: DataFrame, boxes: DataFrame, spans: dict = POINT_SPANS, few_items: bool = False) -> DataFrame:
@@ -77,7 +81,7 @@ def box_join(items: DataFrame, boxes: DataFrame, spans: dict = POINT_SPANS, few_
     written or otherwise cheap table: its levels are looked at once to size the plan.
 
     Time and space have levels of their own, so a box that is long and narrow is
-    pruned on both.  A pair meets at the coarser levels of its two sides.  The keys of
+    pruned on both.  The extent of all boxes goes to the scan of the items.  A pair meets at the coarser levels of its two sides.  The keys of
     the boxes are broadcast only if their counted number is small; otherwise Spark
     shuffles both sides by cell and splits cells that are hot.
     """
@@ -85,7 +89,10 @@ def box_join(items: DataFrame, boxes: DataFrame, spans: dict = POINT_SPANS, few_
     boxes = boxes.withColumns(
         {"_q_lt": _level(BOX_SPANS, ("t",), BOX_CELLS_PER_AXIS), "_q_ls": _level(BOX_SPANS, space, BOX_CELLS_PER_AXIS)}
     )
-    box_levels = _levels_of(boxes, "_q_l")
+    box_levels, extent = _levels_of(boxes, "_q_l", BOX_SPANS)
+    for axis, (low, high) in extent.items():
+        # plain comparisons on the item columns, so that a Parquet scan of items can skip row groups
+        items = items.filter((F.col(spans[axis][0]) <= F.lit(high)) & (F.col(spans[axis][1]) >= F.lit(low)))
     is_point = all(lo == hi for lo, hi in spans.values())
     if is_point:
         items = items.withColumns({"_i_lt": F.lit(0), "_i_ls": F.lit(0)})
@@ -94,7 +101,7 @@ def box_join(items: DataFrame, boxes: DataFrame, spans: dict = POINT_SPANS, few_
         items = items.withColumns(
             {"_i_lt": _level(spans, ("t",), ITEM_CELLS_PER_AXIS), "_i_ls": _level(spans, space, ITEM_CELLS_PER_AXIS)}
         )
-        item_levels = _levels_of(items, "_i_l")
+        item_levels, _ = _levels_of(items, "_i_l", spans)
     else:
         # one level for time and space: the possible levels are known without reading the items
         both = _level(spans, AXES, ITEM_CELLS_PER_AXIS)
