@@ -68,7 +68,7 @@ def crossing_brackets(points: DataFrame, queries: DataFrame) -> DataFrame:
 
 def entry_exit_points(points: DataFrame, queries: DataFrame) -> DataFrame:
     """Points inside a box whose previous or next track point is outside or missing."""
-    return entry_exit_hits(query_hits(with_context(points), queries), queries).select("query_id", "traj_id", "pos")
+    return hits_with_boundary(points, queries).filter("is_boundary").select("query_id", "traj_id", "pos")
 
 
 def with_context(points: DataFrame) -> DataFrame:
@@ -92,11 +92,6 @@ def hits_with_boundary(points: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.drop(*BOX_COLUMNS, *extra)
 
 
-def entry_exit_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    boxed = hits.join(F.broadcast(_boxes(queries)), "query_id") if "t_start" not in hits.columns else hits
-    return boxed.filter(boundary_flag())
-
-
 def distance_to_anchor(points: DataFrame, lat: float, lon: float) -> DataFrame:
     return points.withColumn("anchor_km", haversine_km("lat", "lon", lat, lon, floor=1e-9))
 

@@ -56,6 +56,7 @@ FOOTPRINTS = {
 }
 POINT_SHARE_LIMITS = ((0.05, 0.020), (0.10, 0.025), (0.15, 0.030))
 POINT_SHARE_LIMIT_ABOVE = 0.050
+MAX_BROADCAST_SLOTS = 100_000
 CORRIDOR_LONG, CORRIDOR_SHORT = 2.50, 0.45
 
 
@@ -226,7 +227,11 @@ def sample_anchors(weighted: DataFrame, slots: DataFrame, rows_per_part: int = 1
     a draw first picks a part and then looks only inside it.  No slot is ever paired
     with all points.
     """
-    kinds = [r[0] for r in slots.select("kind").distinct().collect()]
+    kinds, n_slots = [], 0
+    for r in slots.groupBy("kind").count().collect():
+        kinds.append(r["kind"])
+        n_slots += r["count"]
+    small = F.broadcast if n_slots <= MAX_BROADCAST_SLOTS else (lambda df: df)
     total = weighted.count()
     parts = max(1, math.ceil(total / rows_per_part))
     part = F.pmod(F.col("traj_id") * 7919 + F.col("pos"), F.lit(parts))
@@ -243,11 +248,11 @@ def sample_anchors(weighted: DataFrame, slots: DataFrame, rows_per_part: int = 1
     picked = picked.select("slot", "kind", F.col("p._part").alias("_part"), F.col("p.rest").alias("_rest"))
     wanted = picked.select("_part", "kind").distinct()
     base = [c for c in ("traj_id", "pos", "t", "lat", "lon", "heading") if c in weighted.columns]
-    inside = placed.select(*base, "_part", *kinds).unpivot([*base, "_part"], kinds, "kind", "_w").join(F.broadcast(wanted), ["_part", "kind"])
+    inside = placed.select(*base, "_part", *kinds).unpivot([*base, "_part"], kinds, "kind", "_w").join(small(wanted), ["_part", "kind"])
     run = Window.partitionBy("_part", "kind").orderBy("traj_id", "pos")  # at most about rows_per_part rows
     inside = inside.withColumn("_to", F.sum("_w").over(run)).withColumn("_from", F.col("_to") - F.col("_w"))
     hit = (F.col("_rest") < F.col("_to")) & (F.col("_rest") >= F.col("_from")) & (F.col("_w") > 0)
-    drawn = inside.join(F.broadcast(picked), ["_part", "kind"]).filter(hit)
+    drawn = inside.join(small(picked), ["_part", "kind"]).filter(hit)
     first = F.min_by(F.struct(*base), F.struct("traj_id", "pos"))
     return drawn.groupBy("slot").agg(first.alias("a")).select("slot", "a.*")
 
