@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracklake.operators import ranges, tracks
 
-from .fixtures import BOXES_SQL, HITS_SQL, MAX_GAP_S, POINTS_SQL, REPORTS_SQL, boxes, points, reports
+from .fixtures import HITS_SQL, MAX_GAP_S, POINTS_SQL, REPORTS_SQL, boxes, points, reports
 from .registry import check
 
 
