@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, language, packing
+from . import archive, extraction, language, packing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_extraction")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op5_archive",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    r AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+    FROM r
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.listing(archive.read(spark, archive.write(table(spark, sf_dir, "pages"))))
