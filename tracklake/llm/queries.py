@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, extraction, language, neighbours, packing, token_counts
-from .common import table
+from . import archive, extraction, language, mixing, neighbours, packing, token_counts
+from .common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(materialize(mixing.sizes(table(spark, sf_dir, "documents")))))
