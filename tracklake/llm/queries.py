@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, extraction, language, mixing, neighbours, packing, token_counts
+from . import archive, extraction, jaccard, language, mixing, neighbours, packing, token_counts
 from .common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mixing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(materialize(mixing.sizes(table(spark, sf_dir, "documents")))))
+
+
+@query("op7_jaccard")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
