@@ -56,6 +56,7 @@ class Words:
     """Words of some whole texts: place in the bytes, text they belong to, hash."""
 
     data: np.ndarray  # bytes of the texts of this run
+    text_end: np.ndarray  # where each text ends
     first_text: int  # number of the run's first text in the batch
     texts: int
     start: np.ndarray
@@ -88,7 +89,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, first_text: int, lower: bool)
     begins[edges] = ink[edges]  # a text begins a word even where no white space stands before it
     start = np.flatnonzero(begins)
     if not len(start):
-        return Words(data, first_text, len(offsets) - 1, none, none, np.zeros(len(offsets), dtype=np.int64), none.astype(np.uint64))
+        return Words(data, offsets[1:], first_text, len(offsets) - 1, none, none, np.zeros(len(offsets), dtype=np.int64), none.astype(np.uint64))
     gap = np.flatnonzero(~ink | begins)  # every place where a word may end: white space or the next word
     nxt = np.searchsorted(gap, start, side="right")
     end = np.where(nxt < len(gap), gap[np.minimum(nxt, len(gap) - 1)], len(data))
@@ -97,7 +98,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, first_text: int, lower: bool)
     value = (shown.astype(np.uint64) + np.uint64(1)) * powers(int((end - start).max()) + 1)[np.minimum(inside, int((end - start).max()))]
     value[~ink] = 0
     total = np.add.reduceat(value, start)
-    return Words(data, first_text, len(offsets) - 1, start, end, np.searchsorted(start, offsets), mixed(total + _BASE * (end - start).astype(np.uint64)))
+    return Words(data, offsets[1:], first_text, len(offsets) - 1, start, end, np.searchsorted(start, offsets), mixed(total + _BASE * (end - start).astype(np.uint64)))
 
 
 def distinct_shingles(words: Words, n: int) -> Iterator[tuple[int, np.ndarray]]:

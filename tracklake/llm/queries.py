@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, extraction, jaccard, language, mixing, neighbours, packing, token_counts
+from . import archive, extraction, jaccard, language, mixing, neighbours, packing, spans, token_counts
 from .common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query("op3_spans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
