@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, extraction, jaccard, language, mixing, neighbours, packing, spans, token_counts
+from . import archive, extraction, jaccard, language, mixing, neighbours, packing, sketches, spans, token_counts
 from .common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_spans")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_sketches")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_edits(table(spark, sf_dir, "documents"))
