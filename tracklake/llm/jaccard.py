@@ -70,11 +70,12 @@ def _key(own: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("of"))
 
 
 def describe(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size of the set, key of the set, and its counted slots."""
+    """doc_id, hash of the text, size of the set, key of the set, and its counted slots."""
     window, mask = _window(percent), np.uint64(slots - 1)
 
     def work(batch: pa.RecordBatch, _) -> dict:
@@ -84,9 +85,9 @@ def describe(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataF
                 size.append(len(own))
                 key.append(_key(own))
                 counted.append((mixed(own[own < window]) & mask).astype(np.int32))
-        return {"doc_id": batch.column(0), "size": size, "key": key, "slots": counted}
+        return {"doc_id": batch.column(0), "of": batch.column(2), "size": size, "key": key, "slots": counted}
 
-    return map_batches(_texts(docs), work, "doc_id long, size long, key long, slots array<int>")
+    return map_batches(_texts(docs), work, "doc_id long, of long, size long, key long, slots array<int>")
 
 
 def frequency_levels(described: DataFrame, slots: int = SLOTS) -> np.ndarray:
@@ -253,10 +254,10 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int)
     return map_batches(texts.join(rows, texts["doc_id"].eqNullSafe(rows["_rep"]), "left_semi"), work, "key long, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+def grouped(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFrame:
+    """doc_id, of (hash of the text), size, component (null without words) and component_id for every row of ``docs`` (doc_id, text)."""
     described = materialize(describe(docs, n, percent, slots))
-    sets = described.select("doc_id", "size", "key")
+    sets = described.select("doc_id", "of", "size", "key")
     classes = materialize(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(described, slots))
     signed = signatures(docs, n, percent, levels)
@@ -278,7 +279,28 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -
 
     linked = components(links.union(more)).join(classes, F.col("node") == F.col("key")).select("key", "component", "rep")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = classes.join(linked.join(least, "component").select("key", "component_id"), "key", "left")
-    named = named.select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    named = classes.join(linked.join(least, "component").select("key", "component", "component_id"), "key", "left")
+    named = named.select("key", F.coalesce("component", "key").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
     # an empty set is no class, so its document is a component of its own
-    return sets.join(named, "key", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.join(named, "key", "left").select("doc_id", "of", "size", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    return grouped(docs, n, percent, slots).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFrame:
+    """Rows of ``docs`` with all columns: of each component the one with the smallest doc_id, and all rows without words."""
+    rows = materialize(grouped(docs, n, percent, slots))
+    keeper = rows.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "of")).alias("k")).select("k.*")
+    kept = keeper.union(rows.filter(F.col("component").isNull()).select("doc_id", "of")).distinct()
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"))
+    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(kept["_of"]), "left_semi")
+    repeats = rows.filter(F.col("component").isNotNull()).groupBy("doc_id", "of").count().filter("count > 1")
+    if not repeats.limit(1).count():
+        return found
+    # rows that repeat id and text are one document; the other columns come from the first of them
+    place = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c).cast("string") for c in docs.columns])
+    numbered = found.withColumn("_n", F.row_number().over(place))
+    return numbered.filter((F.col("_n") == 1) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).drop("_n")

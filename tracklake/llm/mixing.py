@@ -232,3 +232,26 @@ def shard_parts(mixed: DataFrame, seed: int = SEED) -> DataFrame:
     parts = mixed.select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.*")
     order = F.xxhash64(F.lit(seed), "shard", "doc_id", "epoch", "first")
     return parts.withColumn("position", order).select("shard", "position", "doc_id", "epoch", "first", "words")
+
+
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The mix as documents: one row of ``docs`` (all columns) per epoch in which the mix takes words of it.
+
+    A document that is taken in part keeps the taken words with the white space between
+    them; ``n_chars`` is counted anew where ``docs`` has it.
+    """
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    sized = docs.select(*[docs[c].alias(x) for c, x in own.items()], docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size_of(docs["text"]).alias("size"))
+    rows = mix(sized, shards, block_words, seed)
+    epochs = F.explode(F.filter(F.sequence(F.lit(0), F.lit(MOST_EPOCHS - 1)), lambda e: F.exists("parts", lambda p: p["epoch"] == e))).alias("_epoch")
+    rows = rows.select(*own.values(), "size", "parts", epochs)
+    mine = F.array_sort(F.transform(F.filter("parts", lambda p: p["epoch"] == F.col("_epoch")), lambda p: F.struct(p["first"].alias("first"), p["words"].alias("words"))))
+    rows = rows.withColumn("_mine", mine)
+    words = F.regexp_extract_all(F.col(own["text"]), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_mine", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), ""))[0]
+    whole = F.aggregate("_mine", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("size")
+    text = F.when(whole, F.col(own["text"])).otherwise(F.rtrim(cut))
+    new = {"text": text}
+    if "n_chars" in own:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(x)).alias(c) for c, x in own.items()])

@@ -167,3 +167,11 @@ def without_repeats(
     ddl = ", ".join([f"`{c}` {types[c]}" for c in kept])
     out = map_batches(read, work, f"{ddl}{', ' if kept else ''}text string, n_sentences long, n_removed long")
     return out.select(*docs.columns, "n_sentences", "n_removed")
+
+
+def thinned(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with thinned texts and ``n_chars`` counted anew, without the documents that lost all of their text."""
+    out = without_repeats(docs, **options).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
