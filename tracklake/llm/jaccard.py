@@ -7,13 +7,13 @@
    only steers the work; any order gives the same links.
 3. Two sets with Jaccard similarity t or more share a shingle among the first
    ``n - ceil(t n) + 1`` of each in that order.  Classes meet at these shingles.
-4. At each shingle classes are sorted by size.  A first round links every class to
-   the leader of its size band and the class before it, keeps the two partners it
-   meets most often and verifies these pairs.  Linked classes get components; a second
-   round pairs everything else that meets in different components, behind the length,
-   positional and suffix filters, once per pair, and verifies it.  So copies of one text
-   cost pairs in proportion to their number, and no link between different components
-   is lost.
+4. Only shingles at which two classes meet go on.  In each of a few rounds every class
+   is offered random classes of its size that it meets in another component, keeps the
+   most alike by the suffix filter and verifies them; linked classes become components.
+   A last round pairs everything that still meets in different components, behind the
+   length, positional and suffix filters, once per pair, and verifies it.  So a large
+   family of near copies costs pairs in proportion to its number, and no link between
+   different components is lost.
 
 The suffix filter compares the sizes of the parts of two sets over 64 ranges of the hash:
 the sum of the differences never exceeds the symmetric difference.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, materialize
+from .common import fresh, map_batches, materialize
 from .components import components
 from .hashing import distinct_shingles, mixed, words_of
 
@@ -43,7 +43,8 @@ PARTS = 64
 #: A shingle is frequent when its counter passes this many times the mean counter (and this many at least).
 FREQUENT = 4
 LEAST_FREQUENT = 16
-#: Partners that a class keeps for the first round.
+#: Rounds of offers before the last round, and partners that a class keeps in each.
+OFFER_ROUNDS = 3
 PARTNERS = 2
 #: Verified pairs of one class are spread over so many groups.
 VERIFY_GROUPS = 8
@@ -122,91 +123,96 @@ def signatures(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
                     key.append(_key(own))
                     size.append(len(own))
                     prefix.append(ordered(own, levels.value, percent)[: prefix_length(len(own), percent)].view(np.int64))
-                    parts.append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                    parts.append(np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PARTS), 32_767).astype(np.int16))
         return {"doc_id": ids, "key": key, "size": size, "prefix": prefix, "parts": parts}
 
-    return map_batches(_texts(docs), work, "doc_id long, key long, size long, prefix array<bigint>, parts array<int>")
+    return map_batches(_texts(docs), work, "doc_id long, key long, size long, prefix array<bigint>, parts array<smallint>")
 
 
-def meeting_pairs(postings: DataFrame, percent: int, first_round: bool) -> DataFrame:
-    """Pairs (a, b) of classes that meet at a shingle; ``postings`` has shingle, key, size, at, component.
+def _by_shingle(postings: DataFrame, work, ddl: str) -> DataFrame:
+    """``work`` on the columns (key, size, at, component) of every shingle where two or more classes meet.
 
-    The first round gives each class b the leader a of its size band and its neighbour; the
-    second, with a < b, everything in different components that the length and positional filters
-    leave.  Groups stream through; the compares of a group are array operations.
+    Rows arrive sorted by (shingle, size, key); groups stream through, many per batch.
+    ``work(shingle, key, size, at, component)`` returns a list of arrays or None.
     """
-
-    def pairs(ids, size, at, comp):
-        k = len(ids)
-        if first_round:
-            leader = np.zeros(k, dtype=np.int64)
-            lead = 0
-            while lead < k:
-                last = int(np.searchsorted(size, size[lead] * 100 // percent, side="right"))
-                leader[lead:last] = lead
-                lead = max(last, lead + 1)
-            # the neighbour links bands; equal partners fall together later
-            return np.concatenate([leader[1:], np.arange(k - 1)]), np.concatenate([np.arange(1, k)] * 2)
-        left, right = [], []
-        for i in range(k - 1):
-            last = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-            j = np.arange(i + 1, last)
-            rest = 1 + np.minimum(size[i] - at[i] - 1, size[j] - at[j] - 1)
-            j = j[(comp[j] != comp[i]) & (rest >= required(size[i], size[j], percent))]
-            left.append(np.full(len(j), i))
-            right.append(j)
-        return np.concatenate(left), np.concatenate(right)
-
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    columns = ["shingle", "key", "size", "at", "component"]
 
     def run(batches):
         held = None
 
         def groups(table: list, final: bool):
-            shingle = table[0]
-            cuts = np.flatnonzero(np.diff(shingle)) + 1
-            bounds = np.concatenate([[0], cuts, [len(shingle)]])
-            many = np.flatnonzero(np.diff(bounds) > 1)
-            left, right = [], []
-            for g in many if final else many[many < len(bounds) - 2]:
-                ids, size, at, comp = (c[bounds[g] : bounds[g + 1]] for c in table[1:])
-                if not first_round and (comp == comp[0]).all():
-                    continue
-                i, j = pairs(ids, size, at, comp)
-                left.append(ids[i] if first_round else np.minimum(ids[i], ids[j]))
-                right.append(ids[j] if first_round else np.maximum(ids[i], ids[j]))
-            rest = None if final else [c[bounds[-2] :] for c in table]
-            if not left:
-                return None, rest
-            a, b = np.concatenate(left), np.concatenate(right)
-            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], schema=out), rest
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(table[0])) + 1, [len(table[0])]])
+            whole = bounds if final else bounds[:-1]
+            found = [work(*(c[a:b] for c in table)) for a, b in zip(whole[:-1], whole[1:]) if b - a > 1]
+            found = [f for f in found if f is not None]
+            return found, [c[whole[-1] :] for c in table]
 
         for batch in batches:
-            table = [c.to_numpy() for c in batch.columns]
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                table = [np.concatenate([h, c]) for h, c in zip(held, table)]
-            found, held = groups(table, False)
-            if found is not None:
-                yield found
-        if held is not None:
-            found, _ = groups(held, True)
-            if found is not None:
-                yield found
-
-    keyed = postings.select("shingle", "key", "size", "at", "component").repartition("shingle").sortWithinPartitions("shingle", "size", "key")
-    return keyed.mapInArrow(run, "a long, b long")
+            if batch.num_rows:
+                table = [c.to_numpy() for c in batch.columns]
+                found, held = groups(table if held is None else [np.concatenate(x) for x in zip(held, table)], False)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=names)
+        found = groups(held, True)[0] if held is not None else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=names)
+
+    names = [x.split()[0] for x in ddl.split(", ")]
+    return postings.select(*columns).repartition("shingle").sortWithinPartitions("shingle", "size", "key").mapInArrow(run, ddl)
+
+
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """The postings at shingles where two or more classes meet."""
+    return _by_shingle(postings, lambda shingle, key, size, at, component: [shingle, key, size, at], "shingle long, key long, size long, at int")
+
+
+def offers(postings: DataFrame, percent: int, round_: int) -> DataFrame:
+    """Pairs (a, b): for each class b two random classes of its size band and the one before it in size, of other components."""
+
+    def work(shingle, key, size, at, component):
+        if (component == component[0]).all():
+            return None
+        k, lead = len(key), 0
+        band = np.zeros(k, dtype=np.int64)
+        while lead < k:
+            last = max(lead + 1, int(np.searchsorted(size, size[lead] * 100 // percent, side="right")))
+            band[lead:last] = lead
+            lead = last
+        dealt = np.lexsort((mixed(key.view(np.uint64) + shingle[0].view(np.uint64) * np.uint64(2 * round_ + 1)), band))
+        left = np.concatenate([dealt[:-1], dealt[:-2], np.arange(k - 1)])
+        right = np.concatenate([dealt[1:], dealt[2:], np.arange(1, k)])
+        other = (component[left] != component[right]) & (key[left] != key[right])
+        return [key[left[other]], key[right[other]]]
+
+    return _by_shingle(postings, work, "a long, b long")
+
+
+def meetings(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that the length and positional filters leave."""
+
+    def work(shingle, key, size, at, component):
+        if (component == component[0]).all():
+            return None
+        left, right = [], []
+        for i in range(len(key) - 1):
+            j = np.arange(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, side="right")))
+            rest = 1 + np.minimum(size[i] - at[i] - 1, size[j] - at[j] - 1)
+            j = j[(component[j] != component[i]) & (key[j] != key[i]) & (rest >= required(size[i], size[j], percent))]
+            left.append(np.minimum(key[i], key[j]))
+            right.append(np.maximum(key[i], key[j]))
+        return [np.concatenate(left), np.concatenate(right)]
+
+    return _by_shingle(postings, work, "a long, b long").distinct()
 
 
 def suffix_filter(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the sizes over the ranges of the hash do not rule out."""
+    """Pairs (a, b) that the sizes over the ranges of the hash do not rule out, with their relative distance."""
     sides = [known.select(F.col("key").alias(x), F.col("size").alias(f"n{x}"), F.col("parts").alias(f"p{x}")) for x in "ab"]
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
     both = F.col("na") + F.col("nb")
+    met = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", both.alias("both"), apart.alias("apart"))
     # i >= percent (na + nb) / (100 + percent) and i = (na + nb - difference) / 2
-    kept = apart * (100 + percent) <= both * (100 - percent)
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(kept).select("a", "b")
+    return met.filter(F.col("apart") * (100 + percent) <= F.col("both") * (100 - percent)).select("a", "b", (F.col("apart") / F.col("both")).alias("distance"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,21 +269,33 @@ def grouped(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFr
     signed = signatures(docs, n, percent, levels)
     own = classes.select(F.col("key").alias("_key"), "rep")
     known = materialize(signed.join(own, (signed["key"] == own["_key"]) & signed["doc_id"].eqNullSafe(own["rep"]), "left_semi").drop("doc_id"))
-    postings = known.select(F.posexplode("prefix").alias("at", "shingle"), "key", "size")
-
-    met = meeting_pairs(postings.withColumn("component", F.col("key")), percent, True).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-    best = Window.partitionBy("b").orderBy(F.col("times").desc(), "a")
-    chosen = met.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= PARTNERS)
-    chosen = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = materialize(suffix_filter(chosen, known, percent))
-    links = materialize(verify(first, materialize(shingle_sets(docs, first, classes, n)), percent))
-
-    around = components(links).withColumnRenamed("node", "key")
-    placed = postings.join(around, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    second = materialize(suffix_filter(meeting_pairs(placed, percent, False).distinct(), known, percent))
-    more = verify(second, materialize(shingle_sets(docs, second, classes, n)), percent)
-
-    linked = components(links.union(more)).join(classes, F.col("node") == F.col("key")).select("key", "component", "rep")
+    postings = known.select(F.posexplode("prefix").alias("at", "shingle"), "key", "size").withColumn("component", F.col("key"))
+    shared = materialize(shared_postings(postings))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return materialize(verify(pairs, materialize(shingle_sets(docs, pairs, classes, n)), percent))
+
+    def placed(around: DataFrame | None) -> DataFrame:
+        if around is None:
+            return shared.withColumn("component", F.col("key"))
+        return shared.join(around.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+    links = around = None
+    best = Window.partitionBy("b").orderBy("distance", "a")
+    for round_ in range(OFFER_ROUNDS):
+        met = suffix_filter(offers(placed(around), percent, round_).distinct(), known, percent)
+        chosen = met.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= PARTNERS)
+        chosen = materialize(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = verified(chosen)
+        links = found if links is None else links.union(found)
+        around = materialize(components(links))
+
+    rest = verified(materialize(suffix_filter(meetings(placed(around), percent), known, percent).select("a", "b")))
+    # only one link between two components matters from here on
+    for x in "ab":
+        rest = rest.join(around.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x))
+    joins = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = components(links.union(joins)).join(classes, F.col("node") == F.col("key")).select("key", "component", "rep")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = classes.join(linked.join(least, "component").select("key", "component", "component_id"), "key", "left")
     named = named.select("key", F.coalesce("component", "key").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
@@ -302,5 +320,6 @@ def one_of_each(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> Da
         return found
     # rows that repeat id and text are one document; the other columns come from the first of them
     place = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c).cast("string") for c in docs.columns])
-    numbered = found.withColumn("_n", F.row_number().over(place))
-    return numbered.filter((F.col("_n") == 1) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).drop("_n")
+    number = fresh(docs.columns, "_n")
+    numbered = found.withColumn(number, F.row_number().over(place))
+    return numbered.filter((F.col(number) == 1) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).drop(number)
