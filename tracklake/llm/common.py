@@ -44,10 +44,34 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict]]
     return df.mapInArrow(run, ddl)
 
 
+def carry(docs: DataFrame, inputs: list[Column], work: Callable, ddl: str, start: Callable | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """``map_batches`` over ``inputs`` that carries every column of ``docs`` along.
+
+    Returns the frame and, for each column of ``docs``, the column to select it by; in the
+    frame they have names of their own, so no name of ``docs`` can clash with those of ``ddl``.
+    ``work`` gets a batch of the inputs alone.
+    """
+    own = {c: f"_carried{i}" for i, c in enumerate(docs.columns)}
+    read = docs.select(*[x.alias(f"_input{i}") for i, x in enumerate(inputs)], *[docs[c].alias(x) for c, x in own.items()])
+    fields = ", ".join(f"{own[f.name]} {f.dataType.simpleString()}" for f in docs.schema)
+    first, names = len(inputs), list(own.values())
+
+    def run(batch: pa.RecordBatch, state) -> dict:
+        found = work(batch.select(range(first)), state)
+        return found | {x: batch.column(first + i) for i, x in enumerate(names)}
+
+    frame = map_batches(read, run, f"{ddl}, {fields}", start)
+    return frame, {c: F.col(x).alias(c) for c, x in own.items()}
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name`` or a longer one that is not in ``columns``."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def fits_broadcast(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; reads no more than one row over."""
     return df.limit(most_rows + 1).count() <= most_rows
 
-
-def letters(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches
+from .common import carry
 
 #: Rows of each language whose text may enter its dictionary, and bytes of the dictionary.
 SAMPLE_ROWS = 400
@@ -107,32 +107,31 @@ def classify_text(text: str | None, compressors: list) -> tuple[str, float, bool
     return compressors[best][0], score, found >= SURE_LETTERS and score < NARROW
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, tuple[int, bytes]], keep: list[str]) -> DataFrame:
-    """``keep`` columns and lang_pred, score, rejected; the only input of a prediction is ``text``.
+def _predict(docs: DataFrame, dictionaries: dict[str, tuple[int, bytes]]) -> tuple[DataFrame, dict[str, Column]]:
+    """lang_pred, score, rejected beside the carried columns of ``docs``; the only input of a prediction is ``text``.
 
     The dictionaries are broadcast: their number is that of the languages, their size is bounded.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    kept = docs.select(*keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def work(batch: pa.RecordBatch, compressors: list) -> dict:
-        found = [classify_text(t, compressors) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        out = {c: batch.column(i) for i, c in enumerate(keep)}
-        return out | {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "rejected": [f[2] for f in found]}
+        found = [classify_text(t, compressors) for t in batch.column(0).to_pylist()]
+        return dict(zip(("lang_pred", "score", "rejected"), zip(*found)))
 
-    read = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].alias("t"))
-    return map_batches(read, work, f"{fields}, lang_pred string, score double, rejected boolean", lambda: _compressors(shared.value))
+    return carry(docs, [docs["text"].cast("string")], work, "lang_pred string, score double, rejected boolean", lambda: _compressors(shared.value))
+
+
+def _training(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).filter(~held_out(F.col("doc_id")))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every row of ``docs`` (doc_id, text, lang)."""
-    dictionaries = fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
-    marked = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return predict(marked, dictionaries, ["doc_id", "held_out"])
+    found, own = _predict(docs.select("doc_id", "text"), fit(_training(docs)))
+    return found.select(own["doc_id"], "lang_pred", "score", "rejected").withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not rejected, with all their columns."""
-    dictionaries = fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
-    return predict(docs, dictionaries, list(docs.columns)).filter(~F.col("rejected")).select(*docs.columns)
+    found, own = _predict(docs, fit(_training(docs)))
+    return found.filter(~F.col("rejected")).select(*own.values())

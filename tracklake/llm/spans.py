@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import carry, fresh, map_batches
 from .hashing import _BASE, _INVERSE, Words, mixed, powers, sums_of_runs, words_of
 
 MIN_SENTENCES = 3
@@ -125,19 +125,16 @@ def later_spans(docs: DataFrame, known: DataFrame, options: tuple[int, int, int]
     return met.groupBy("doc_id", "of").agg(F.collect_list(F.struct("begins", "last")).alias("spans"))
 
 
-def without_repeats(
-    docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY
-) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, ...) with ``text`` thinned, then n_sentences and n_removed."""
+def _thinned(docs: DataFrame, min_sentences: int, min_words: int, cut_every: int) -> tuple[DataFrame, dict]:
+    """thinned, n_sentences and n_removed beside the carried columns of ``docs``."""
     options = (min_sentences, min_words, cut_every)
-    later = later_spans(docs, repeated(docs, options), options).select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), F.col("spans").alias("_spans"))
-    joined = docs.join(later, (docs["doc_id"].cast("long") == later["_id"]) & (F.xxhash64(docs["text"].cast("string")) == later["_of"]), "left")
-    kept = [c for c in docs.columns if c != "text"]
-    read = joined.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(kept)], docs["text"].cast("string").alias("t"), F.col("_spans"))
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    found = fresh(docs.columns, "_spans")
+    later = later_spans(docs, repeated(docs, options), options).select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), F.col("spans").alias(found))
+    same = (docs["doc_id"].cast("long") == later["_id"]) & (F.xxhash64(docs["text"].cast("string")) == later["_of"])
+    joined = docs.join(later, same, "left").select(*[docs[c] for c in docs.columns], later[found])
 
     def work(batch: pa.RecordBatch, _) -> dict:
-        column, spans = batch.column(len(kept)), batch.column(len(kept) + 1).to_pylist()
+        column, spans = batch.column(0), batch.column(1).to_pylist()
         texts, sentences, removed = column.to_pylist(), [0] * len(column), [0] * len(column)
         for w, s in _runs(column, options):
             gone = np.zeros(len(s.text_of) + 1, dtype=np.int64)
@@ -162,16 +159,24 @@ def without_repeats(
                 edge = np.append(s.byte_start[a:b], stop)
                 keep = np.flatnonzero(~gone[a:b])
                 texts[w.first_text + t] = b"".join(w.data[edge[i] : edge[i + 1]].tobytes() for i in keep).decode().strip()
-        return {c: batch.column(i) for i, c in enumerate(kept)} | {"text": texts, "n_sentences": sentences, "n_removed": removed}
+        return {"thinned": texts, "n_sentences": sentences, "n_removed": removed}
 
-    ddl = ", ".join([f"`{c}` {types[c]}" for c in kept])
-    out = map_batches(read, work, f"{ddl}{', ' if kept else ''}text string, n_sentences long, n_removed long")
-    return out.select(*docs.columns, "n_sentences", "n_removed")
+    frame, own = carry(joined, [joined["text"].cast("string"), joined[found]], work, "thinned string, n_sentences long, n_removed long")
+    del own[found]
+    return frame, own
 
 
-def thinned(docs: DataFrame, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, ...) with ``text`` thinned, and n_sentences and n_removed, which replace columns of that name."""
+    frame, own = _thinned(docs, min_sentences, min_words, cut_every)
+    kept = [F.col("thinned").alias("text") if c == "text" else x for c, x in own.items() if c not in ("n_sentences", "n_removed")]
+    return frame.select(*kept, "n_sentences", "n_removed")
+
+
+def thinned(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
     """``docs`` with thinned texts and ``n_chars`` counted anew, without the documents that lost all of their text."""
-    out = without_repeats(docs, **options).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
+    frame, own = _thinned(docs, min_sentences, min_words, cut_every)
+    own |= {"text": F.col("thinned").alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("thinned").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return frame.filter((F.col("n_removed") == 0) | (F.col("thinned") != "")).select(*own.values())
