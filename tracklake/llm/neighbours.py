@@ -11,8 +11,8 @@ results, larger factors skip more.
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite
 components are neither queries nor candidates; only vectors of equal length are
 compared; rows with the id of the query are its own; equal scores go to the smaller
-id; a query with fewer candidates gets all of them.  Rows that repeat an id and a
-vector count once each.
+id; a query with fewer candidates gets all of them; rows that repeat an id and a vector
+count as one.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql.window import Window
 
 K = 20
 QUERY_STEP = 20
-FACTOR = 2.0
+#: On clustered vectors the ten best were found with recall 1.0 at this factor, 0.98 at 2 and 0.93 at 3.
+FACTOR = 1.2
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 16_384
 LEAF_ROWS = 128
@@ -121,14 +122,23 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(values), -1)
 
 
-def best_in_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
-    """(query id, id, score) of the k best rows of a shard for each query, the query's own rows left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+def _copies(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors, and for each distinct (vector, id) in that order the vector's number and the id."""
     distinct, copy_of = np.unique(x, axis=0, return_inverse=True)
     copy_of = copy_of.reshape(-1)
-    by = np.argsort(copy_of, kind="stable")  # the rows of each distinct vector, ids ascending
-    starts = np.searchsorted(copy_of[by], np.arange(len(distinct) + 1))
+    order = np.lexsort((ids, copy_of))
+    copy_of, ids = copy_of[order], ids[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (copy_of[1:] != copy_of[:-1]) | (ids[1:] != ids[:-1])
+    return distinct, copy_of[new], ids[new]
+
+
+def best_in_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
+    """(query id, id, score) of the k best rows of a shard for each query, the query's own rows left out."""
+    distinct, copy_of, ids = _copies(ids, x)
+    asked, asked_of, query_ids = _copies(query_ids, queries)
+    queries = asked[asked_of]
+    starts = np.searchsorted(copy_of, np.arange(len(distinct) + 1))
     # the query's own vector may be among the best
     who, row, _ = search(distinct, queries, k + 1, factor)
     score = exact_products(queries[who], distinct[row])
@@ -142,7 +152,7 @@ def best_in_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries
     copies = np.minimum(starts[row + 1] - starts[row], k + 1)
     expand = np.repeat(np.arange(len(row)), copies)
     within = np.arange(len(expand)) - np.repeat(np.cumsum(copies) - copies, copies)
-    found = ids[by[starts[row[expand]] + within]]
+    found = ids[starts[row[expand]] + within]
     who, score = who[expand], score[expand]
     other = found != query_ids[who]
     who, found, score = who[other], found[other], score[other]
