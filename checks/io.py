@@ -23,11 +23,16 @@ def fresh(spark) -> str:
     return f"{shared_folder(spark)}/io-{uuid.uuid4().hex}"
 
 
-def raw_files(spark, sf, parts: int = 3) -> str:
-    """The raw reports as header CSV files."""
+def raw_files(spark, sf) -> str:
+    """The raw reports as header CSV files of three layouts: file order, turned round with other columns and ';', and marks around the names."""
     path = fresh(spark)
-    out = reports_raw(spark, sf).select(*[F.col(c).alias(h) for h, c in source.RAW_HEADERS.items()])
-    out.repartition(parts).write.csv(path, header=True, emptyValue="")
+    raw = reports_raw(spark, sf).withColumn("part", F.pmod(F.xxhash64(*source.RAW_COLUMNS), F.lit(3)))
+    named = [F.col(c).alias(h) for h, c in source.RAW_HEADERS.items()]
+    other = [F.lit("x").alias("Callsign"), *reversed(named), F.lit(1).alias("IMO")]
+    marked = [F.col(c).alias(f" {h.lstrip('# ').upper()} ") for h, c in source.RAW_HEADERS.items()]
+    raw.filter("part = 0").select(*named).coalesce(1).write.csv(f"{path}/a", header=True, emptyValue="")
+    raw.filter("part = 1").select(*other).coalesce(1).write.csv(f"{path}/b", header=True, emptyValue="", sep=";")
+    raw.filter("part = 2").select(*marked[3:], *marked[:3]).coalesce(1).write.csv(f"{path}/c", header=True, emptyValue="", sep="\t")
     return path
 
 
@@ -43,24 +48,23 @@ def _(spark, sf):
 @check("a8_ingest_incremental", f"WITH {_TYPED_SQL} SELECT coalesce(reason, 'good') AS reason, count(*) AS n FROM typed GROUP BY ALL")
 def _(spark, sf):
     src, out = raw_files(spark, sf), fresh(spark)
-    ingest_incremental(spark, src, out, f"{out}/ckpt", files_per_batch=2)
-    ingest_incremental(spark, src, out, f"{out}/ckpt", files_per_batch=2)  # nothing new: no second copy
+    ingest_incremental(spark, src, out, files_per_batch=2)
+    ingest_incremental(spark, src, out, files_per_batch=2)  # nothing new: no second copy
     good = spark.read.parquet(f"{out}/good").select(F.lit("good").alias("reason"))
     bad = spark.read.parquet(f"{out}/rejects").select("reason")
     return good.unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("a9_ledger", f"WITH {RAW_SQL} SELECT CAST(0 AS BIGINT) AS left_to_load, CAST(3 AS BIGINT) AS in_ledger, (SELECT count(*) FROM raw) AS rows_read")
+@check("a9_ledger", f"""WITH {_TYPED_SQL} SELECT CAST(0 AS BIGINT) AS left_to_load, CAST(3 AS BIGINT) AS files, count(*) AS rows_read, count(*) FILTER (reason IS NULL) AS rows_inserted,
+   count(*) FILTER (reason IS NOT NULL) AS rows_skipped, count(*) FILTER (reason = 'missing_ts') AS skip_missing_ts, count(*) FILTER (reason = 'missing_core') AS skip_missing_core,
+   count(*) FILTER (reason = 'bad_coords') AS skip_bad_coords FROM typed""")
 def _(spark, sf):
     src, out = raw_files(spark, sf), fresh(spark)
-    ingest_incremental(spark, src, out, f"{out}/ckpt")
-    files = ledger.list_files(spark, [src]).filter(F.col("path").endswith(".csv"))
-    todo = ledger.ledger_filter(files, ledger.empty_ledger(spark))
-    rows = todo.select("*", F.lit("done").alias("status"))
-    known = ledger.ledger_upsert(ledger.ledger_upsert(ledger.empty_ledger(spark), rows), rows)
-    left = ledger.ledger_filter(files, known).agg(F.count(F.lit(1)).alias("left_to_load"))
-    read = spark.read.parquet(f"{out}/ledger").select(F.sum("rows_read")).scalar()
-    return left.select("left_to_load", known.select(F.count(F.lit(1))).scalar().alias("in_ledger"), read.alias("rows_read"))
+    ingest_incremental(spark, src, out)
+    known = ledger.read_ledger(spark, f"{out}/ledger")
+    left = ledger.ledger_filter(ledger.list_files(spark, [src]), known).agg(F.count(F.lit(1)).alias("left_to_load"))
+    counts = [c for c in known.columns if c.startswith(("rows_", "skip_"))]
+    return known.agg(F.count(F.lit(1)).alias("files"), *[F.sum(c).alias(c) for c in counts]).withColumn("left_to_load", left.scalar())
 
 
 @check("a10_combine_days", f"""WITH {REPORTS_SQL}, d AS (SELECT CASE WHEN source_id = 's0' THEN 'a' ELSE 'b' END AS file, mmsi FROM reports)

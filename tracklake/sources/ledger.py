@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_COLUMNS = ["path", "size", "modified"]
-LEDGER_SCHEMA = "path string, size bigint, modified timestamp, rows_read bigint, rows_inserted bigint, rows_skipped bigint, status string"
+LEDGER_SCHEMA = (
+    "path string, size bigint, modified timestamp, rows_read bigint, rows_inserted bigint, rows_skipped bigint, "
+    "skip_missing_ts bigint, skip_missing_core bigint, skip_bad_coords bigint, status string"
+)
 
 
 def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Path, size and time of change of files; their content is not read."""
+    """Path, size and time of change of files, and ``uri``, the address that reads report; their content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("_metadata.file_path").alias("uri"))
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
@@ -30,7 +33,7 @@ def ledger_filter(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files still to load; a known path with other metadata is an error."""
     changed = [r["path"] for r in changed_files(files, ledger).limit(5).collect()]
     if changed:
-        raise ValueError(f"files changed after they were loaded: {changed}")
+        raise ValueError(f"files changed after they were loaded: {changed}; reset them to load them again")
     return files.join(ledger.select(*FILE_COLUMNS), FILE_COLUMNS, "left_anti")
 
 
@@ -41,3 +44,10 @@ def ledger_upsert(ledger: DataFrame, rows: DataFrame) -> DataFrame:
 
 def ledger_reset(ledger: DataFrame, path: str) -> DataFrame:
     return ledger.filter(F.col("path") != path)
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger that a load keeps in ``folder``: the last row of each path, without the paths that were reset."""
+    rows = spark.read.schema(f"{LEDGER_SCHEMA}, batch int").parquet(folder)
+    last = rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "path"]), "batch").alias("r"))
+    return last.select("path", "r.*").filter(F.col("status") != "reset")

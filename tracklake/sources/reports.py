@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ledger import list_files
 from ..functions.parsing import epoch_seconds, parse_ts, to_double, to_long, to_text
 
 # Raw file headers and the names used here, in file order.
@@ -63,27 +67,66 @@ def resolve_aliases(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{col}`").alias(name) for name, col in picked.items()])
 
 
-def sniff_delimiter(spark: SparkSession, path: str, lines: int = 200) -> str:
-    """The separator that occurs equally often in every sampled line; comma by default."""
-    sample = [r[0] for r in spark.read.text(path).limit(lines).collect() if r[0]]
-    for mark in DELIMITERS:
-        counts = {line.count(mark) for line in sample}
-        if len(counts) == 1 and counts.pop() > 0:
-            return mark
-    return ","
+def header_columns(line: str, sep: str) -> list[str]:
+    """Column names of a header line; a column without a name gets one from its place."""
+    names = next(csv.reader([line.replace("\ufeff", "")], delimiter=sep), [])
+    return [name if name.strip() else f"_c{i}" for i, name in enumerate(names)]
 
 
-def read_reports_csv(spark: SparkSession, path: str | list[str], sep: str | None = ",") -> DataFrame:
-    """Header CSV with every column as text; ``sep=None`` looks at the file first."""
-    if sep is None:
-        sep = sniff_delimiter(spark, path if isinstance(path, str) else path[0])
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False)
-    return normalize_headers(raw)
+def layout_of(line: str, sep: str | None = None, required: dict[str, str] | None = None) -> tuple[str, tuple[str, ...]]:
+    """(separator, columns) of a file with this header line: the separator under which all required names are found."""
+    wanted = [clean_header(h) for h in (RAW_HEADERS if required is None else required)]
+    options = [(mark, tuple(header_columns(line, mark))) for mark in (DELIMITERS if sep is None else (sep,))]
+    return max(options, key=lambda o: (len(set(wanted) & {clean_header(c) for c in o[1]}), len(o[1])))
+
+
+def first_lines(spark: SparkSession, paths: list[str], together: int = 64) -> dict[str, str]:
+    """First line of each file; reads only the beginning of every file, many files per job."""
+    found: dict[str, str] = {}
+    for start in range(0, len(paths), together):
+        heads = [spark.read.text(p).limit(1).select(F.lit(p).alias("path"), "value") for p in paths[start : start + together]]
+        found |= {r["path"]: r["value"] for r in reduce(DataFrame.union, heads).collect()}
+    return found
+
+
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """The separator under which the header of a file holds the required columns."""
+    return layout_of(first_lines(spark, [path]).get(path, ""))[0]
 
 
-def raw_schema() -> T.StructType:
-    """Explicit all-text schema in file order, for streaming reads."""
-    return T.StructType([T.StructField(h, T.StringType()) for h in RAW_HEADERS])
+def read_layouts(spark: SparkSession, paths: list[str], sep: str | None = None, keep_file: bool = False) -> DataFrame:
+    """Raw report columns of header files, each read by its own header; one scan per distinct layout.
+
+    A file that lacks a required column is an error that lists file and columns.
+    ``keep_file`` adds ``source_file``, the file's address as Spark reports it.
+    """
+    layouts: dict[tuple, list[str]] = {}
+    missing = {}
+    for path, line in first_lines(spark, paths).items():
+        layout = layout_of(line, sep)
+        absent = [h for h in RAW_HEADERS if clean_header(h) not in {clean_header(c) for c in layout[1]}]
+        if absent:
+            missing[path] = absent
+        layouts.setdefault(layout, []).append(path)
+    if missing:
+        raise ValueError("missing columns: " + "; ".join(f"{p}: {', '.join(m)}" for p, m in sorted(missing.items())[:20]))
+    if not layouts:
+        fields = [*RAW_COLUMNS, *(["source_file"] if keep_file else [])]
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in fields))
+    parts = []
+    for (mark, columns), files in layouts.items():
+        place = {clean_header(c): i for i, c in reversed(list(enumerate(columns)))}
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
+        raw = spark.read.csv(files, header=True, sep=mark, schema=schema, enforceSchema=True)
+        wanted = [F.col(f"c{place[clean_header(h)]}").alias(name) for h, name in RAW_HEADERS.items()]
+        parts.append(raw.select(*wanted, *([F.col("_metadata.file_path").alias("source_file")] if keep_file else [])))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_reports_csv(spark: SparkSession, path: str | list[str], sep: str | None = ",") -> DataFrame:
+    """Header CSV files with every column as text, found by name in each file; ``sep=None`` finds the separator per file."""
+    paths = [r["path"] for r in list_files(spark, [path] if isinstance(path, str) else path).select("path").collect()]
+    return read_layouts(spark, sorted(paths), sep)
 
 
 def report_id() -> Column:
@@ -145,25 +188,30 @@ def reject_counts(raw: DataFrame) -> DataFrame:
 def combine_days(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Day files as one table, and rows and distinct vessels per file and in total.
 
-    All files must spell the vessel column alike.
+    All files must spell the vessel column alike.  Files with equal headers are one scan.
     """
     if not paths:
         raise ValueError("at least one input file is needed")
-    frames, spelling = [], None
+    files: dict[str, str] = {}
     for path in paths:
-        frame = spark.read.csv(path, header=True, inferSchema=False)
-        current = next((c for c in ("MMSI", "mmsi") if c in frame.columns), None)
-        if current is None:
-            raise ValueError(f"no MMSI column in {path}; found {frame.columns}")
-        if spelling not in (None, current):
-            raise ValueError(f"{path} spells the vessel column {current!r}, earlier files {spelling!r}")
-        spelling = current
-        frames.append(frame.withColumn("source_file", F.lit(path)))
-    combined = frames[0]
-    for frame in frames[1:]:
-        combined = combined.unionByName(frame, allowMissingColumns=True)
+        for r in list_files(spark, [path]).select("path").collect():
+            files[r["path"]] = path
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    spellings: dict[str, str] = {}
+    for file, line in first_lines(spark, sorted(files)).items():
+        columns = tuple(header_columns(line, ","))
+        spelling = next((c for c in ("MMSI", "mmsi") if c in columns), None)
+        if spelling is None:
+            raise ValueError(f"no MMSI column in {file}; found {list(columns)}")
+        spellings.setdefault(spelling, file)
+        layouts.setdefault(columns, []).append(file)
+    if len(spellings) > 1:
+        raise ValueError(f"files spell the vessel column in different ways: {spellings}")
+    given = F.create_map(*[F.lit(x) for r in list_files(spark, sorted(files)).collect() for x in (r["uri"], files[r["path"]])])
+    frames = [spark.read.csv(group, header=True, inferSchema=False).withColumn("source_file", given[F.col("_metadata.file_path")]) for group in layouts.values()]
+    combined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     counts = combined.groupingSets([["source_file"], []], "source_file").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct(spelling).alias("vessels")
+        F.count(F.lit(1)).alias("rows"), F.countDistinct(next(iter(spellings))).alias("vessels")
     )
     return combined, counts
 
