@@ -34,7 +34,7 @@ ROUNDS = 16
 #: Digests of both sides that a block of the larger sketches holds on average.
 BLOCK_DIGESTS = 64
 #: Characters after which a line may be cut at a sentence end.
-LONG_LINE = 160
+LONG_LINE = 80
 BUCKET_ROWS = 8192
 MOST_BUCKETS = 250_000
 
