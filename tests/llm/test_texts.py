@@ -375,7 +375,7 @@ def test_mixed_documents(docs, rows, empty):
 def test_sketches(docs, rows, empty):
     import hashlib
 
-    cut = re.compile(r"[^\n]{160,}?[.!?](?= )|[^\n]+")
+    cut = re.compile(r"[^\n]{80,}?[.!?](?= )|[^\n]+")
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [r[1] or "" for r in order]
     got = defaultdict(list)
