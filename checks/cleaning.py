@@ -280,32 +280,40 @@ _TAG_SQL = f"""{DETECTED_SQL}, tag0 AS (SELECT *, lag(t) OVER w AS pt, lag(lat)
    report_id IN (SELECT report_id FROM o_s3) AS kept FROM reports WINDOW w AS (PARTITION BY mmsi ORDER BY t, report_id)),
 tag AS (SELECT *, round({hav('pa', 'po', 'lat', 'lon')}, 4) AS dist_prev_km,
    round(prev_sog * 1.852e0 * h * (1.2e0 * (1 + 0.3e0 * h)), 4) AS allowed_km,
-   CASE WHEN h > 0 THEN round({hav('pa', 'po', 'lat', 'lon')} / (h * 1.852e0), 2) END AS implied_speed_knots
+   CASE WHEN h > 0 THEN round({hav('pa', 'po', 'lat', 'lon')} / (h * 1.852e0), 2) END AS implied_speed_knots,
+   {hav('pa', 'po', 'lat', 'lon')} AS exact_km, prev_sog * 1.852e0 * h * (1.2e0 * (1 + 0.3e0 * h)) AS exact_reach,
+   CASE WHEN h > 0 THEN {hav('pa', 'po', 'lat', 'lon')} / (h * 1.852e0) END AS exact_kn
    FROM (SELECT *, (floor(t) - floor(pt)) / 3600e0 AS h FROM tag0))"""
 
 
-@check("c8_tag_deleted", f"""WITH {_TAG_SQL} SELECT report_id, kept, coalesce(prev_sog, -1) AS prev_sog, coalesce(dist_prev_km, -1) AS dist_prev_km,
-       coalesce(allowed_km, -1) AS allowed_km, coalesce(implied_speed_knots, -1) AS implied_speed_knots FROM tag""")
+@check("c8_tag_deleted", f"""WITH {_TAG_SQL} SELECT report_id, kept, coalesce(prev_sog, -1) AS prev_sog, coalesce(dist_prev_km, -1) AS step_km,
+       coalesce(allowed_km, -1) AS reach_km, coalesce(implied_speed_knots, -1) AS needed_kn FROM tag""")
 def _(spark, sf):
     t = quality.tag_deleted(reports(spark, sf), detected(spark, sf))
-    cols = ["prev_sog", "dist_prev_km", "allowed_km", "implied_speed_knots"]
-    return t.select("report_id", "kept", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in cols])
+    shown = {"prev_sog": F.col("prev_sog"), "step_km": F.round("step_km", 4), "reach_km": F.round("reach_km", 4), "needed_kn": F.round("needed_kn", 2)}
+    return t.select("report_id", "kept", *[F.coalesce(c, F.lit(-1.0)).alias(n) for n, c in shown.items()])
 
 
-@check("c9_deleted_stats", f"""WITH {_TAG_SQL} SELECT count(*) AS n, round(avg(prev_sog), 2) AS avg_prev_sog, round(quantile_disc(prev_sog, 0.5), 2) AS median_prev_sog,
-       round(avg(dist_prev_km), 4) AS avg_dist_prev_km, round(avg(allowed_km), 4) AS avg_allowed_km, round(avg(implied_speed_knots), 2) AS avg_implied_speed,
-       count(*) FILTER (prev_sog < 1) AS prev_sog_lt_1, count(*) FILTER (prev_sog < 0.5) AS prev_sog_lt_05,
-       count(*) FILTER (implied_speed_knots > 50) AS implied_gt_50kn FROM tag WHERE NOT kept AND prev_sog IS NOT NULL""")
+@check("c9_deleted_causes", f"""WITH {_TAG_SQL}, gone AS (SELECT * FROM tag WHERE NOT kept AND prev_sog IS NOT NULL) SELECT 'any' AS cause, count(*) AS reports FROM gone
+       UNION ALL SELECT 'slow_before', count(*) FILTER (prev_sog < 1) FROM gone UNION ALL SELECT 'stopped_before', count(*) FILTER (prev_sog < 0.5) FROM gone
+       UNION ALL SELECT 'impossible_step', count(*) FILTER (exact_kn > 50) FROM gone""")
 def _(spark, sf):
-    return quality.deleted_stats(quality.tag_deleted(reports(spark, sf), detected(spark, sf)))
+    return quality.deleted_causes(quality.tag_deleted(reports(spark, sf), detected(spark, sf)))
+
+
+@check("c9_deleted_profile", f"""WITH {_TAG_SQL} SELECT ship_type, count(*) AS deleted, round(avg(prev_sog), 6) AS mean_prev_sog, round(avg(exact_km), 6) AS mean_step_km, round(avg(exact_reach), 6) AS mean_reach_km
+       FROM tag WHERE NOT kept GROUP BY ship_type""")
+def _(spark, sf):
+    t = quality.deleted_profile(quality.tag_deleted(reports(spark, sf), detected(spark, sf)), ["ship_type"])
+    return t.select("ship_type", "deleted", *[F.round(c, 6).alias(c) for c in ("mean_prev_sog", "mean_step_km", "mean_reach_km")])
 
 
 @check("c10_deleted_samples", f"""WITH {_TAG_SQL}, gone AS (SELECT * FROM tag WHERE NOT kept),
-  top AS (SELECT mmsi, count(*) AS deleted_rows, round(avg(dist_prev_km), 4) AS avg_dist FROM gone GROUP BY mmsi ORDER BY deleted_rows DESC, mmsi LIMIT 5)
-  SELECT * FROM (SELECT report_id, mmsi, deleted_rows, avg_dist, row_number() OVER (PARTITION BY mmsi ORDER BY t, report_id) AS row FROM gone JOIN top USING (mmsi)) WHERE row <= 3""")
+  top AS (SELECT mmsi, count(*) AS deleted, round(avg(exact_km), 6) AS mean_step_km FROM gone GROUP BY mmsi ORDER BY deleted DESC, mmsi LIMIT 5)
+  SELECT * FROM (SELECT report_id, mmsi, deleted, mean_step_km, row_number() OVER (PARTITION BY mmsi ORDER BY t, report_id) AS row FROM gone JOIN top USING (mmsi)) WHERE row <= 3""")
 def _(spark, sf):
     t = quality.tag_deleted(reports(spark, sf), detected(spark, sf))
-    return quality.deleted_samples(t, 5, 3).select("report_id", "mmsi", "deleted_rows", "avg_dist", "row")
+    return quality.deleted_samples(t, 5, 3).select("report_id", "mmsi", "deleted", F.round("mean_step_km", 6).alias("mean_step_km"), "row")
 
 
 @check("c11_fully_removed", f"""WITH {REPORTS_SQL}, kept AS (SELECT * FROM reports WHERE ship_type <> 'SAR' AND mmsi NOT IN {_BLACK_SQL.format(src='reports')})

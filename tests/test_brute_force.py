@@ -181,3 +181,51 @@ def test_generated_workload_keeps_its_promises(spark, data):
     again = workload.generate_workload(p, 4, seed=1, profile_id="free", target_coverage=0.2, coverage_tolerance=0.3, max_queries=12,
                                        spatial_km=60.0, time_hours=120.0, limits=limits, batch=8)
     assert sorted(map(tuple, w.queries.select("lat_min", "t_start").collect())) == sorted(map(tuple, again.queries.select("lat_min", "t_start").collect()))
+
+
+def test_swaps_and_covering_on_random_tracks():
+    """The array and heap forms against plain loops, with many ties."""
+    from tracklake.operators.labels import _covering_picks
+    from tracklake.operators.simplify import _local_delta_swap, _local_swap
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(2, 40))
+        score = rng.integers(0, 5, n) / 4.0
+        order = rng.permutation(n)
+        cut = int(rng.integers(0, n + 1))
+        base, others = np.sort(order[:cut]), np.sort(order[cut:])
+        free, gone, added = base.tolist(), [], []
+        for a in sorted(others.tolist(), key=lambda p: (-score[p], p)):
+            if free:
+                out = min(free, key=lambda p: (abs(p - a), p))
+                free.remove(out)
+                gone.append(out)
+                added.append(a)
+        assert _local_swap(score, base, others) == (added, gone)
+
+        free, cand, gone, added, count = base.tolist(), others.tolist(), [], [], int(rng.integers(0, n))
+        while free and cand and len(added) < count:
+            near = {c: min(free, key=lambda p: (abs(p - c), p)) for c in cand}
+            best = max(cand, key=lambda c: (score[c] - score[near[c]], -c))
+            if score[best] - score[near[best]] <= 0:
+                break
+            added.append(best)
+            gone.append(near[best])
+            free.remove(near[best])
+            cand.remove(best)
+        assert _local_delta_swap(score, base, others, count) == (added, gone)
+
+        kept, radius, want = np.zeros(n, dtype=bool), int(rng.integers(0, 4)), int(rng.integers(0, n))
+        kept[base[: int(rng.integers(0, 3))]] = True
+        got, rest, mine = _covering_picks(score, kept, radius, want), score.copy(), kept.copy()
+        for b in np.flatnonzero(mine):
+            rest[max(0, b - radius) : b + radius + 1] = 0
+        for _ in range(min(want, int((~kept).sum()))):
+            gain = np.array([rest[max(0, i - radius) : i + radius + 1].sum() for i in range(n)])
+            if not (gain[~mine] > 1e-12).any():
+                gain = np.array([min([abs(i - j) for j in np.flatnonzero(mine)], default=1) for i in range(n)], dtype=float)
+            best = max(np.flatnonzero(~mine), key=lambda i: (round(gain[i] + 1e-3 * score[i], 12), -i))
+            mine[best] = True
+            rest[max(0, best - radius) : best + radius + 1] = 0
+        assert (got == mine).all()

@@ -5,6 +5,8 @@ Labels are sparse tables (traj_id, pos, label): a point without a row has label
 
 from __future__ import annotations
 
+import heapq
+import math
 from functools import reduce
 
 import numpy as np
@@ -439,6 +441,72 @@ def continuity_frequency(points: DataFrame, components: DataFrame, ratios: list[
     return component_frequency(points, components, ratios, CONTINUITY_WEIGHTS, temporal_fraction)
 
 
+def _covering_picks(mass: np.ndarray, kept: np.ndarray, radius: int, want: int) -> np.ndarray:
+    """``kept`` and ``want`` further positions, each with the most mass left around it; a pick uses up the mass in its radius.
+
+    Mass only goes away, so a value in the heap is an upper bound: the top is summed anew
+    and either still leads or goes back.  When no mass is left to win, the widest gaps are halved.
+    """
+    n, kept, left = len(mass), kept.copy(), np.maximum(mass, 0.0)
+
+    def use_up(at: int) -> None:
+        left[max(0, at - radius) : at + radius + 1] = 0.0
+
+    def around(at: int) -> float:
+        return math.fsum(left[max(0, at - radius) : at + radius + 1])
+
+    for at in np.flatnonzero(kept):
+        use_up(at)
+    heap = [(-(around(i) + 1e-3 * mass[i]), i) for i in np.flatnonzero(~kept).tolist()]
+    heapq.heapify(heap)
+    while want and heap:
+        bound, at = heapq.heappop(heap)
+        mine = around(at)
+        value = -(mine + 1e-3 * mass[at])
+        if value > bound:  # it has lost mass since
+            heapq.heappush(heap, (value, at))
+            continue
+        if mine <= 1e-12 and not _reachable(left, kept, radius):
+            break
+        kept[at] = True
+        use_up(at)
+        want -= 1
+    return _halve_gaps(mass, kept, want) if want else kept
+
+
+def _halve_gaps(mass: np.ndarray, kept: np.ndarray, want: int) -> np.ndarray:
+    """``kept`` and ``want`` further positions, each as far as possible from the kept ones; a gap is split where it was hit."""
+    n, kept, heap = len(mass), kept.copy(), []
+
+    def offer(low: int, high: int) -> None:
+        """The best position of the gap [low, high), which kept positions or the ends of the track bound."""
+        if low >= high:
+            return
+        at = np.arange(low, high)
+        far = np.minimum(at - low + 1 if low else np.full(len(at), n), high - at if high < n else np.full(len(at), n)) if low or high < n else np.ones(len(at))
+        value = far + 1e-3 * mass[low:high]
+        best = int(np.argmax(value))
+        heapq.heappush(heap, (-value[best], low + best, low, high))
+
+    edges = [-1, *np.flatnonzero(kept).tolist(), n]
+    for before, after in zip(edges[:-1], edges[1:]):
+        offer(before + 1, after)
+    while want and heap:
+        _, at, low, high = heapq.heappop(heap)
+        kept[at] = True
+        offer(low, at)
+        offer(at + 1, high)
+        want -= 1
+    return kept
+
+
+def _reachable(left: np.ndarray, kept: np.ndarray, radius: int) -> bool:
+    """Whether a position that is not kept still has mass in its radius."""
+    total = np.concatenate([[0.0], np.cumsum(left)])
+    at = np.flatnonzero(~kept)
+    return bool((total[np.minimum(at + radius + 1, len(left))] - total[np.maximum(at - radius, 0)] > 1e-12).any())
+
+
 def marginal_coverage(
     points: DataFrame, sparse: DataFrame, ratio: float, temporal_fraction: float = 0.5, radius_scale: float = 0.5
 ) -> DataFrame:
@@ -449,36 +517,25 @@ def marginal_coverage(
     ready = dense.select(*POINT, "label", k.alias("_k"), is_evenly_spaced(k=base_size(k, temporal_fraction)).alias("_base"))
 
     def choose(data: dict) -> dict:
-        score, kept, want = data["label"], data["_base"].astype(bool), int(data["_k"][0])
-        n = len(score)
-        radius = max(0, int(np.ceil(radius_scale * n / max(1, want))))
-        left = np.maximum(score, 0.0)
-        for at in np.flatnonzero(kept):
-            left[max(0, at - radius) : at + radius + 1] = 0.0
-        where = np.arange(n)
-        for _ in range(want - int(kept.sum())):
-            if kept.all():
-                break
-            prefix = np.concatenate([[0.0], np.cumsum(left)])
-            gain = prefix[np.minimum(where + radius + 1, n)] - prefix[np.maximum(where - radius, 0)]
-            if not (gain[~kept] > 1e-12).any():
-                chosen = np.flatnonzero(kept)
-                if len(chosen):
-                    at = np.searchsorted(chosen, where)
-                    before = np.abs(where - chosen[np.clip(at - 1, 0, len(chosen) - 1)])
-                    gain = np.minimum(before, np.abs(chosen[np.clip(at, 0, len(chosen) - 1)] - where)).astype(float)
-                else:
-                    gain = np.ones(n)
-            gain = gain + 1e-3 * score
-            gain[kept] = -np.inf
-            best = int(np.argmax(gain))
-            kept[best] = True
-            left[max(0, best - radius) : best + radius + 1] = 0.0
+        base, want = data["_base"].astype(bool), int(data["_k"][0])
+        radius = max(0, math.ceil(radius_scale * len(base) / max(1, want)))
+        kept = _covering_picks(data["label"], base, radius, max(0, want - int(base.sum())))
         return {c: data[c][kept] for c in POINT}
 
     return map_groups(ready, ["traj_id"], "pos", choose, "traj_id bigint, pos bigint")
 
 
+def marginal_coverage_label(
+    points: DataFrame, sparse: DataFrame, ratios: list[float], weights: list[float] | None = None, temporal_fraction: float = 0.5, radius_scale: float = 0.5
+) -> DataFrame:
+    """Label of a point: the weighted share of budgets at which covering picks it (equal weights by default)."""
+    if not ratios or weights is not None and (len(weights) != len(ratios) or min(weights) < 0 or not sum(weights)):
+        raise ValueError("give ratios, and as many weights, none negative and not all zero")
+    weights = weights or [1.0] * len(ratios)
+    picks = [marginal_coverage(points, sparse, r, temporal_fraction, radius_scale).withColumn("_w", F.lit(w / sum(weights))) for r, w in zip(ratios, weights)]
+    return reduce(DataFrame.union, picks).groupBy(*POINT).agg(clamp(F.sum("_w")).alias("label"))
+
+
 def query_spine(points: DataFrame, queries: DataFrame, fraction: float = 0.10, mass: str = "hit_group", turn_fraction: float = 0.25) -> DataFrame:
     """Evenly spaced in-box anchors and sharp turns of every visit share unit mass."""
     if mass not in ("hit_group", "query"):

@@ -6,6 +6,7 @@ returns the kept rows as (traj_id, pos).  Ties go to the earlier position.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -220,35 +221,84 @@ def _hybrid_stratified(points: DataFrame, ratio: float, center_weight: float) ->
     return _kept(ranked.filter((k >= n) | _ends() | (inner & (F.col("_r") == 1))))
 
 
-def _local_swap(score: np.ndarray, base: list[int], adds: list[int]) -> tuple[list[int], list[int]]:
+class _Free:
+    """Positions that can be taken once each; the nearest free one is found without a scan.
+
+    ``up[i]`` and ``down[i]`` lead to the next free slot on either side; paths are halved
+    on the way, as in a union-find forest.
+    """
+
+    def __init__(self, places: np.ndarray):
+        self.places = places
+        self.up, self.down = list(range(len(places) + 1)), list(range(len(places) + 1))
+
+    @staticmethod
+    def _root(links: list[int], i: int) -> int:
+        while links[i] != i:
+            links[i] = links[links[i]]
+            i = links[i]
+        return i
+
+    def nearest(self, place: int) -> int:
+        """Slot of the nearest free position, the left one of two equally near; -1 if none is free."""
+        i = int(np.searchsorted(self.places, place))
+        right = self._root(self.up, i)
+        left = self._root(self.down, i) - 1  # ``down`` is shifted by one, so that 0 means none
+        if right == len(self.places):
+            return left
+        return left if left >= 0 and place - self.places[left] <= self.places[right] - place else right
+
+    def take(self, slot: int) -> None:
+        self.up[slot] = slot + 1
+        self.down[slot + 1] = slot
+
+
+def _local_swap(score: np.ndarray, base: np.ndarray, adds: np.ndarray) -> tuple[list[int], list[int]]:
     """Each addition, best first, evicts the nearest base point still removable."""
-    free, gone = list(base), []
-    for a in sorted(adds, key=lambda p: (-score[p], p)):
-        if not free:
-            break
-        out = min(free, key=lambda p: (abs(p - a), p))
-        free.remove(out)
-        gone.append(out)
-    return adds[: len(gone)] if len(gone) < len(adds) else adds, gone
-
-
-def _local_delta_swap(score: np.ndarray, base: list[int], others: list[int], count: int) -> tuple[list[int], list[int]]:
-    """Again and again the best positive gain of a candidate over its nearest base point."""
-    free, cand = np.array(base), np.array(others)
-    added, gone = [], []
-    for _ in range(count):
-        if not len(free) or not len(cand):
+    free, added, gone = _Free(base), [], []
+    for a in adds[np.lexsort((adds, -score[adds]))].tolist():
+        slot = free.nearest(a)
+        if slot < 0:
             break
-        right = np.searchsorted(free, cand)
-        lo, hi = np.clip(right - 1, 0, len(free) - 1), np.clip(right, 0, len(free) - 1)
-        nearest = np.where(np.abs(free[lo] - cand) <= np.abs(free[hi] - cand), lo, hi)
-        gain = score[cand] - score[free[nearest]]
-        best = int(np.argmax(gain))
-        if gain[best] <= 0:
+        free.take(slot)
+        added.append(a)
+        gone.append(int(base[slot]))
+    return added, gone
+
+
+def _local_delta_swap(score: np.ndarray, base: np.ndarray, others: np.ndarray, count: int) -> tuple[list[int], list[int]]:
+    """Again and again the best positive gain of a candidate over its nearest base point.
+
+    Candidates wait in a heap by their gain.  A candidate whose base point was taken is
+    judged again against its next one when it comes up; it may only have gained by that, so
+    those that wait for a base point are judged as soon as it is taken.
+    """
+    free, added, gone = _Free(base), [], []
+    waiting: dict[int, list[int]] = {}
+    heap: list[tuple[float, int, int]] = []
+
+    def judge(c: int) -> None:
+        slot = free.nearest(c)
+        if slot >= 0:
+            heapq.heappush(heap, (-(score[c] - score[base[slot]]), c, slot))
+            waiting.setdefault(slot, []).append(c)
+
+    for c in others.tolist():
+        judge(c)
+    used: set[int] = set()
+    while heap and len(added) < count:
+        loss, c, slot = heapq.heappop(heap)
+        if c in used or free.up[slot] != slot:
+            continue
+        if loss >= 0:
             break
-        added.append(int(cand[best]))
-        gone.append(int(free[nearest[best]]))
-        free, cand = np.delete(free, nearest[best]), np.delete(cand, best)
+        free.take(slot)
+        used.add(c)
+        added.append(c)
+        gone.append(int(base[slot]))
+        for other in waiting.pop(slot, ()):
+            if other not in used:
+                judge(other)
     return added, gone
 
 
@@ -272,12 +322,11 @@ def _hybrid_matched(
     def choose(data: dict) -> dict:
         score, prio, keep = data["score"], data["_prio"], data["_base"].astype(bool)
         count, last = int(data["_swaps"][0]), len(score) - 1
-        removable = [int(p) for p in np.flatnonzero(keep) if p not in (0, last)]
-        others = [int(p) for p in np.flatnonzero(~keep)]
+        removable = np.setdiff1d(np.flatnonzero(keep), [0, last])
+        others = np.flatnonzero(~keep)
         if count > 0:
             if mode == "local_swap":
-                adds = sorted(others, key=lambda p: (-prio[p], p))[:count]
-                added, gone = _local_swap(score, removable, sorted(adds, key=lambda p: (-score[p], p)))
+                added, gone = _local_swap(score, removable, others[np.lexsort((others, -prio[others]))][:count])
             else:
                 added, gone = _local_delta_swap(score, removable, others, count)
             keep[gone], keep[added] = False, True
