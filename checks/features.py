@@ -235,7 +235,7 @@ def _(spark, sf):
    SELECT round(2 * avg(CASE WHEN abs(a.score - b.score) > 1e-8 AND abs(a.target - b.target) > 1e-8 THEN ((a.score - b.score) * (a.target - b.target) > 0)::INT END) - 1, 9) AS kendall
    FROM dr JOIN ix a ON a.i = i1 JOIN ix b ON b.i = i2 WHERE i1 <> i2""")
 def _(spark, sf):
-    return audits.kendall_sampled(_st(spark, sf), "score", "target", 20_000).select(r("kendall").alias("kendall"))
+    return audits.kendall(_st(spark, sf), "score", "target", 20_000).select(r("kendall").alias("kendall"))
 
 
 @check("l4_auc_and_ap", f"""WITH {_L}, {_RK}, c AS (SELECT *, sum(positive::INT) OVER (ORDER BY ds) AS hits FROM rk), n AS (SELECT count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS q FROM st)
@@ -293,13 +293,37 @@ def _(spark, sf):
     return s.select("changed", *_rounded(("mean_abs_delta", "max_abs_delta"), 8), *_rounded(("kept_jaccard", "kept_hamming", "top_jaccard"), 9))
 
 
-@check("l9b_prior_sensitivity", f"""WITH {PRIOR_SQL} SELECT 'query_hit' AS field, round(avg(query_hit), 9) AS mean_abs_delta, round(max(query_hit), 9) AS max_abs_delta, round(avg((query_hit > 1e-9)::INT), 9) AS changed_share, max(query_hit) <= 1e-9 AS is_flat FROM sampled
-   UNION ALL SELECT 'behavior', round(avg(behavior), 9), round(max(behavior), 9), round(avg((behavior > 1e-9)::INT), 9), max(behavior) <= 1e-9 FROM sampled""")
+@check("l3_kendall", f"""WITH {_L}, g AS (SELECT row_number() OVER () AS id, CAST(round(score / 1e-8) AS BIGINT) AS a, CAST(round(target / 1e-8) AS BIGINT) AS b FROM st),
+   p AS (SELECT sum(sign(x.a - y.a) * sign(x.b - y.b)) AS d, count(*) FILTER (x.a <> y.a AND x.b <> y.b) AS n FROM g x JOIN g y ON x.id < y.id) SELECT round(d / n, 9) AS kendall FROM p""")
+def _(spark, sf):
+    return audits.kendall(_st(spark, sf), "score", "target").select(r("kendall").alias("kendall"))
+
+
+def _prior_stats(field: str) -> str:
+    v = field
+    return f"""count(*) AS "values", round(avg({v}), 9) AS mean_abs_delta, round(max({v}), 9) AS max_abs_delta, round(avg({v}), 9) AS mean_delta, round(avg(({v} > 1e-9)::INT), 9) AS changed_share,
+       round(avg({v}), 9) AS mean_a, round(stddev_pop({v}), 7) AS std_a, round(avg(({v} > 1e-12)::INT), 9) AS nonzero_a, 0e0 AS mean_b, 0e0 AS std_b, 0e0 AS nonzero_b, max({v}) <= 1e-9 AS is_flat"""
+
+
+@check("l9b_prior_sensitivity", f"""WITH {PRIOR_SQL}, l AS (SELECT 'query_hit' AS field, query_hit AS v FROM sampled UNION ALL SELECT 'behavior', behavior FROM sampled)
+   SELECT field, {_prior_stats('v')} FROM l GROUP BY field UNION ALL SELECT 'all', {_prior_stats('v')} FROM l""")
 def _(spark, sf):
     s = sampled(spark, sf)
     zero = s.select("traj_id", "pos", F.lit(0.0).alias("query_hit"), F.lit(0.0).alias("behavior"))
     d = audits.prior_sensitivity(s, zero, ("query_hit", "behavior"))
-    return d.select("field", "is_flat", r("changed_share").alias("changed_share"), *_rounded(("mean_abs_delta", "max_abs_delta"), 9))
+    rounded = _rounded(("mean_abs_delta", "max_abs_delta", "mean_delta", "changed_share", "mean_a", "nonzero_a", "mean_b", "nonzero_b"), 9)
+    return d.select(F.coalesce("field", F.lit("all")).alias("field"), "values", "is_flat", *rounded, *_rounded(("std_a", "std_b"), 7))
+
+
+@check("l9b_prior_sample_gate", f"""WITH {PRIOR_SQL}, x AS (SELECT quantile_disc(lat, 0.6) AS cut FROM points), o AS (SELECT avg((lat > cut)::INT) AS share FROM points, x)
+   SELECT concat_ws(',', CASE WHEN (SELECT avg((query_hit > 1e-12)::INT) FROM sampled) <= 1e-6 THEN 'prior_not_zero' END, 'shuffle_changes_values', CASE WHEN share > 0.5 THEN 'points_inside_extent' END) AS failed_checks, false AS gate_pass FROM o""")
+def _(spark, sf):
+    s = sampled(spark, sf).select("traj_id", "pos", "query_hit")
+    p = points(spark, sf)
+    cut = p.agg(F.expr("percentile_disc(0.6) WITHIN GROUP (ORDER BY lat)")).first()[0]
+    extent = {"lat_min": -90.0, "lat_max": cut, "lon_min": -180.0, "lon_max": 180.0}
+    gate = audits.prior_sample_gate(audits.prior_sensitivity(s, s, ("query_hit",)), audits.outside_share(p, extent))
+    return gate.withColumn("failed_checks", F.array_join("failed_checks", ","))
 
 
 _RES_SQL = """res AS (SELECT (n_points % 4) AS cv, (traj_id % 7) AS rv, avg(speed) AS score, avg(turn_score) * 3 AS uniform, avg(heading) / 100 AS douglas_peucker, count(*) FILTER (speed > 5.9) AS gate_failures FROM points GROUP BY ALL),
@@ -329,15 +353,41 @@ def _(spark, sf):
     return g.select("method", r("sed_ratio", 5).alias("sed_ratio"), F.array_join("failed_checks", ",").alias("failed_checks"))
 
 
-@check("l11_diffusion_gate", f"""WITH {HITS_SQL}, {_POINT_SQL}, d AS (SELECT coalesce(round(label, 10), 0) AS label FROM points p LEFT JOIN pl ON pl.traj_id = p.traj_id AND pl.pos = p.pos),
-   o AS (SELECT *, row_number() OVER (ORDER BY label DESC) AS rn, count(*) OVER () AS n FROM d), s AS (SELECT avg((label > 0)::INT) AS support, sum(label) FILTER (rn <= ceil(0.05e0 * n)) / sum(label) AS top5_mass FROM o)
-   SELECT round(support, 9) AS support, round(top5_mass, 7) AS top5_mass, support <= 0.5 AND top5_mass >= 0.1 AS gate_pass FROM s""")
+_SPREAD_SQL = f"""WITH {POINTS_SQL}, d AS (SELECT traj_id, pos, greatest(0, speed / 6 - 0.5e0) AS label, CASE WHEN pos % 3 = 0 THEN 0.04e0 ELSE 0.5e0 * (pos % 2) END AS boundary, least(1, speed / 6) AS behavior,
+       CASE WHEN pos % 10 = 0 THEN 1e0 ELSE 0e0 END AS replacement, speed / 6 AS hit_probability FROM points),
+   l AS (UNPIVOT d ON label, boundary, behavior, replacement, hit_probability INTO NAME head VALUE v),
+   o AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY v DESC) AS rn, count(*) OVER (PARTITION BY head) AS n FROM l),
+   h AS (SELECT head, avg((v > CASE WHEN head IN ('boundary', 'replacement') THEN 0.05e0 ELSE 0.01e0 END)::INT) AS support,
+       CASE WHEN head <> 'label' THEN sum(v) FILTER (rn <= ceil(0.05e0 * n)) / sum(v) END AS top5_mass FROM o GROUP BY head),
+   f AS (SELECT *, head NOT IN ('hit_probability') AS blocking, concat_ws(',', CASE WHEN support > 0.5 THEN 'support' END, CASE WHEN top5_mass < 0.1 THEN 'top5_mass' END) AS failed_checks FROM h)"""
+
+
+def _spread(spark, sf):
+    d = points(spark, sf).select(
+        "traj_id", "pos", F.greatest(F.lit(0.0), F.col("speed") / 6 - 0.5).alias("label"), F.when(F.col("pos") % 3 == 0, 0.04).otherwise(0.5 * (F.col("pos") % 2)).alias("boundary"),
+        F.least(F.lit(1.0), F.col("speed") / 6).alias("behavior"), F.when(F.col("pos") % 10 == 0, 1.0).otherwise(0.0).alias("replacement"), (F.col("speed") / 6).alias("hit_probability"))
+    return audits.diffusion_rows(d, "label", ["boundary", "behavior", "replacement", "hit_probability"])
+
+
+@check("l11_diffusion_rows", f"""{_SPREAD_SQL} SELECT head, round(support, 9) AS support, round(top5_mass, 7) AS top5_mass, blocking, failed_checks FROM f""")
 def _(spark, sf):
-    from tracklake.operators.labels import point_f1_labels
+    return _spread(spark, sf).select("head", r("support").alias("support"), r("top5_mass", 7).alias("top5_mass"), "blocking", F.array_join("failed_checks", ",").alias("failed_checks"))
 
-    pl = point_f1_labels(points(spark, sf), boxes(spark)).withColumn("label", r("label", 10))
-    dense = points(spark, sf).select("traj_id", "pos").join(pl, ["traj_id", "pos"], "left").na.fill(0.0, ["label"])
-    return audits.diffusion_gate(dense).select(r("support").alias("support"), r("top5_mass", 7).alias("top5_mass"), "gate_pass")
+
+@check("l11_diffusion_gate", f"""{_SPREAD_SQL}, x AS (SELECT head, unnest(string_split(failed_checks, ',')) AS c FROM f WHERE blocking AND failed_checks <> '')
+   SELECT coalesce(string_agg(head || ':' || c, ',' ORDER BY head || ':' || c), '') AS failed_checks, count(*) = 0 AS gate_pass FROM x""")
+def _(spark, sf):
+    return audits.diffusion_gate(_spread(spark, sf)).withColumn("failed_checks", F.array_join("failed_checks", ","))
+
+
+@check("l11_selection_scores", f"""WITH {POINTS_SQL}, m AS (SELECT mmsi AS run_id, avg(speed) / 6 AS score, avg(turn_score) AS uniform, CASE WHEN mmsi % 3 = 0 THEN 0e0 ELSE 1e0 END AS spread, CASE WHEN mmsi % 2 = 0 THEN avg(heading) / 360 END AS loss FROM points GROUP BY mmsi)
+   SELECT run_id, round(coalesce(0.001e0 * score - loss, score) - (spread < 0.001)::INT, 9) AS selection, round(score + 0.5e0 * (score - uniform) - greatest(0, uniform - score) - (spread < 0.001)::INT, 9) AS gap_selection FROM m""")
+def _(spark, sf):
+    m = points(spark, sf).groupBy(F.col("mmsi").alias("run_id")).agg(
+        (F.avg("speed") / 6).alias("score"), F.avg("turn_score").alias("uniform"), F.when(F.col("mmsi") % 3 == 0, 0.0).otherwise(1.0).alias("spread"),
+        F.when(F.col("mmsi") % 2 == 0, F.avg("heading") / 360).alias("loss"))
+    gap = audits.uniform_gap_score(F.col("score"), F.col("uniform"), F.col("spread"), {"range": (F.col("score"), F.col("uniform"))}, {"range": 2.0})
+    return m.select("run_id", F.round(audits.selection_score(F.col("score"), F.col("spread"), F.col("loss")), 9).alias("selection"), F.round(gap, 9).alias("gap_selection"))
 
 
 @check("l12_grid_acceptance", f"""WITH {POINTS_SQL}, {_RES_SQL} SELECT 28 - count(*) AS missing_cells, 0::BIGINT AS duplicate_cells, count(*) FILTER (score > uniform) AS wins_uniform, count(*) FILTER (score > douglas_peucker) AS wins_douglas_peucker,
@@ -355,29 +405,42 @@ def _(spark, sf):
     return audits.audit_summary(m, "s0", ["s1", "s2"]).withColumns({c: r(c) for c in ("mean_delta", "low_mean_delta")})
 
 
-@check("l14_best_run_and_status", f"""WITH {POINTS_SQL}, m AS (SELECT mmsi AS run_id, CASE WHEN mmsi % 5 = 0 THEN NULL ELSE avg(speed) END AS score, avg(turn_score) AS fallback, count(*) FILTER (speed > 5.9) AS gate_failures FROM points GROUP BY mmsi)
-   SELECT run_id, CASE WHEN score IS NULL THEN 'incomplete' WHEN gate_failures > 0 THEN 'gates_failed' ELSE 'ok' END AS status, run_id = (SELECT run_id FROM m ORDER BY coalesce(score, fallback) DESC, run_id DESC LIMIT 1) AS is_best FROM m""")
-def _(spark, sf):
+_RUN_SQL = f"""WITH {POINTS_SQL}, m AS (SELECT mmsi AS run_id, CASE WHEN mmsi % 5 = 0 THEN NULL ELSE round(avg(speed), 0) END AS score, round(avg(turn_score), 1) AS fallback, round(avg(heading) / 60, 0) AS uniform, round(avg(lat), 0) % 6 AS douglas_peucker,
+   (mmsi % 11 = 0)::INT AS exit_code, mmsi % 13 = 0 AS upper_bound, mmsi % 7 <> 0 AS blind, mmsi % 9 <> 0 AS frozen, CASE WHEN mmsi % 4 > 0 THEN (mmsi % 4) * 0.125e0 END AS free_share FROM points GROUP BY mmsi),
+   c AS (SELECT *, CASE WHEN NOT blind THEN 'not_workload_blind' WHEN free_share IS NULL THEN 'missing_selector_evidence' WHEN free_share < 0.25 THEN 'selector_scaffold_dominated' ELSE 'model_has_material_budget' END AS claim FROM m)"""
+
+
+def _judged_runs(spark, sf):
     m = points(spark, sf).groupBy(F.col("mmsi").alias("run_id")).agg(
-        F.when(F.col("mmsi") % 5 != 0, F.avg("speed")).alias("score"), F.avg("turn_score").alias("fallback"),
-        F.count_if(F.col("speed") > 5.9).alias("gate_failures"), F.lit(None).cast("string").alias("error"))
+        F.when(F.col("mmsi") % 5 != 0, F.round(F.avg("speed"), 0)).alias("score"), F.round(F.avg("turn_score"), 1).alias("fallback"),
+        F.round(F.avg("heading") / 60, 0).alias("uniform"), (F.round(F.avg("lat"), 0) % 6).alias("douglas_peucker"))
+    i = F.col("run_id")
+    m = m.withColumns({"exit_code": (i % 11 == 0).cast("int"), "upper_bound": i % 13 == 0, "blind": i % 7 != 0, "frozen": i % 9 != 0, "free_share": F.when(i % 4 > 0, (i % 4) * 0.125)})
+    return audits.claim_evidence(m)
+
+
+@check("l14_best_run_and_status", f"""{_RUN_SQL} SELECT run_id, CASE WHEN exit_code <> 0 THEN 'child_failed' WHEN score IS NULL THEN 'missing_range_usefulness' WHEN upper_bound THEN 'diagnostic_upper_bound' WHEN NOT blind THEN 'non_blind_model'
+       WHEN NOT frozen THEN 'protocol_fail' WHEN score > uniform AND score > douglas_peucker THEN CASE WHEN claim IN ('missing_selector_evidence', 'selector_scaffold_dominated') THEN claim ELSE 'beats_uniform_and_douglas_peucker' END
+       WHEN score > douglas_peucker THEN 'fails_uniform' WHEN score > uniform THEN 'fails_douglas_peucker' ELSE 'fails_uniform_and_douglas_peucker' END AS status,
+       run_id = (SELECT run_id FROM c ORDER BY coalesce(score, fallback) DESC, run_id LIMIT 1) AS is_best FROM c""")
+def _(spark, sf):
+    m = _judged_runs(spark, sf)
     best = audits.best_run(m, ["score", "fallback"]).select("run_id").scalar()
     return audits.run_status(m).withColumn("_b", best).select("run_id", "status", (F.col("run_id") == F.col("_b")).alias("is_best"))
 
 
-@check("l14_worst_component", f"""WITH {EVAL_SQL}, l AS (UNPIVOT (SELECT method, point_f1, ship_f1, turn_coverage FROM metric_row) ON point_f1, ship_f1, turn_coverage INTO NAME component VALUE value)
-   SELECT a.component, round(a.value - b.value, 6) AS delta FROM l a JOIN l b USING (component) WHERE a.method = 'uniform' AND b.method = 'thirds' ORDER BY a.value - b.value, component LIMIT 1""")
+@check("l14_worst_component", f"""WITH {EVAL_SQL}, l AS (UNPIVOT (SELECT method, point_f1, ship_f1, turn_coverage FROM metric_row) ON point_f1, ship_f1, turn_coverage INTO NAME component VALUE value),
+   w AS (SELECT a.method, a.component, a.value - b.value AS delta, row_number() OVER (PARTITION BY a.method ORDER BY a.value - b.value, a.component) AS n FROM l a JOIN l b USING (component) WHERE (a.method, b.method) IN (('uniform', 'thirds'), ('thirds', 'thirds')))
+   SELECT method, CASE WHEN delta < 0 THEN component ELSE 'none' END AS component, CASE WHEN delta < 0 THEN round(delta, 6) ELSE 0 END AS delta FROM w WHERE n = 1""")
 def _(spark, sf):
     e = evaluated(spark, sf).withColumn("ratio", F.lit(0.2))
-    w = audits.worst_component(e, "uniform", "thirds", ["point_f1", "ship_f1", "turn_coverage"])
-    return w.select("component", r("delta", 6).alias("delta"))
+    rows = [audits.worst_component(e, m, "thirds", ["point_f1", "ship_f1", "turn_coverage"]).withColumn("method", F.lit(m)) for m in ("uniform", "thirds")]
+    return rows[0].unionByName(rows[1]).select("method", "component", r("delta", 6).alias("delta"))
 
 
-@check("l14_claim_evidence", f"""WITH {POINTS_SQL}, k AS (SELECT ratio, least(n_points, greatest(2, CAST(ceil(ratio * n_points) AS BIGINT))) AS k FROM points, (VALUES (0.05e0), (0.5e0)) AS x(ratio) WHERE pos = 0)
-   SELECT ratio, round(sum(k - least(k, greatest(2, ceil(k * 0.5e0)))) / sum(k), 9) AS free_share, sum(k - least(k, greatest(2, ceil(k * 0.5e0)))) / sum(k) >= 0.25 AS enough_evidence FROM k GROUP BY ratio""")
+@check("l14_claim_evidence", f"""{_RUN_SQL} SELECT run_id, claim, CASE WHEN blind THEN free_share >= 0.25 END AS enough_evidence FROM c""")
 def _(spark, sf):
-    b = simplify.selector_budgets(points(spark, sf), [0.05, 0.5])
-    return audits.claim_evidence(b).withColumn("free_share", r("free_share"))
+    return _judged_runs(spark, sf).select("run_id", "claim", "enough_evidence")
 
 
 @check("j24_target_fit")

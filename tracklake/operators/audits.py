@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,18 +62,78 @@ def _tau(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.coalesce(2.0 * same - 1.0, F.lit(0.0)).alias("kendall"))
 
 
-def kendall_sampled(df: DataFrame, score: str, target: str, max_pairs: int = 50_000, seed: int = 1706011) -> DataFrame:
-    """Kendall tau over all pairs if they are few, else over a seeded sample of pairs."""
-    numbered = order_index(df.select(*POINT, score, target), [F.col(p) for p in POINT], "_i")
+TIE = 1e-8
+
+
+def kendall(df: DataFrame, score: str, target: str, pairs: int | None = None, seed: int = 1706011) -> DataFrame:
+    """Kendall tau: exact over all pairs, or over ``pairs`` seeded draws where the caller asks for a sample.
+
+    Pairs whose scores or targets differ by at most ``TIE`` do not count.
+    """
+    data = df.select(*POINT, F.col(score).cast("double").alias("s"), F.col(target).cast("double").alias("t"))
+    return _kendall_exact(data) if pairs is None else _kendall_drawn(data, pairs, seed)
+
+
+def _kendall_drawn(data: DataFrame, pairs: int, seed: int) -> DataFrame:
+    numbered = order_index(data, [F.col(p) for p in POINT], "_i")
     n = numbered.count()
-    sides = [numbered.select(F.col("_i").alias(f"i{k}"), F.col(score).alias(f"s{k}"), F.col(target).alias(f"t{k}")) for k in (1, 2)]
-    spark = df.sparkSession
-    if n * (n - 1) // 2 <= max_pairs:  # at most max_pairs rows come out
-        partner = sides[0].withColumn("i2", F.explode(F.when(F.col("i1") < n - 1, F.sequence(F.col("i1") + 1, F.lit(n - 1)))))
-        return _tau(partner.join(sides[1], "i2"))
-    draws = spark.range(max_pairs).select(*[F.floor(unit_hash("pair", k, seed, F.col("id")) * n).alias(f"i{k}") for k in (1, 2)])
-    pairs = draws.filter("i1 <> i2").join(sides[0], "i1").join(sides[1], "i2")
-    return _tau(pairs)
+    sides = [numbered.select(F.col("_i").alias(f"i{k}"), F.col("s").alias(f"s{k}"), F.col("t").alias(f"t{k}")) for k in (1, 2)]
+    draws = data.sparkSession.range(pairs).select(*[F.floor(unit_hash("pair", k, seed, F.col("id")) * n).alias(f"i{k}") for k in (1, 2)])
+    return _tau(draws.filter("i1 <> i2").join(sides[0], "i1").join(sides[1], "i2"))
+
+
+#: The exact count cuts both orders into at most so many blocks of at least so many rows; its table of block pairs is bounded by the square.
+PAIR_BLOCKS = 1024
+PAIR_ROWS = 4096
+
+
+def inversions(x: np.ndarray) -> int:
+    """Pairs i < k with x[i] > x[k]."""
+    if len(x) <= 256:
+        return int(np.triu(x[:, None] > x[None, :]).sum())
+    left, right = x[: len(x) // 2], x[len(x) // 2 :]
+    across = len(left) * len(right) - int(np.searchsorted(np.sort(left), right, side="right").sum())
+    return inversions(left) + inversions(right) + across
+
+
+def _kendall_exact(data: DataFrame) -> DataFrame:
+    """Discordant pairs are the inversions of the target's order in that of the score.
+
+    Both orders are cut into blocks.  Pairs in different blocks of both follow from the
+    table of block counts, pairs in one block of the score from that block, and the rest
+    from the blocks of the target; a block is one group of about ``n / PAIR_BLOCKS`` rows.
+    Values are compared in multiples of ``TIE``.
+    """
+    spark = data.sparkSession
+    grid = data.select(*POINT, *[F.round(F.col(c) / TIE).cast("decimal(38,0)").alias(c) for c in ("s", "t")])
+    by_s = order_index(grid, [F.col("s"), F.col("t"), *map(F.col, POINT)], "i")
+    rows = order_index(by_s.select("s", "t", "i"), [F.col("t"), F.col("i")], "j")
+    n = rows.count()
+    size = max(PAIR_ROWS, -(-n // PAIR_BLOCKS))
+    rows = rows.withColumns({"a": F.floor(F.col("i") / size), "b": F.floor(F.col("j") / size)})
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [inversions(pdf.sort_values("i")["j"].to_numpy())]})
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        own = sum(inversions(g["j"].to_numpy()) for _, g in pdf.groupby("a"))  # already counted in their block of the score
+        return pd.DataFrame({"n": [inversions(pdf["j"].to_numpy()) - own]})
+
+    counted = [rows.groupBy("a").applyInPandas(inside, "n bigint"), rows.groupBy("b").applyInPandas(across, "n bigint")]
+    discordant = counted[0].union(counted[1]).agg(F.sum("n")).first()[0] or 0
+    cells = rows.groupBy("a", "b").count().toArrow()  # at most PAIR_BLOCKS squared
+    table = np.zeros((PAIR_BLOCKS, PAIR_BLOCKS), dtype=object)
+    table[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["count"].to_pylist()
+    earlier = np.cumsum(table, axis=0) - table  # of earlier blocks of the score, per block of the target
+    later = np.cumsum(earlier[:, ::-1], axis=1)[:, ::-1] - earlier  # and of later blocks of the target
+    discordant += int((table * later).sum())
+    tied = 0
+    for keys, sign in ((["s"], 1), (["t"], 1), (["s", "t"], -1)):
+        per = grid.groupBy(*keys).count().select((F.col("count") * (F.col("count") - 1) / 2).cast("decimal(38,0)").alias("p"))
+        tied += sign * int(per.agg(F.sum("p")).first()[0] or 0)
+    valid = n * (n - 1) // 2 - tied
+    return spark.createDataFrame([((valid - 2 * discordant) / valid if valid else 0.0,)], "kendall double")
 
 
 def roc_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
@@ -135,7 +197,7 @@ def score_target_metrics(df: DataFrame, score: str, target: str) -> DataFrame:
     row = one_row(
         base,
         spearman(data, "_score", "_target"),
-        kendall_sampled(data, "_score", "_target"),
+        kendall(data, "_score", "_target"),
         roc_auc(data, "_score", "_positive"),
         average_precision(data, "_score", "_positive"),
         ndcg_and_lift(data, "_score", "_target"),
@@ -209,16 +271,47 @@ def score_sensitivity(a: DataFrame, b: DataFrame, kept_a: DataFrame, kept_b: Dat
 
 
 def prior_sensitivity(a: DataFrame, b: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Per prior field: how much sampled values differ between two priors."""
+    """How much sampled values differ between two priors: one row per field, and one over all (field NULL).
+
+    Values that are not finite on either side are left out of both.
+    """
     long = [d.select(*POINT, *fields).unpivot(POINT, list(fields), "field", v) for d, v in ((a, "a"), (b, "b"))]
     both = long[0].join(long[1], [*POINT, "field"])
-    d = F.abs(F.col("a") - F.col("b"))
-    out = both.groupBy("field").agg(
-        F.avg(d).alias("mean_abs_delta"), F.max(d).alias("max_abs_delta"), F.avg((d > 1e-9).cast("double")).alias("changed_share")
+    finite = [~F.isnan(v) & (F.abs(v) < float("inf")) for v in ("a", "b")]
+    both = both.filter(finite[0] & finite[1])
+    d = F.col("a") - F.col("b")
+    sides = {}
+    for v in ("a", "b"):
+        sides |= {f"mean_{v}": F.avg(v), f"std_{v}": F.stddev_pop(v), f"nonzero_{v}": F.avg((F.abs(v) > 1e-12).cast("double"))}
+    out = both.groupingSets([["field"], []], "field").agg(
+        F.count(F.lit(1)).alias("values"),
+        F.avg(F.abs(d)).alias("mean_abs_delta"),
+        F.max(F.abs(d)).alias("max_abs_delta"),
+        F.avg(d).alias("mean_delta"),
+        F.avg((F.abs(d) > 1e-9).cast("double")).alias("changed_share"),
+        *[x.alias(n) for n, x in sides.items()],
     )
     return out.withColumn("is_flat", F.col("max_abs_delta") <= 1e-9)
 
 
+def outside_share(points: DataFrame, extent: dict[str, float]) -> DataFrame:
+    """Share of points outside the extent of a prior."""
+    inside = F.col("lat").between(extent["lat_min"], extent["lat_max"]) & F.col("lon").between(extent["lon_min"], extent["lon_max"])
+    return points.agg(F.avg((~inside).cast("double")).alias("outside_share"))
+
+
+def prior_sample_gate(sensitivity: DataFrame, outside: DataFrame) -> DataFrame:
+    """Was the prior used at all?  ``sensitivity`` compares it (a) with a shuffled one (b); one row with the failures."""
+    row = one_row(sensitivity.filter(F.col("field").isNull()), outside)
+    # fixed values: limits of the gate
+    checks = {
+        "prior_not_zero": F.col("nonzero_a") > 1e-6,
+        "shuffle_changes_values": ~F.col("is_flat"),
+        "points_inside_extent": F.coalesce(F.col("outside_share") <= 0.50, F.lit(True)),
+    }
+    return row.select(failed_checks(checks).alias("failed_checks")).withColumn("gate_pass", F.size("failed_checks") == 0)
+
+
 # ---- gates on results ------------------------------------------------------------------------
 
 
@@ -254,19 +347,67 @@ def sanity_gate(results: DataFrame, baseline: str = "uniform") -> DataFrame:
     return rows.withColumn("failed_checks", failed_checks(checks)).withColumn("gate_pass", F.size("failed_checks") == 0)
 
 
-def diffusion_gate(targets: DataFrame, name: str = "label") -> DataFrame:
-    """The target may not be spread thin: support at most half, top 5 % with a tenth of the mass."""
+# Fixed values of the diffusion gate: value above which a target counts as supported, and the heads that block.
+SUPPORT_ABOVE = {"boundary": 0.05, "replacement": 0.05}
+SUPPORT_ABOVE_DEFAULT = 0.01
+BLOCKING_HEADS = ("boundary", "behavior", "replacement")
+MAX_SUPPORT, MIN_TOP5_MASS = 0.50, 0.10
+
+
+def diffusion_rows(targets: DataFrame, final: str, heads: list[str]) -> DataFrame:
+    """How widely the final target and each head are spread: support and mass of the top 5 %, with failed checks.
+
+    ``blocking`` marks the rows whose failures count in the gate; the final target is judged by support alone.
+    """
     from .labels import topk_mass
 
-    support = targets.agg(F.avg((F.col(name) > 0).cast("double")).alias("support"))
-    row = one_row(support, topk_mass(targets, name, (0.05,)).select(F.col("share").alias("top5_mass")))
-    checks = {"support": F.col("support") <= 0.5, "top5_mass": F.col("top5_mass") >= 0.1}
-    return row.withColumn("failed_checks", failed_checks(checks)).withColumn("gate_pass", F.size("failed_checks") == 0)
+    above = {h: SUPPORT_ABOVE.get(h, SUPPORT_ABOVE_DEFAULT) for h in (final, *heads)}
+    wide = targets.agg(*[F.avg((F.col(h) > t).cast("double")).alias(h) for h, t in above.items()])
+    support = wide.unpivot([], list(above), "head", "support")
+    mass = None
+    for h in heads:
+        part = topk_mass(targets, h, (0.05,)).select(F.lit(h).alias("head"), F.col("share").alias("top5_mass"))
+        mass = part if mass is None else mass.unionByName(part)
+    rows = support if mass is None else support.join(mass, "head", "left")
+    if mass is None:
+        rows = rows.withColumn("top5_mass", F.lit(None).cast("double"))
+    is_final = F.col("head") == final
+    checks = {
+        "support": F.coalesce(F.col("support") <= MAX_SUPPORT + 1e-12, F.lit(False)),
+        "top5_mass": is_final | F.coalesce(F.col("top5_mass") >= MIN_TOP5_MASS - 1e-12, F.lit(False)),
+    }
+    return rows.withColumns({"blocking": is_final | F.col("head").isin(*BLOCKING_HEADS), "failed_checks": failed_checks(checks)})
+
+
+def diffusion_gate(rows: DataFrame) -> DataFrame:
+    """One row over ``diffusion_rows``: failures of the blocking targets as ``target:check``; no head at all is a failure too."""
+    named = F.explode(F.transform("failed_checks", lambda c: F.concat(F.col("head"), F.lit(":"), c))).alias("f")
+    failed = rows.filter("blocking").select(named).agg(F.array_sort(F.collect_list("f")).alias("failed_checks"))  # two per target
+    heads = rows.agg((F.count(F.lit(1)) > 1).alias("has_heads"))
+    out = one_row(failed, heads)
+    out = out.withColumn("failed_checks", F.when(F.col("has_heads"), F.col("failed_checks")).otherwise(F.array_append("failed_checks", F.lit("heads_missing"))))
+    return out.select("failed_checks", (F.size("failed_checks") == 0).alias("gate_pass"))
+
 
+def collapse_penalty(spread: Column) -> Column:
+    """1 where predictions have (almost) no spread, else 0."""
+    return F.when(spread < 1e-3, 1.0).otherwise(0.0)
 
-def selection_score(results: DataFrame, score: str = "score", penalty: float = 0.1) -> DataFrame:
-    """Score minus a penalty per failed sanity check."""
-    return results.withColumn("selection_score", F.col(score) - F.lit(penalty) * F.size("failed_checks"))
+
+def selection_score(quality: Column, spread: Column, loss: Column | None = None) -> Column:
+    """Rank of a checkpoint: by loss with ``quality`` as a tie-break, or by ``quality`` where no loss is given; never a collapsed one."""
+    by_quality = quality if loss is None else F.coalesce(1e-3 * quality - loss, quality)
+    return by_quality - collapse_penalty(spread)
+
+
+def uniform_gap_score(
+    score: Column, uniform: Column, spread: Column, kinds: dict[str, tuple[Column, Column]], weights: dict[str, float], gap_weight: float = 0.5, deficit_weight: float = 1.0
+) -> Column:
+    """Score plus its lead over even spacing, minus what each query kind loses to it; ``kinds`` has (own, uniform) per kind."""
+    total = sum(weights.values())
+    lost = [F.lit(weights[k] / total) * F.greatest(F.lit(0.0), F.coalesce(u, F.lit(0.0)) - F.coalesce(own, F.lit(0.0))) for k, (own, u) in kinds.items() if weights.get(k)]
+    deficit = sum(lost, F.lit(0.0))
+    return score + gap_weight * (score - uniform) - deficit_weight * deficit - collapse_penalty(spread)
 
 
 def grid_cells(results: DataFrame) -> DataFrame:
@@ -319,35 +460,60 @@ def audit_summary(results: DataFrame, method: str, baselines: list[str], score:
 
 
 def best_run(results: DataFrame, scores: list[str]) -> DataFrame:
-    """The run with the best first available score."""
+    """The run with the best first available score; of equal ones the smallest run_id."""
     value = F.coalesce(*[F.col(s) for s in scores])
-    return results.agg(F.max_by("run_id", F.struct(value, F.col("run_id"))).alias("run_id"), F.max(value).alias("score"))
+    best = results.agg(F.max(value).alias("score"))
+    first = results.select("run_id", value.alias("_v")).join(F.broadcast(best), F.col("_v") == F.col("score"), "right")
+    return first.groupBy("score").agg(F.min("run_id").alias("run_id")).select("run_id", "score")
+
+
+# Names of the claim states, least share of free slots for a claim, and names of the run classes.
+MIN_FREE_SHARE = 0.25
+NO_EVIDENCE, DOMINATED, MATERIAL, NOT_BLIND = "missing_selector_evidence", "selector_scaffold_dominated", "model_has_material_budget", "not_workload_blind"
+RUN_CLASSES = {(True, True): "beats_uniform_and_douglas_peucker", (False, True): "fails_uniform", (True, False): "fails_douglas_peucker", (False, False): "fails_uniform_and_douglas_peucker"}
+
+
+def claim_evidence(budgets: DataFrame, min_share: float = MIN_FREE_SHARE) -> DataFrame:
+    """Can scores decide enough slots for a claim about them?  Adds ``claim`` and ``enough_evidence`` (NULL if unknown).
+
+    Reads ``free_share`` and, where there, ``blind`` (whether the method saw no query).
+    """
+    blind = F.coalesce(F.col("blind"), F.lit(False)) if "blind" in budgets.columns else F.lit(True)
+    enough = F.col("free_share") >= min_share
+    claim = F.when(~blind, NOT_BLIND).when(enough, MATERIAL).when(~enough, DOMINATED).otherwise(NO_EVIDENCE)
+    return budgets.withColumns({"claim": claim, "enough_evidence": F.when(blind, enough)})
 
 
 def run_status(results: DataFrame) -> DataFrame:
-    """Class of each run row."""
-    status = (
-        F.when(F.col("error").isNotNull(), "failed")
-        .when(F.col("score").isNull(), "incomplete")
-        .when(F.col("gate_failures") > 0, "gates_failed")
-        .otherwise("ok")
-    )
-    return results.withColumn("status", status)
+    """Adds ``status``, the class of a run, from exit_code, score, uniform, douglas_peucker, upper_bound, blind, frozen and claim.
+
+    Each obstacle stands for the first class that explains why the run proves nothing;
+    only runs without one are classed by their wins.
+    """
+    obstacles = {
+        "child_failed": F.coalesce(F.col("exit_code"), F.lit(1)) != 0,
+        "missing_range_usefulness": F.col("score").isNull() | F.col("uniform").isNull() | F.col("douglas_peucker").isNull(),
+        "diagnostic_upper_bound": F.coalesce("upper_bound", F.lit(False)),
+        "non_blind_model": ~F.coalesce("blind", F.lit(False)),
+        "protocol_fail": ~F.coalesce("frozen", F.lit(False)),
+    }
+    wins = [F.col("score") > F.col("uniform"), F.col("score") > F.col("douglas_peucker")]
+    obstacles |= {name: wins[0] & wins[1] & (F.col("claim") == name) for name in (NO_EVIDENCE, DOMINATED)}
+    first = F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in obstacles.items()])
+    classes = F.create_map(*[x for (u, d), name in RUN_CLASSES.items() for x in (F.lit(f"{u} {d}".lower()), F.lit(name))])
+    return results.withColumn("status", F.coalesce(first, classes[F.concat_ws(" ", wins[0].cast("string"), wins[1].cast("string"))]))
 
 
 def worst_component(results: DataFrame, method: str, baseline: str, components: list[str]) -> DataFrame:
-    """Per ratio the component in which a method lags most behind a baseline."""
+    """Per ratio the component in which a method lags most behind a baseline; ``none`` and 0 where it lags in none."""
     long = results.select("method", "ratio", *components).unpivot(["method", "ratio"], components, "component", "value")
     own = long.filter(F.col("method") == method).select("ratio", "component", "value")
     base = long.filter(F.col("method") == baseline).select("ratio", "component", F.col("value").alias("_base"))
-    both = own.join(base, ["ratio", "component"]).withColumn("delta", F.col("value") - F.col("_base"))
-    key = F.struct("delta", "component")
-    return both.groupBy("ratio").agg(F.min_by("component", key).alias("component"), F.min("delta").alias("delta"))
-
-
-def claim_evidence(budgets: DataFrame, min_share: float = 0.25) -> DataFrame:
-    """Can scores decide enough slots for a claim about them?"""
-    return budgets.select("ratio", "free_share", (F.col("free_share") >= min_share).alias("enough_evidence"))
+    both = own.join(base, ["ratio", "component"]).withColumn("delta", F.col("value") - F.col("_base")).filter(F.col("delta").isNotNull())
+    place = F.create_map(*[x for i, c in enumerate(components) for x in (F.lit(c), F.lit(i))])[F.col("component")]
+    worst = both.groupBy("ratio").agg(F.min(F.struct("delta", place.alias("place"), "component")).alias("w"))
+    lags = F.col("w.delta") < 0
+    return worst.select("ratio", F.when(lags, F.col("w.component")).otherwise("none").alias("component"), F.when(lags, F.col("w.delta")).otherwise(0.0).alias("delta"))
 
 
 def target_fit(points: DataFrame, scores: DataFrame, labels: DataFrame, ratios: list[float]) -> DataFrame:
@@ -364,6 +530,6 @@ def target_fit(points: DataFrame, scores: DataFrame, labels: DataFrame, ratios:
     wide = {f"{m}_mass_share": F.coalesce(F.col(m), F.lit(0.0)) / F.lit(max(total, 1e-12)) for m in ("score", "uniform", "ideal")}
     pairs = kept.filter("method = 'score'").join(kept.filter("method = 'ideal'").select("ratio", *POINT), ["ratio", *POINT], "left_semi")
     overlap = pairs.groupBy("ratio").agg(F.count(F.lit(1)).alias("overlap"))
-    tau = kendall_sampled(both, "score", "label").first()[0]
+    tau = kendall(both, "score", "label").first()[0]
     out = mass.withColumns(wide).drop("score", "uniform", "ideal").join(overlap, "ratio", "left").na.fill(0, ["overlap"])
     return out.withColumn("kendall", F.lit(tau))

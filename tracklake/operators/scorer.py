@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import clamp
-from .audits import kendall_sampled, ndcg_and_lift
+from .audits import kendall, ndcg_and_lift
 from .labels import TARGETS
 from .simplify import simplify_segment_budget
 
@@ -57,4 +57,4 @@ def block_fit(scores: DataFrame, targets: DataFrame, size: int = 32, ratio: floa
     blocks = both.groupBy("traj_id", F.floor(F.col("pos") / size).alias("pos")).agg(F.avg("score").alias("score"), F.avg("label").alias("label"))
     from .tracks import one_row
 
-    return one_row(kendall_sampled(blocks, "score", "label"), ndcg_and_lift(blocks, "score", "label", (ratio,)))
+    return one_row(kendall(blocks, "score", "label"), ndcg_and_lift(blocks, "score", "label", (ratio,)))
