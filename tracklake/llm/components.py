@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Up to so many nodes the labels (two longs each) go along by broadcast, and few tasks do a round;
+#: beyond, the same joins are shuffled.
+SMALL_NODES = 300_000
+SMALL_TASKS = 8
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node of ``links`` (a long, b long).
@@ -17,12 +22,19 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    small = labels.count() <= SMALL_NODES
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
     while True:
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        next_ = labels.join(around, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "near").alias("to"))
+        around = both.join(side(labels), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        own = labels.select("node", "label")
         at = labels.select(F.col("node").alias("to"), F.col("label").alias("beyond"))
-        jumped = next_.join(at, "to", "left").select("node", F.least("to", "beyond").alias("label"), (F.least("to", "beyond") < F.col("label")).alias("moved"))
-        done = materialize(jumped)
+        # every node has a link, so the inner joins keep all
+        next_ = around.join(side(own), F.col("a") == F.col("node")).select("node", "label", F.least("label", "near").alias("to"))
+        jumped = next_.join(side(at), "to").select("node", F.least("to", "beyond").alias("label"), (F.least("to", "beyond") < F.col("label")).alias("moved"))
+        done = materialize(jumped.coalesce(SMALL_TASKS) if small else jumped)
         labels = done.select("node", "label")
         if not done.filter("moved").limit(1).count():
             return labels.withColumnRenamed("label", "component")
