@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, map_batches, materialize
+from .common import fits_broadcast, fresh, map_batches, materialize
 from .components import components
 from .hashing import distinct_shingles, mixed, words_of
 
@@ -46,6 +46,8 @@ LEAST_FREQUENT = 16
 #: Rounds of offers before the last round, and partners that a class keeps in each.
 OFFER_ROUNDS = 3
 PARTNERS = 2
+#: Up to so many ids (one long each) pick the texts to verify by broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Verified pairs of one class are spread over so many groups.
 VERIFY_GROUPS = 8
 
@@ -130,48 +132,62 @@ def signatures(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
 
 
 def _by_shingle(postings: DataFrame, work, ddl: str) -> DataFrame:
-    """``work`` on the columns (key, size, at, component) of every shingle where two or more classes meet.
+    """``work`` on batches of whole groups of postings with equal shingles.
 
-    Rows arrive sorted by (shingle, size, key); groups stream through, many per batch.
-    ``work(shingle, key, size, at, component)`` returns a list of arrays or None.
+    Rows arrive sorted by (shingle, size, key); only a group that is still open is carried
+    to the next batch.  ``work(table, bounds)`` gets the arrays of ``_POSTING`` and the
+    rows at which groups begin and end; it returns a list of arrays.
     """
-    columns = ["shingle", "key", "size", "at", "component"]
+    names = [x.split()[0] for x in ddl.split(", ")]
 
     def run(batches):
         held = None
 
-        def groups(table: list, final: bool):
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(table[0])) + 1, [len(table[0])]])
-            whole = bounds if final else bounds[:-1]
-            found = [work(*(c[a:b] for c in table)) for a, b in zip(whole[:-1], whole[1:]) if b - a > 1]
-            found = [f for f in found if f is not None]
-            return found, [c[whole[-1] :] for c in table]
+        def done(table: list, bounds: np.ndarray):
+            found = work([c[: bounds[-1]] for c in table], bounds)
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
         for batch in batches:
             if batch.num_rows:
                 table = [c.to_numpy() for c in batch.columns]
-                found, held = groups(table if held is None else [np.concatenate(x) for x in zip(held, table)], False)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=names)
-        found = groups(held, True)[0] if held is not None else []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=names)
+                table = table if held is None else [np.concatenate(x) for x in zip(held, table)]
+                bounds = np.concatenate([[0], np.flatnonzero(np.diff(table[0])) + 1])
+                held = [c[bounds[-1] :] for c in table]
+                yield from done(table, bounds)
+        if held is not None:
+            yield from done(held, np.array([0, len(held[0])]))
+
+    return postings.select(*_POSTING).repartition("shingle").sortWithinPartitions("shingle", "size", "key").mapInArrow(run, ddl)
 
-    names = [x.split()[0] for x in ddl.split(", ")]
-    return postings.select(*columns).repartition("shingle").sortWithinPartitions("shingle", "size", "key").mapInArrow(run, ddl)
+
+_POSTING = ["shingle", "key", "size", "at", "component"]
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
     """The postings at shingles where two or more classes meet."""
-    return _by_shingle(postings, lambda shingle, key, size, at, component: [shingle, key, size, at], "shingle long, key long, size long, at int")
+
+    def work(table: list, bounds: np.ndarray) -> list:
+        rows = np.diff(bounds)
+        return [c[np.repeat(rows > 1, rows)] for c in table[:4]]
+
+    return _by_shingle(postings, work, "shingle long, key long, size long, at int")
+
+
+def _mixed_groups(table: list, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the groups of two rows, and numbers of the larger groups, that hold more than one component."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(bounds) < 2:
+        return none, none
+    rows, component = np.diff(bounds), table[4]
+    mixed_ = np.minimum.reduceat(component, bounds[:-1]) != np.maximum.reduceat(component, bounds[:-1])
+    return bounds[:-1][mixed_ & (rows == 2)], np.flatnonzero(mixed_ & (rows > 2))
 
 
 def offers(postings: DataFrame, percent: int, round_: int) -> DataFrame:
     """Pairs (a, b): for each class b two random classes of its size band and the one before it in size, of other components."""
 
-    def work(shingle, key, size, at, component):
-        if (component == component[0]).all():
-            return None
+    def group(shingle, key, size, at, component):
         k, lead = len(key), 0
         band = np.zeros(k, dtype=np.int64)
         while lead < k:
@@ -182,7 +198,13 @@ def offers(postings: DataFrame, percent: int, round_: int) -> DataFrame:
         left = np.concatenate([dealt[:-1], dealt[:-2], np.arange(k - 1)])
         right = np.concatenate([dealt[1:], dealt[2:], np.arange(1, k)])
         other = (component[left] != component[right]) & (key[left] != key[right])
-        return [key[left[other]], key[right[other]]]
+        return key[left[other]], key[right[other]]
+
+    def work(table: list, bounds: np.ndarray) -> list:
+        two, larger = _mixed_groups(table, bounds)
+        key = table[1]
+        found = [(key[two], key[two + 1]), *(group(*(c[bounds[g] : bounds[g + 1]] for c in table)) for g in larger)]
+        return [np.concatenate(x) for x in zip(*found)]
 
     return _by_shingle(postings, work, "a long, b long")
 
@@ -190,17 +212,26 @@ def offers(postings: DataFrame, percent: int, round_: int) -> DataFrame:
 def meetings(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of different components that the length and positional filters leave."""
 
-    def work(shingle, key, size, at, component):
-        if (component == component[0]).all():
-            return None
+    def near(size, at, i, j):
+        """Whether rows i, j (size of i at most that of j) may be linked."""
+        rest = 1 + np.minimum(size[i] - at[i] - 1, size[j] - at[j] - 1)
+        return (100 * size[i] >= percent * size[j]) & (rest >= required(size[i], size[j], percent))
+
+    def group(shingle, key, size, at, component):
         left, right = [], []
         for i in range(len(key) - 1):
             j = np.arange(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, side="right")))
-            rest = 1 + np.minimum(size[i] - at[i] - 1, size[j] - at[j] - 1)
-            j = j[(component[j] != component[i]) & (key[j] != key[i]) & (rest >= required(size[i], size[j], percent))]
-            left.append(np.minimum(key[i], key[j]))
-            right.append(np.maximum(key[i], key[j]))
-        return [np.concatenate(left), np.concatenate(right)]
+            j = j[(component[j] != component[i]) & (key[j] != key[i]) & near(size, at, i, j)]
+            left.append(np.full(len(j), key[i]))
+            right.append(key[j])
+        return np.concatenate(left), np.concatenate(right)
+
+    def work(table: list, bounds: np.ndarray) -> list:
+        two, larger = _mixed_groups(table, bounds)
+        two = two[near(table[2], table[3], two, two + 1)]
+        found = [(table[1][two], table[1][two + 1]), *(group(*(c[bounds[g] : bounds[g + 1]] for c in table)) for g in larger)]
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return [np.minimum(a, b), np.maximum(a, b)]
 
     return _by_shingle(postings, work, "a long, b long").distinct()
 
@@ -255,9 +286,13 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int)
         return {"key": [_key(own) for own in found], "shingles": [own.tobytes() for own in found]}
 
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    rows = classes.join(keys, "key").select(F.col("rep").alias("_rep")).distinct()
+    # one number stands for a null doc_id; a text that comes along for that reason does no harm
+    lowest = F.lit(-(1 << 63)).cast("long")
+    rows = materialize(classes.join(keys, "key").select(F.coalesce("rep", lowest).alias("_rep")).distinct())
+    if fits_broadcast(rows, BROADCAST_ROWS):
+        rows = F.broadcast(rows)
     texts = _texts(docs)
-    return map_batches(texts.join(rows, texts["doc_id"].eqNullSafe(rows["_rep"]), "left_semi"), work, "key long, shingles binary")
+    return map_batches(texts.join(rows, F.coalesce(texts["doc_id"], lowest) == rows["_rep"], "left_semi"), work, "key long, shingles binary")
 
 
 def grouped(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFrame:
