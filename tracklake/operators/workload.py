@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.geo import KM_PER_DEGREE
 from ..functions.hashing import fast_unit_hash, unit_hash
@@ -238,23 +238,33 @@ def sample_anchors(weighted: DataFrame, slots: DataFrame, rows_per_part: int = 1
     placed = weighted.withColumn("_part", part)
     long = placed.groupBy("_part").agg(*[F.sum(k).alias(k) for k in kinds]).unpivot("_part", kinds, "kind", "_w")
     w = Window.partitionBy("kind").orderBy("_part")  # one row per part
-    long = long.withColumn("_upto", F.sum("_w").over(w))
-    long = long.withColumn("_all", F.max("_upto").over(Window.partitionBy("kind")))
+    long = _intervals(long, w, Window.partitionBy("kind"), F.col("_part"))
     picked = slots.join(long, "kind").withColumn("_want", F.col("u") * F.col("_all"))
-    picked = picked.filter((F.col("_want") < F.col("_upto")) & (F.col("_want") >= F.col("_upto") - F.col("_w")))
-    picked = picked.groupBy("slot", "kind").agg(
-        F.min(F.struct("_part", (F.col("_want") - (F.col("_upto") - F.col("_w"))).alias("rest"))).alias("p")
-    )
-    picked = picked.select("slot", "kind", F.col("p._part").alias("_part"), F.col("p.rest").alias("_rest"))
+    picked = picked.filter(_holds(F.col("_want")))
+    picked = picked.select("slot", "kind", "_part", (F.col("_want") - F.col("_from")).alias("_rest"))
     wanted = picked.select("_part", "kind").distinct()
     base = [c for c in ("traj_id", "pos", "t", "lat", "lon", "heading") if c in weighted.columns]
     inside = placed.select(*base, "_part", *kinds).unpivot([*base, "_part"], kinds, "kind", "_w").join(small(wanted), ["_part", "kind"])
     run = Window.partitionBy("_part", "kind").orderBy("traj_id", "pos")  # at most about rows_per_part rows
-    inside = inside.withColumn("_to", F.sum("_w").over(run)).withColumn("_from", F.col("_to") - F.col("_w"))
-    hit = (F.col("_rest") < F.col("_to")) & (F.col("_rest") >= F.col("_from")) & (F.col("_w") > 0)
-    drawn = inside.join(small(picked), ["_part", "kind"]).filter(hit)
-    first = F.min_by(F.struct(*base), F.struct("traj_id", "pos"))
-    return drawn.groupBy("slot").agg(first.alias("a")).select("slot", "a.*")
+    inside = _intervals(inside, run, Window.partitionBy("_part", "kind"), F.struct("traj_id", "pos"))
+    drawn = inside.join(small(picked), ["_part", "kind"]).filter(_holds(F.col("_rest")))
+    return drawn.select("slot", *base)
+
+
+def _intervals(df: DataFrame, ordered: WindowSpec, group: WindowSpec, place: Column) -> DataFrame:
+    """Running sums of ``_w`` as intervals [_from, _to) without gaps, their total, and the last row that has any weight.
+
+    Every number from 0 up falls into exactly one interval, whatever the rounding of the
+    sums, as the last interval is open to the right.
+    """
+    df = df.withColumn("_to", F.sum("_w").over(ordered))
+    df = df.withColumn("_from", F.coalesce(F.lag("_to").over(ordered), F.lit(0.0)))
+    last = F.max(F.when(F.col("_w") > 0, place)).over(group)
+    return df.withColumns({"_all": F.max("_to").over(group), "_last": F.coalesce(last == place, F.lit(False))})
+
+
+def _holds(value: Column) -> Column:
+    return (value >= F.col("_from")) & ((value < F.col("_to")) | F.col("_last")) & (F.col("_w") > 0)
 
 
 # ---- quotas -------------------------------------------------------------------------------
@@ -540,6 +550,8 @@ def generate_workload(
     limits = profile.limits if limits is None else limits
     guard = None if target is None or tolerance is None else min(1.0, target + tolerance)
     slots_wanted = n if target is None else max(n, max_queries or n)
+    if max_attempts is not None and max_attempts <= 0:
+        raise ValueError("max_attempts must be positive")
     attempts = max_attempts or (profile.attempts_per_query * max(1, n) if limits.active() or guard is not None else None)
     named = bool(profile.anchor_weights)
     weighted = all_weights(points) if weights is None else weights

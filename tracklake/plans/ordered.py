@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 
 from .materialize import materialize
 
+#: Rows of one partition of a global sort; far below the 2^33 that its positions can hold.
+MOST_PARTITION_ROWS = 50_000_000
 HOT_ROWS_CONF = "spark.tracklake.hotRows"
 PIECE_ROWS_CONF = "spark.tracklake.pieceRows"
 
@@ -62,10 +64,16 @@ def order_index(df: DataFrame, order: list[Column | str], out: str = "idx") -> D
     once, so that counting the partitions and using the counts see the same cut.
     Only one count per partition reaches the driver.
     """
-    ranked = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranked = materialize(ranked.withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", 33)
-    sizes = {r["p"]: r["count"] for r in ranked.groupBy(part.alias("p")).count().collect()}
+
+    def sorted_by(*number: int) -> tuple[DataFrame, dict[int, int]]:
+        placed = df.repartitionByRange(*number, *order).sortWithinPartitions(*order)
+        placed = materialize(placed.withColumn("_place", F.monotonically_increasing_id()))
+        return placed, {r["p"]: r["count"] for r in placed.groupBy(part.alias("p")).count().collect()}
+
+    ranked, sizes = sorted_by()
+    if max(sizes.values(), default=0) > MOST_PARTITION_ROWS:  # the session's number of partitions is too small for this table
+        ranked, sizes = sorted_by(-(-2 * sum(sizes.values()) // MOST_PARTITION_ROWS))
     offsets, total = [], 0
     for p in range(max(sizes, default=0) + 1):
         offsets.append(total)

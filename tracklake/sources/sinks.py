@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +129,9 @@ def materialize_points(make, spark: SparkSession, root: str, sources: list[str],
     path = f"{root}/{key}"
     try:
         known = spark.read.json(f"{path}/manifest").first() is not None
-    except Exception:  # noqa: BLE001 - no manifest yet
+    except AnalysisException as error:  # any other failure is not taken for a missing table
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         known = False
     if not known:
         make().write.mode("overwrite").partitionBy("day").parquet(f"{path}/points")
