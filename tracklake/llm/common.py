@@ -24,12 +24,26 @@ def schema_of(spark: SparkSession, ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+#: Bytes of one Arrow batch.  Texts differ in length by far, so a bound in bytes keeps Python workers small; the session's
+#: own setting is used where it is smaller.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches to ``BATCH_BYTES``."""
+    now = int(spark.conf.get(_BATCH_CONF).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict]] | Callable, ddl: str, start: Callable | None = None) -> DataFrame:
     """``mapInArrow`` for functions from one record batch to columns of values.
 
     ``work(batch, state)`` returns a dict of lists or arrays named as in ``ddl`` (or
     None); ``start()`` makes ``state`` once per task.
     """
+    bound_batches(df.sparkSession)
     arrow = to_arrow_schema(schema_of(df.sparkSession, ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,23 +58,21 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict]]
     return df.mapInArrow(run, ddl)
 
 
-def carry(docs: DataFrame, inputs: list[Column], work: Callable, ddl: str, start: Callable | None = None) -> tuple[DataFrame, dict[str, Column]]:
-    """``map_batches`` over ``inputs`` that carries every column of ``docs`` along.
+def carry(docs: DataFrame, inputs: list[str], work: Callable, ddl: str, start: Callable | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """``map_batches`` over the columns ``inputs`` of ``docs`` that carries all its columns along.
 
     Returns the frame and, for each column of ``docs``, the column to select it by; in the
     frame they have names of their own, so no name of ``docs`` can clash with those of ``ddl``.
     ``work`` gets a batch of the inputs alone.
     """
     own = {c: f"_carried{i}" for i, c in enumerate(docs.columns)}
-    read = docs.select(*[x.alias(f"_input{i}") for i, x in enumerate(inputs)], *[docs[c].alias(x) for c, x in own.items()])
     fields = ", ".join(f"{own[f.name]} {f.dataType.simpleString()}" for f in docs.schema)
-    first, names = len(inputs), list(own.values())
+    places, names = [docs.columns.index(c) for c in inputs], list(own.values())
 
     def run(batch: pa.RecordBatch, state) -> dict:
-        found = work(batch.select(range(first)), state)
-        return found | {x: batch.column(first + i) for i, x in enumerate(names)}
+        return work(batch.select(places), state) | {x: batch.column(i) for i, x in enumerate(names)}
 
-    frame = map_batches(read, run, f"{ddl}, {fields}", start)
+    frame = map_batches(docs.toDF(*names), run, f"{ddl}, {fields}", start)
     return frame, {c: F.col(x).alias(c) for c, x in own.items()}
 
 

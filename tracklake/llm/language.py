@@ -118,7 +118,7 @@ def _predict(docs: DataFrame, dictionaries: dict[str, tuple[int, bytes]]) -> tup
         found = [classify_text(t, compressors) for t in batch.column(0).to_pylist()]
         return dict(zip(("lang_pred", "score", "rejected"), zip(*found)))
 
-    return carry(docs, [docs["text"].cast("string")], work, "lang_pred string, score double, rejected boolean", lambda: _compressors(shared.value))
+    return carry(docs, ["text"], work, "lang_pred string, score double, rejected boolean", lambda: _compressors(shared.value))
 
 
 def _training(docs: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def _thinned(docs: DataFrame, min_sentences: int, min_words: int, cut_every: int
                 texts[w.first_text + t] = b"".join(w.data[edge[i] : edge[i + 1]].tobytes() for i in keep).decode().strip()
         return {"thinned": texts, "n_sentences": sentences, "n_removed": removed}
 
-    frame, own = carry(joined, [joined["text"].cast("string"), joined[found]], work, "thinned string, n_sentences long, n_removed long")
+    frame, own = carry(joined, ["text", found], work, "thinned string, n_sentences long, n_removed long")
     del own[found]
     return frame, own
 
