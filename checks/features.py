@@ -161,7 +161,7 @@ def _(spark, sf):
     return f.select("traj_id", "pos", *_rounded(("density", "sparsity"), 8), *_rounded(("clock_sin", "clock_cos"), 6), r("id_sin_1", 5).alias("id_sin_1"))
 
 
-@check("k9_absolute_features", f"""WITH {HITS_SQL}, {_EXT_SQL} SELECT traj_id, pos, round((t - t0) / (t1 - t0), 8) AS abs_t, round((lat - a0) / (a1 - a0), 8) AS abs_lat, round((lon - o0) / (o1 - o0), 8) AS abs_lon FROM points, ex""")
+@check("k9_absolute_features", f"""WITH {HITS_SQL}, {_EXT_SQL} SELECT traj_id, pos, round((t - s0) / (s1 - s0), 8) AS abs_t, round((lat - a0) / (a1 - a0), 8) AS abs_lat, round((lon - o0) / (o1 - o0), 8) AS abs_lon FROM points, ex""")
 def _(spark, sf):
     e = priors.prior_extent(points(spark, sf), boxes(spark)).first().asDict()
     return features.absolute_features(points(spark, sf), e).select("traj_id", "pos", *_rounded(("abs_t", "abs_lat", "abs_lon"), 8))
@@ -183,6 +183,15 @@ def _(spark, sf):
     return features.feature_set(points(spark, sf), "blind").select("traj_id", "pos", *_rounded(_CTX[:17], 7))
 
 
+@check("k11_absolute_and_prior_columns", f"""WITH {PRIOR_SQL}, e2 AS (SELECT least(min(t), (SELECT min(t_start) FROM boxes)) AS s0, greatest(max(t), (SELECT max(t_end) FROM boxes)) AS s1 FROM points)
+  SELECT traj_id, pos, round((t - s0) / (s1 - s0), 8) AS abs_t, round((p.lat - a0) / (a1 - a0), 8) AS abs_lat, round((p.lon - o0) / (o1 - o0), 8) AS abs_lon, round(sin(2 * pi() * (t % 86400) / 86400e0), 7) AS abs_sin, round(cos(2 * pi() * (t % 86400) / 86400e0), 7) AS abs_cos,
+  {_rounded_sql(priors.FIELDS, 9)} FROM points p JOIN sampled s USING (traj_id, pos), ex, e2""")
+def _(spark, sf):
+    f = features.feature_set(points(spark, sf), "context_absolute_prior", prior=prior(spark, sf))
+    assert len(f.columns) == 2 + 35
+    return f.select("traj_id", "pos", *_rounded(features.ABSOLUTE[:3], 8), *_rounded(features.ABSOLUTE[3:], 7), *_rounded(priors.FIELDS, 9))
+
+
 @check("k12_minmax", f"""WITH {POINTS_SQL} SELECT traj_id, pos, round((speed - min(speed) OVER ()) / (max(speed) OVER () - min(speed) OVER ()), 9) AS speed, round((turn_score - min(turn_score) OVER ()) / (max(turn_score) OVER () - min(turn_score) OVER ()), 9) AS turn_score FROM points""")
 def _(spark, sf):
     p, cols = points(spark, sf), ["speed", "turn_score"]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.geo import clamp, degree_distance
 from ..plans.materialize import materialize
 from ..plans.ordered import attach, neighbors, order_index, rank_within, scan
+from .priors import FIELDS, Prior, sample_prior
+from .tracks import extent
 from .workload import GRID_BINS, _with_cell
 
 POINT = ["traj_id", "pos"]
@@ -37,6 +39,7 @@ FEATURE_SETS = {
     "history": HISTORY_COLUMNS + CLOCK + DENSITY,
     "history_identity": HISTORY_COLUMNS + IDENTITY + CLOCK + DENSITY,
     "range_aware": BASE + RELATION,
+    "context_absolute_prior": BASE + CONTEXT + ABSOLUTE + FIELDS,
 }
 MAX_LITERAL_BOXES = 1000
 
@@ -190,8 +193,25 @@ def range_relation_features(points: DataFrame, queries: DataFrame) -> DataFrame:
     return done.withColumns(out).drop("_acc")
 
 
-def feature_set(points: DataFrame, kind: str, queries: DataFrame | None = None) -> DataFrame:
-    """(traj_id, pos) and the columns of a named feature set."""
+def absolute_features(points: DataFrame, prior: Prior | None = None) -> DataFrame:
+    """Time and place relative to the extent of a prior, and the time of day.
+
+    Without a prior the extent is that of the points and time is the share of the day.
+    """
+    phase = F.pmod("t", F.lit(DAY)) / DAY
+    edges = prior.extent if prior else extent(points).first().asDict()
+
+    def inside(axis: str) -> Column:
+        low, span = edges[f"{axis}_min"] or 0.0, max(1e-9, (edges[f"{axis}_max"] or 0.0) - (edges[f"{axis}_min"] or 0.0))
+        return clamp((F.col(axis) - F.lit(low)) / F.lit(span))
+
+    angle = phase * (2.0 * math.pi)
+    values = (inside("t") if prior else phase, inside("lat"), inside("lon"), F.sin(angle), F.cos(angle))
+    return points.withColumns(dict(zip(ABSOLUTE, values)))
+
+
+def feature_set(points: DataFrame, kind: str, queries: DataFrame | None = None, prior: Prior | None = None) -> DataFrame:
+    """(traj_id, pos) and the columns of a named feature set; without a prior its columns are 0."""
     if kind not in FEATURE_SETS:
         raise ValueError(f"unknown feature set: {kind!r}")
     cols = FEATURE_SETS[kind]
@@ -206,6 +226,10 @@ def feature_set(points: DataFrame, kind: str, queries: DataFrame | None = None)
         if queries is None:
             raise ValueError("this feature set needs queries")
         wide = range_relation_features(wide, queries)
+    if set(ABSOLUTE) & set(cols):
+        wide = absolute_features(wide, prior)
+    if set(FIELDS) & set(cols):
+        wide = wide.join(sample_prior(points, prior), POINT) if prior else wide.withColumns({f: F.lit(0.0) for f in FIELDS})
     return wide.select(*POINT, *cols)
 
 
