@@ -10,6 +10,7 @@ from .fixtures import HITS_SQL, POINTS_SQL, boxes, points, shared
 from .labels import TARGET_SQL, _POINT_SQL, dense_targets, targets
 from .metrics import EVAL_SQL, _rounded, _rounded_sql, crossings, evaluated
 from .registry import check
+from .simplify import k_sql, spaced_sql
 from .tracks import r
 from .workload import hash_sql
 
@@ -126,7 +127,8 @@ def _(spark, sf):
     return mixed.select(r("s", 5).alias("mass_shuffled"), zero.scalar().alias("mass_zero"))
 
 
-@check("k7_prior_metadata")
+@check("k7_prior_metadata", f"""WITH {PRIOR_SQL} SELECT 'free' AS profile_id, {BINS}::INT AS grid_bins, 6::INT AS clock_bins, 2::INT AS passes, 'zero' AS outside, NULL::VARCHAR AS ablation,
+   (SELECT count(*) FROM (SELECT DISTINCT lat_bin, lon_bin FROM f2)) AS cells, (SELECT count(*) FROM (SELECT DISTINCT clock_bin, lat_bin, lon_bin FROM l2)) AS clock_cells""")
 def _(spark, sf):
     return priors.prior_metadata(prior(spark, sf))
 
@@ -452,11 +454,22 @@ def _(spark, sf):
     return _judged_runs(spark, sf).select("run_id", "claim", "enough_evidence")
 
 
-@check("j24_target_fit")
+def _fit_sql(x: float) -> str:
+    return f"""SELECT {x}e0 AS ratio, sum(label) FILTER (rs <= k OR e) / (SELECT sum(label) FROM d) AS score_mass_share, sum(label) FILTER (u.pos IS NOT NULL) / (SELECT sum(label) FROM d) AS uniform_mass_share,
+       sum(label) FILTER (rl <= k OR e) / (SELECT sum(label) FROM d) AS ideal_mass_share, count(*) FILTER ((rs <= k OR e) AND (rl <= k OR e)) AS overlap
+       FROM (SELECT *, {k_sql(x)} AS k FROM d) a LEFT JOIN u{int(x * 100)} u ON u.traj_id = a.traj_id AND u.pos = a.pos"""
+
+
+@check("j24_target_fit", f"""WITH {POINTS_SQL}, {spaced_sql('points', 'u10', k_sql(0.1))}, {spaced_sql('points', 'u30', k_sql(0.3))},
+   d AS (SELECT traj_id, pos, n_points, turn_score AS score, speed AS label, is_start OR is_end AS e, row_number() OVER (PARTITION BY traj_id ORDER BY turn_score DESC, pos) AS rs, row_number() OVER (PARTITION BY traj_id ORDER BY speed DESC, pos) AS rl FROM points),
+   g AS (SELECT row_number() OVER () AS id, CAST(round(score / 1e-8) AS BIGINT) AS a, CAST(round(label / 1e-8) AS BIGINT) AS b FROM d),
+   tau AS (SELECT sum(sign(x.a - y.a) * sign(x.b - y.b)) / count(*) FILTER (x.a <> y.a AND x.b <> y.b) AS kendall FROM g x JOIN g y ON x.id < y.id), f AS ({_fit_sql(0.1)} UNION ALL {_fit_sql(0.3)})
+   SELECT ratio, round(score_mass_share, 9) AS score_mass_share, round(uniform_mass_share, 9) AS uniform_mass_share, round(ideal_mass_share, 9) AS ideal_mass_share, overlap, round(kendall, 9) AS kendall FROM f, tau""")
 def _(spark, sf):
     p = points(spark, sf)
     s = p.select("traj_id", "pos", F.col("turn_score").alias("score"))
-    return audits.target_fit(p, s, p.select("traj_id", "pos", F.col("speed").alias("label")), [0.1, 0.3])
+    fit = audits.target_fit(p, s, p.select("traj_id", "pos", F.col("speed").alias("label")), [0.1, 0.3])
+    return fit.select("ratio", "overlap", *_rounded(("score_mass_share", "uniform_mass_share", "ideal_mass_share", "kendall"), 9))
 
 
 @check("g11_support_overlap_gate")

@@ -263,9 +263,19 @@ def _(spark, sf):
     return labels.component_frequency(points(spark, sf), comp, RATIOS, {"ca": 0.3, "cb": 0.2}).select("traj_id", "pos", r("label").alias("label"))
 
 
-@check("j15_continuity_frequency")
+_CONT = labels.CONTINUITY_WEIGHTS
+_CONT_PARTS = ", ".join(
+    f"""s_{c} AS (SELECT p.traj_id, p.pos, p.n_points, coalesce(round(c.{c}, 9), 0) AS score FROM points p LEFT JOIN comp c ON c.traj_id = p.traj_id AND c.pos = p.pos),
+    f_{c} AS (WITH {_freq_sql(ratios=RATIOS, src=f's_{c}')} SELECT traj_id, pos, label * {w}e0 / {sum(_CONT.values())}e0 AS label FROM freq)"""
+    for c, w in _CONT.items()
+)
+
+
+@check("j15_continuity_frequency", f"""WITH {_comp_sql(False)}, {_CONT_PARTS}, every AS ({' UNION ALL '.join(f'SELECT * FROM f_{c}' for c in _CONT)})
+   SELECT traj_id, pos, round(least(1e0, sum(label)), 9) AS label FROM every GROUP BY traj_id, pos""")
 def _(spark, sf):
-    return labels.continuity_frequency(points(spark, sf), components(spark, sf), RATIOS)
+    rounded = components(spark, sf).withColumns({c: r(c) for c in _CONT})  # equal values stay equal on both sides
+    return labels.continuity_frequency(points(spark, sf), rounded, RATIOS).select("traj_id", "pos", r("label").alias("label"))
 
 
 @check("j16_query_spine", f"""WITH {HITS_SQL}, g AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER v AS n, max(turn_score) OVER v AS mt, row_number() OVER (PARTITION BY query_id, traj_id ORDER BY turn_score DESC, pos) AS tr

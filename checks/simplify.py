@@ -309,7 +309,8 @@ def _(spark, sf):
     return simplify.blend_scores(scored(spark, sf), "score", "turn_score", 0.3).select("traj_id", "pos", r("blended").alias("blended"))
 
 
-@check("h21_control_methods")
+@check("h21_control_methods", f"""WITH {POINTS_SQL}, n AS (SELECT sum({k_sql(0.2)})::BIGINT AS kept FROM points WHERE pos = 0)
+   SELECT unnest(['uniform', 'douglas_peucker', 'random_fill', 'random_global_budget']) AS method, 0.2e0 AS ratio, kept FROM n""")
 def _(spark, sf):
     kept = simplify.retain(points(spark, sf), simplify.control_methods(seed=11), [0.2])
     return kept.groupBy("method", "ratio").agg(F.count(F.lit(1)).alias("kept"))
