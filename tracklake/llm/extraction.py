@@ -208,6 +208,20 @@ def path_scores(runs: list[Run]) -> dict[str, float]:
     return {p: total[p] / number[p] for p in total}
 
 
+def _only(runs: list[Run], tag: str) -> Element | None:
+    """The outermost element of this kind that holds text, if there is exactly one."""
+    found: dict[int, Element] = {}
+    for r in runs:
+        outer, element = None, r.owner
+        while element is not None:
+            if element.tag == tag:
+                outer = element
+            element = element.parent
+        if outer is not None:
+            found[id(outer)] = outer
+    return next(iter(found.values())) if len(found) == 1 else None
+
+
 def extract(page: str | None) -> str:
     """The article's text: blocks in page order, one per line, white space inside a block as one space."""
     if not page:
@@ -226,7 +240,8 @@ def extract(page: str | None) -> str:
             while element is not None:
                 element.running += len(r.text)
                 element = element.parent
-    place = root
+    # a page that marks its one article says where it is; else the search starts at its one main part, or at the root
+    place = _only(runs, "article") or _only(runs, "main") or root
     while place.tag != "article":
         inner = max((c for c in place.children if c.tag not in LEAVES), key=lambda c: c.running, default=None)
         if inner is None or inner.running < HOLDS * place.running or not inner.running:
