@@ -35,6 +35,7 @@ def test_extract_edges(spark):
     assert extraction.extract("<article><p>One, two.<p>Three, four.<p cla") == "One, two.\nThree, four."
     long = "<article>" + "".join(f"<p>Paragraph {i}, with words.</p>" for i in range(20_000)) + "</article>"
     assert extraction.extract(long).count("\n") == 19_999
+    assert extraction.extract("<article><h1>Hi</h1><p>So.</p></article><div><p>" + "Other text, much longer, that is not the article. " * 9 + "</p></div>") == "Hi\nSo."
     deep = "<div>" * 3000 + "<p>Down here, at last.</p>"
     assert extraction.extract(deep) == "Down here, at last."
     rows = [(1, "u", f"<article>{ARTICLE}</article>", 5), (1, "u", f"<article>{ARTICLE}</article>", 6), (None, None, None, 7)]
