@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracklake.operators import audits, diagnostics, features, priors, scorer, simplify
+from tracklake.operators import audits, diagnostics, features, priors, scorer
 
 from .fixtures import HITS_SQL, POINTS_SQL, boxes, points, shared
-from .labels import TARGET_SQL, _POINT_SQL, dense_targets, targets
+from .labels import TARGET_SQL, dense_targets, targets
 from .metrics import EVAL_SQL, _rounded, _rounded_sql, crossings, evaluated
 from .registry import check
 from .simplify import k_sql, spaced_sql

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.boxjoin import box_join
 from ..plans.materialize import materialize
@@ -42,7 +43,7 @@ COMPARED_FIELDS = (
     "point_share_p50",
     "track_share_p50",
     "volume_share_p50",
-    "volume_share_p90",
+    "oracle_gap",
 )
 
 
@@ -241,14 +242,35 @@ def signature_gate(train: DataFrame, evaluation: DataFrame, train_diag: DataFram
 
 
 def compare_distributions(signatures: DataFrame, fields: tuple[str, ...] = COMPARED_FIELDS) -> DataFrame:
-    """Each workload (column ``label``) minus the ``eval`` workload, per field."""
-    doubles = signatures.select("label", *[F.col(f).cast("double").alias(f) for f in fields])
+    """Each workload (column ``label``) minus the ``eval`` workload, per field; NULL for a field that is not known.
+
+    ``oracle_gap`` is how far the oracle is above the best baseline, where it was measured.
+    """
+    known = [F.col(f).cast("double") if f in signatures.columns else F.lit(None).cast("double") for f in fields]
+    doubles = signatures.select("label", *[c.alias(f) for c, f in zip(known, fields)])
     long = doubles.unpivot("label", list(fields), "field", "value")
     base = long.filter("label = 'eval'").select("field", F.col("value").alias("eval_value"))
     both = long.filter("label <> 'eval'").join(base, "field")
     return both.withColumn("delta", F.col("value") - F.col("eval_value"))
 
 
+def signature_gates(workloads: dict[str, tuple[DataFrame, DataFrame, DataFrame]], against: str = "eval") -> DataFrame:
+    """The signature gate of each workload against one of them: a row per pair, and whether all pass.
+
+    ``workloads`` has (summary, diagnostics, queries) per label.
+    """
+    other = workloads[against]
+    rows = None
+    for label, own in workloads.items():
+        if label == against:
+            continue
+        gate = signature_gate(own[0], other[0], own[1], other[1], own[2], other[2]).withColumn("label", F.lit(label))
+        rows = gate if rows is None else rows.unionByName(gate)
+    if rows is None:
+        raise ValueError("at least two workloads are needed")
+    return rows.withColumn("all_pass", F.min("gate_pass").over(Window.partitionBy()))  # one row per pair
+
+
 def overshoot_limit(target: Column) -> Column:
     choice = F.lit(OVERSHOOT_LIMIT_ABOVE)
     for top, limit in reversed(OVERSHOOT_LIMITS):
