@@ -44,9 +44,9 @@ PARTS = 64
 FREQUENT = 4
 LEAST_FREQUENT = 16
 #: Rounds of offers before the last round, and partners that a class keeps in each.
-OFFER_ROUNDS = 3
+OFFER_ROUNDS = 2
 PARTNERS = 2
-#: Up to so many ids (one long each) pick the texts to verify by broadcast; more are joined by a shuffle.
+#: Up to so many rows (one or two longs each) of classes, components or texts to verify are joined by broadcast; more by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Verified pairs of one class are spread over so many groups.
 VERIFY_GROUPS = 8
@@ -62,8 +62,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _window(percent: int) -> np.uint64:
-    """Shingles whose hash is below this bound are counted: three times the share that prefixes need."""
-    return np.uint64(min((1 << 64) - 1, int((1 << 64) * min(1.0, 3 * (1 - percent / 100)))))
+    """Shingles whose hash is below this bound are counted: twice the share that prefixes need."""
+    return np.uint64(min((1 << 64) - 1, int((1 << 64) * min(1.0, 2 * (1 - percent / 100)))))
 
 
 def _key(own: np.ndarray) -> int:
@@ -77,31 +77,32 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("of"))
 
 
-def describe(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFrame:
-    """doc_id, hash of the text, size of the set, key of the set, and its counted slots."""
-    window, mask = _window(percent), np.uint64(slots - 1)
+def describe(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, hash of the text, size of the set and key of the set."""
 
     def work(batch: pa.RecordBatch, _) -> dict:
-        size, key, counted = [], [], []
-        for words in words_of(batch.column(1), lower=True):
-            for _, own in distinct_shingles(words, n):
-                size.append(len(own))
-                key.append(_key(own))
-                counted.append((mixed(own[own < window]) & mask).astype(np.int32))
-        return {"doc_id": batch.column(0), "of": batch.column(2), "size": size, "key": key, "slots": counted}
+        sets = [own for words in words_of(batch.column(1), lower=True) for _, own in distinct_shingles(words, n)]
+        return {"doc_id": batch.column(0), "of": batch.column(2), "size": [len(own) for own in sets], "key": [_key(own) for own in sets]}
+
+    return map_batches(_texts(docs), work, "doc_id long, of long, size long, key long")
+
 
-    return map_batches(_texts(docs), work, "doc_id long, of long, size long, key long, slots array<int>")
+def frequency_levels(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> np.ndarray:
+    """One byte per slot: 0 for rare shingles, else grows with the logarithm of the number of documents."""
+    window, mask = _window(percent), np.uint64(slots - 1)
 
+    def work(batch: pa.RecordBatch, _) -> dict:
+        found = [(mixed(own[own < window]) & mask).astype(np.int32) for words in words_of(batch.column(1), lower=True) for _, own in distinct_shingles(words, n)]
+        slot, times = np.unique(np.concatenate(found), return_counts=True)
+        return {"slot": slot, "n": times.astype(np.int32)}
 
-def frequency_levels(described: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """One byte per slot: 0 for rare shingles, else grows with the logarithm of the count."""
-    counts = described.select(F.explode("slots").alias("slot")).groupBy("slot").count()
-    total = described.agg(F.sum(F.size("slots"))).first()[0] or 0
+    counts = map_batches(_texts(docs), work, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = materialize(counts)  # at most ``slots`` rows, whatever the size of the corpus
+    total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_FREQUENT, FREQUENT * total // slots)
-    # at most ``slots / FREQUENT`` rows, whatever the size of the corpus
-    found = counts.filter(F.col("count") >= least).toArrow()
+    found = counts.filter(F.col("n") >= least).toArrow()  # at most ``slots / FREQUENT`` rows
     levels = np.zeros(slots, dtype=np.uint8)
-    levels[found.column("slot").to_numpy()] = np.clip(1 + 8 * np.log2(found.column("count").to_numpy() / least), 1, 255).astype(np.uint8)
+    levels[found.column("slot").to_numpy()] = np.clip(1 + 8 * np.log2(found.column("n").to_numpy() / least), 1, 255).astype(np.uint8)
     return levels
 
 
@@ -289,23 +290,26 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int)
     # one number stands for a null doc_id; a text that comes along for that reason does no harm
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = materialize(classes.join(keys, "key").select(F.coalesce("rep", lowest).alias("_rep")).distinct())
-    if fits_broadcast(rows, BROADCAST_ROWS):
-        rows = F.broadcast(rows)
-    texts = _texts(docs)
+    rows, texts = _small(rows), _texts(docs)
     return map_batches(texts.join(rows, F.coalesce(texts["doc_id"], lowest) == rows["_rep"], "left_semi"), work, "key long, shingles binary")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast where it is within the bound."""
+    return F.broadcast(df) if fits_broadcast(df, BROADCAST_ROWS) else df
+
+
 def grouped(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFrame:
     """doc_id, of (hash of the text), size, component (null without words) and component_id for every row of ``docs`` (doc_id, text)."""
-    described = materialize(describe(docs, n, percent, slots))
-    sets = described.select("doc_id", "of", "size", "key")
+    sets = materialize(describe(docs, n))
     classes = materialize(sets.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(described, slots))
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n, percent, slots))
     signed = signatures(docs, n, percent, levels)
-    own = classes.select(F.col("key").alias("_key"), "rep")
+    own = _small(classes.select(F.col("key").alias("_key"), "rep"))
     known = materialize(signed.join(own, (signed["key"] == own["_key"]) & signed["doc_id"].eqNullSafe(own["rep"]), "left_semi").drop("doc_id"))
-    postings = known.select(F.posexplode("prefix").alias("at", "shingle"), "key", "size").withColumn("component", F.col("key"))
+    postings = known.select(F.posexplode("prefix").alias("at", "shingle"), "key", "size").withColumn("component", F.lit(0).cast("long"))
     shared = materialize(shared_postings(postings))
+    known = materialize(known.select("key", "size", "parts").join(shared.select("key").distinct(), "key", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return materialize(verify(pairs, materialize(shingle_sets(docs, pairs, classes, n)), percent))
@@ -313,7 +317,7 @@ def grouped(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFr
     def placed(around: DataFrame | None) -> DataFrame:
         if around is None:
             return shared.withColumn("component", F.col("key"))
-        return shared.join(around.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        return shared.join(_small(around.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
     links = around = None
     best = Window.partitionBy("b").orderBy("distance", "a")
