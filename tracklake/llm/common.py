@@ -76,6 +76,13 @@ def carry(docs: DataFrame, inputs: list[str], work: Callable, ddl: str, start: C
     return frame, {c: F.col(x).alias(c) for c, x in own.items()}
 
 
+def discard(df: DataFrame) -> None:
+    """Empty a table that ``materialize`` wrote, once nothing will read it any more."""
+    files = df.inputFiles()
+    if files:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name`` or a longer one that is not in ``columns``."""
     while name in columns:

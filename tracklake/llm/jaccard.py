@@ -15,7 +15,7 @@
    family of near copies costs pairs in proportion to its number, and no link between
    different components is lost.
 
-The suffix filter compares the sizes of the parts of two sets over 64 ranges of the hash:
+The suffix filter compares the sizes of the parts of two sets over 256 ranges of the hash:
 the sum of the differences never exceeds the symmetric difference.
 
 Defined results: a null text, and one without words, has an empty set and is linked
@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fits_broadcast, fresh, map_batches, materialize
+from .common import discard, fits_broadcast, fresh, map_batches, materialize
 from .components import components
 from .hashing import distinct_shingles, mixed, words_of
 
 #: Counters of the frequency table; bounds what is broadcast (bytes) and collected.
 SLOTS = 1 << 22
 #: Ranges of the suffix filter.
-PARTS = 64
+PARTS = 256
 #: A shingle is frequent when its counter passes this many times the mean counter (and this many at least).
 FREQUENT = 4
 LEAST_FREQUENT = 16
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
                     key.append(_key(own))
                     size.append(len(own))
                     prefix.append(ordered(own, levels.value, percent)[: prefix_length(len(own), percent)].view(np.int64))
-                    parts.append(np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PARTS), 32_767).astype(np.int16))
+                    parts.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=PARTS), 32_767).astype(np.int16))
         return {"doc_id": ids, "key": key, "size": size, "prefix": prefix, "parts": parts}
 
     return map_batches(_texts(docs), work, "doc_id long, key long, size long, prefix array<bigint>, parts array<smallint>")
@@ -309,10 +309,14 @@ def grouped(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFr
     known = materialize(signed.join(own, (signed["key"] == own["_key"]) & signed["doc_id"].eqNullSafe(own["rep"]), "left_semi").drop("doc_id"))
     postings = known.select(F.posexplode("prefix").alias("at", "shingle"), "key", "size").withColumn("component", F.lit(0).cast("long"))
     shared = materialize(shared_postings(postings))
-    known = materialize(known.select("key", "size", "parts").join(shared.select("key").distinct(), "key", "left_semi"))
+    whole, known = known, materialize(known.select("key", "size", "parts").join(shared.select("key").distinct(), "key", "left_semi"))
+    discard(whole)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return materialize(verify(pairs, materialize(shingle_sets(docs, pairs, classes, n)), percent))
+        texts = materialize(shingle_sets(docs, pairs, classes, n))
+        found = materialize(verify(pairs, texts, percent))
+        discard(texts)
+        return found
 
     def placed(around: DataFrame | None) -> DataFrame:
         if around is None:
