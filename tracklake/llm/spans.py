@@ -3,7 +3,9 @@
 A text is cut after sentence ends and line ends; so that very long sentences also take
 part, it is cut after words chosen by their hash too, which places the cuts the same way
 wherever a passage stands.  From every sentence the shortest run of at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed.  Runs meet in one global
+``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed; with ``both_ends`` also the
+shortest such run that ends at each sentence, so that a shared passage, and an exact copy,
+is covered up to its last sentence.  Runs meet in one global
 aggregate (count and smallest doc_id), and a sentence is removed when any run that
 covers it is not the first of its kind: the first stands in the document with the
 smallest doc_id, at its first place there.  White space between words does not matter.
@@ -49,7 +51,7 @@ class Spans:
     first: np.ndarray  # whether it is the first span with this hash in its text
 
 
-def spans_of(w: Words, min_sentences: int, min_words: int, cut_every: int) -> Spans:
+def spans_of(w: Words, min_sentences: int, min_words: int, cut_every: int, both_ends: bool) -> Spans:
     n = len(w.start)
     if not n:
         none = np.zeros(0, dtype=np.int64)
@@ -68,7 +70,13 @@ def spans_of(w: Words, min_sentences: int, min_words: int, cut_every: int) -> Sp
     last = np.maximum(at + min_sentences - 1, np.searchsorted(upto, first_word + min_words))
     inside = last < k
     inside[inside] = text_of[last[inside]] == text_of[inside]
-    at, last = at[inside], last[inside]
+    if both_ends:
+        begin = np.minimum(at - min_sentences + 1, np.searchsorted(first_word, upto - min_words, side="right") - 1)
+        ends_here = begin >= 0
+        ends_here[ends_here] = (text_of[begin[ends_here]] == text_of[ends_here]) & (last[begin[ends_here]] != at[ends_here])
+        at, last = np.concatenate([at[inside], begin[ends_here]]), np.concatenate([last[inside], at[ends_here]])
+    else:
+        at, last = at[inside], last[inside]
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(own * powers(k)[:k], dtype=np.uint64)])
     value = mixed((sums[last + 1] - sums[at]) * powers(k, _INVERSE)[at] + _BASE * (last - at).astype(np.uint64))
     order = np.lexsort((at, value, text_of[at]))
@@ -77,7 +85,7 @@ def spans_of(w: Words, min_sentences: int, min_words: int, cut_every: int) -> Sp
     return Spans(text_of, w.start[first_word], at, last, value, ~again)
 
 
-def _runs(column: pa.Array, options: tuple[int, int, int]) -> Iterator[tuple[Words, Spans]]:
+def _runs(column: pa.Array, options: tuple[int, int, int, bool]) -> Iterator[tuple[Words, Spans]]:
     for w in words_of(column, lower=False):
         yield w, spans_of(w, *options)
 
@@ -87,7 +95,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("of"))
 
 
-def repeated(docs: DataFrame, options: tuple[int, int, int]) -> DataFrame:
+def repeated(docs: DataFrame, options: tuple[int, int, int, bool]) -> DataFrame:
     """span, first_doc of the spans that stand in more than one row."""
 
     def work(batch: pa.RecordBatch, _) -> dict | None:
@@ -101,7 +109,7 @@ def repeated(docs: DataFrame, options: tuple[int, int, int]) -> DataFrame:
     return spans.groupBy("span").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("first_doc")).filter("_n > 1").drop("_n")
 
 
-def later_spans(docs: DataFrame, known: DataFrame, options: tuple[int, int, int]) -> DataFrame:
+def later_spans(docs: DataFrame, known: DataFrame, options: tuple[int, int, int, bool]) -> DataFrame:
     """doc_id, of, spans: first and last sentence of the spans that an earlier document has."""
 
     def work(batch: pa.RecordBatch, _) -> dict | None:
@@ -125,9 +133,9 @@ def later_spans(docs: DataFrame, known: DataFrame, options: tuple[int, int, int]
     return met.groupBy("doc_id", "of").agg(F.collect_list(F.struct("begins", "last")).alias("spans"))
 
 
-def _thinned(docs: DataFrame, min_sentences: int, min_words: int, cut_every: int) -> tuple[DataFrame, dict]:
+def _thinned(docs: DataFrame, min_sentences: int, min_words: int, cut_every: int, both_ends: bool) -> tuple[DataFrame, dict]:
     """thinned, n_sentences and n_removed beside the carried columns of ``docs``."""
-    options = (min_sentences, min_words, cut_every)
+    options = (min_sentences, min_words, cut_every, both_ends)
     found = fresh(docs.columns, "_spans")
     later = later_spans(docs, repeated(docs, options), options).select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), F.col("spans").alias(found))
     same = (docs["doc_id"].cast("long") == later["_id"]) & (F.xxhash64(docs["text"].cast("string")) == later["_of"])
@@ -166,16 +174,16 @@ def _thinned(docs: DataFrame, min_sentences: int, min_words: int, cut_every: int
     return frame, own
 
 
-def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
+def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY, both_ends: bool = False) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) with ``text`` thinned, and n_sentences and n_removed, which replace columns of that name."""
-    frame, own = _thinned(docs, min_sentences, min_words, cut_every)
+    frame, own = _thinned(docs, min_sentences, min_words, cut_every, both_ends)
     kept = [F.col("thinned").alias("text") if c == "text" else x for c, x in own.items() if c not in ("n_sentences", "n_removed")]
     return frame.select(*kept, "n_sentences", "n_removed")
 
 
-def thinned(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY) -> DataFrame:
+def thinned(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY, both_ends: bool = False) -> DataFrame:
     """``docs`` with thinned texts and ``n_chars`` counted anew, without the documents that lost all of their text."""
-    frame, own = _thinned(docs, min_sentences, min_words, cut_every)
+    frame, own = _thinned(docs, min_sentences, min_words, cut_every, both_ends)
     own |= {"text": F.col("thinned").alias("text")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.length("thinned").cast(docs.schema["n_chars"].dataType).alias("n_chars")
