@@ -30,3 +30,37 @@ def test_exact_copies_lose_their_last_word(spark, tmp_path):
     assert all(query[i] == t == stage[i] for i, t in enumerate(texts))
     assert {i: query[100 + i] for i in range(len(texts)) if query[100 + i]} == {}
     assert set(stage) == set(range(len(texts)))
+
+
+def planted(n, draws, seed):
+    """(doc_id, text) of pairs that share ``n`` words in the middle of a line, and those words."""
+    rng = random.Random(seed)
+    data, shared = [], []
+    for i in range(draws):
+        passage = sentence(rng, n)[:-1]
+        if i % 4 == 1:  # marks hidden by symbols
+            passage = " ".join(x + ".&&&" * (k % 11 == 10) for k, x in enumerate(passage.split()))
+        if i % 4 == 2:  # two words in turn
+            passage = " ".join(passage.split()[k % 2] for k in range(n))
+        for j in (0, 1):
+            data.append((1000 * j + i, f"{sentence(rng, 70)[:-1]} {passage} {sentence(rng, 70)[:-1]}"))
+        shared.append(passage.split())
+    return data, shared
+
+
+def test_passages_inside_a_line(spark, tmp_path):
+    data, shared = planted(51, 120, 6)
+    query, stage = both(spark, tmp_path, data)
+    texts = dict(data)
+    left = []
+    for i, passage in enumerate(shared):
+        assert query[i] == texts[i] == stage[i] or i % 4 == 2
+        assert query[1000 + i] == stage[1000 + i]
+        own = set(query[1000 + i].split())
+        assert own >= set(texts[1000 + i].split()) - set(passage)  # nothing of its own is lost
+        if i % 4 != 2:
+            left.append(sum(x in own for x in passage))
+        else:
+            left.append(sum(x in passage[:2] for x in query[1000 + i].split()))
+    assert sum(n > 31 for n in left) <= 1, left  # not found
+    assert sum(left) / len(left) < 9, left

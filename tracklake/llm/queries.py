@@ -75,7 +75,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_spans")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), both_ends=True)
+    return spans.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), *spans.WHOLE)
 
 
 @query("op1_sketches")
