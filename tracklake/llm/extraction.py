@@ -3,9 +3,9 @@
 Every run of text belongs to the path of tags from the root to it.  Per page and path
 the length of the text and its punctuation are summed and divided by the number of
 runs, both ratios are smoothed along the page, fused, and a threshold relative to the
-page's mean picks the paths that carry running text.  The element that holds most of
-that text is the article; its blocks are returned in page order, without the parts
-that are navigation, adverts, forms, notices or comments by their tag, role or class.
+page's mean picks the paths that carry running text.  The smallest element that holds
+all of that text and all headings is the article (a single ``article`` or ``main`` is it by
+its mark); its blocks are returned in page order, without the parts that are navigation, adverts, forms, notices or comments by their tag, role or class.
 
 Defined results: a null or empty page, and one without text, give the empty string.
 Broken markup is read leniently: unclosed elements end with their parent, an
@@ -49,8 +49,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 #: Runs on either side that enter the smoothed ratio of a run, and the share of the mean it must reach.
 SMOOTH_RUNS = 1
 MEAN_SHARE = 0.5
-#: Share of the running text that an element must hold for the search to go into it.
-HOLDS = 0.6
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 @dataclass(slots=True)
@@ -60,7 +59,7 @@ class Element:
     path: str
     dropped: bool
     in_article: bool
-    running: float = 0.0
+    needed: int = 0  # runs of running text and headings inside
     children: list = field(default_factory=list)
 
 
@@ -234,17 +233,21 @@ def extract(page: str | None) -> str:
     # the mean over running characters; paths below its share carry labels, links and other short text
     mean = sum(scores[r.owner.path] * len(r.text) for r in runs) / sum(len(r.text) for r in runs)
     chosen = {p for p, s in scores.items() if s >= MEAN_SHARE * mean}
+
+    def only_links(r: Run) -> bool:
+        return r.owner.path not in chosen and r.link_chars > 0.8 * len(r.text)
+
     for r in runs:
-        if r.owner.path in chosen:
+        if r.owner.path in chosen or r.owner.tag in HEADINGS and not only_links(r):
             element = r.owner
             while element is not None:
-                element.running += len(r.text)
+                element.needed += 1
                 element = element.parent
-    # a page that marks its one article says where it is; else the search starts at its one main part, or at the root
+    # a page that marks its one article or main part says where it is; else the search starts at the root and leaves nothing needed behind
     place = _only(runs, "article") or _only(runs, "main") or root
-    while place.tag != "article":
-        inner = max((c for c in place.children if c.tag not in LEAVES), key=lambda c: c.running, default=None)
-        if inner is None or inner.running < HOLDS * place.running or not inner.running:
+    while place.needed and place.tag not in ("article", "main"):
+        inner = next((c for c in place.children if c.tag not in LEAVES and c.needed == place.needed), None)
+        if inner is None:
             break
         place = inner
 
@@ -253,9 +256,6 @@ def extract(page: str | None) -> str:
             element = element.parent
         return element is place
 
-    def only_links(r: Run) -> bool:
-        return r.owner.path not in chosen and r.link_chars > 0.8 * len(r.text)
-
     return "\n".join(r.text for r in runs if inside(r.owner) and not only_links(r))
 
 
