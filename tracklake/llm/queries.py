@@ -80,4 +80,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_sketches")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketches.compare_edits(table(spark, sf_dir, "documents"))
+    return sketches.compare_edits(table(spark, sf_dir, "documents"), bounded=True)

@@ -1,7 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into paragraphs (lines, long ones after sentence ends) and becomes the set
-of their 64-bit digests.  Every digest is added to one cell in each of three tables: a
+of their 64-bit digests.  With ``bounded``, as the query has it, a paragraph that is still
+long is cut again: after sentence marks that symbols follow, after words (characters, where
+a script has no spaces) chosen by their hash, and at last after ``MOST_CHARS`` characters.  Every digest is added to one cell in each of three tables: a
 cell holds a count, the exclusive or of the digests and that of their check hashes.
 Sketches subtract cell by cell; cells with one digest left are peeled until nothing is
 left, which recovers exactly the digests of one side and of the other.  If peeling gets
@@ -35,6 +37,11 @@ ROUNDS = 16
 BLOCK_DIGESTS = 64
 #: Characters after which a line may be cut at a sentence end.
 LONG_LINE = 80
+#: Characters of a paragraph at most, and one word in so many that ends one in a longer paragraph.
+MOST_CHARS = 240
+CUT_EVERY = 16
+#: Words with the white space after them; every character from the East Asian blocks on, and those of scripts without spaces, alone.
+TOKEN = r"[^\s\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{10FFFF}]+\s*|."
 BUCKET_ROWS = 8192
 MOST_BUCKETS = 250_000
 
@@ -43,9 +50,19 @@ def _zero() -> Column:
     return F.lit(0).cast("long")
 
 
-def digests(text: Column) -> Column:
+def _cut_again(piece: Column) -> Column:
+    """Parts of a long paragraph, cut in places that its words choose wherever they stand."""
+    words = F.regexp_extract_all(piece, F.lit(TOKEN), F.lit(0))
+    ends = lambda w: (F.pmod(F.xxhash64(F.rtrim(w)), F.lit(CUT_EVERY)) == 0) | w.rlike(r"[.!?\u3002\uFF01\uFF1F][^\p{L}\p{N}]*$")
+    marked = F.array_join(F.transform(words, lambda w: F.when(ends(w), F.concat(w, F.lit("\n"))).otherwise(w)), "")
+    return F.regexp_extract_all(marked, F.lit(rf"[^\n]{{1,{MOST_CHARS}}}"), F.lit(0))
+
+
+def digests(text: Column, bounded: bool = False) -> Column:
     """Sorted distinct digests of the paragraphs of a text."""
     pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{{LONG_LINE},}}?[.!?](?= )|[^\n]+"), F.lit(0))
+    if bounded:
+        pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > MOST_CHARS, _cut_again(p)).otherwise(F.array(p))))
     return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
@@ -180,16 +197,16 @@ def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
     return spread.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).filter("_guest = 0").drop("_b", "_guest")
 
 
-def compare_edits(docs: DataFrame) -> DataFrame:
+def compare_edits(docs: DataFrame, bounded: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of ``docs`` (doc_id, text)."""
     lowest = F.lit(-(1 << 63)).cast("long")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    read = read.withColumns({"_order": F.coalesce("doc_id", lowest), "keys": digests(F.col("text"))})
+    read = read.withColumns({"_order": F.coalesce("doc_id", lowest), "keys": digests(F.col("text"), bounded)})
     pairs = with_next(read, "_order", ["text", "keys"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
     pairs = pairs.withColumn("edited", edited)
-    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "keys", "next_keys", digests(F.col("edited")).alias("edited_keys"))
+    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "keys", "next_keys", digests(F.col("edited"), bounded).alias("edited_keys"))
     pairs = with_likeness(with_likeness(pairs, "near_edited", "keys", "edited_keys"), "near_next", "keys", "next_keys")
     return pairs.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("keys")).alias("fingerprint"), fingerprint(F.col("edited_keys")).alias("edited_fingerprint"), "near_edited", "near_next"
