@@ -120,27 +120,6 @@ def mmsi_hash_features(points: DataFrame) -> DataFrame:
     return points.withColumns(out)
 
 
-def absolute_features(points: DataFrame, extent: dict | None = None) -> DataFrame:
-    """Time and place under a fixed training extent; without one, clock phase and the globe."""
-    e = extent or {"lat_min": -90.0, "lat_max": 90.0, "lon_min": -180.0, "lon_max": 180.0}
-    phase = F.pmod(F.col("t"), F.lit(DAY)) / DAY
-
-    def scaled(axis: str) -> Column:
-        low, span = e[f"{axis}_min"], max(1e-9, e[f"{axis}_max"] - e[f"{axis}_min"])
-        return clamp((F.col(axis) - F.lit(low)) / F.lit(span))
-
-    angle = phase * (2.0 * math.pi)
-    return points.withColumns(
-        {
-            "abs_t": scaled("t") if extent is not None else phase,
-            "abs_lat": scaled("lat"),
-            "abs_lon": scaled("lon"),
-            "abs_sin": F.sin(angle),
-            "abs_cos": F.cos(angle),
-        }
-    )
-
-
 def range_relation_features(points: DataFrame, queries: DataFrame) -> DataFrame:
     """Eight columns relating a point to all boxes.
 
@@ -193,20 +172,20 @@ def range_relation_features(points: DataFrame, queries: DataFrame) -> DataFrame:
     return done.withColumns(out).drop("_acc")
 
 
-def absolute_features(points: DataFrame, prior: Prior | None = None) -> DataFrame:
-    """Time and place relative to the extent of a prior, and the time of day.
+def absolute_features(points: DataFrame, within: dict | None = None) -> DataFrame:
+    """Time and place relative to an extent (as of a prior), and the time of day.
 
-    Without a prior the extent is that of the points and time is the share of the day.
+    Without one the extent is that of the points and time is the share of the day.
     """
     phase = F.pmod("t", F.lit(DAY)) / DAY
-    edges = prior.extent if prior else extent(points).first().asDict()
+    edges = within or extent(points).first().asDict()
 
     def inside(axis: str) -> Column:
         low, span = edges[f"{axis}_min"] or 0.0, max(1e-9, (edges[f"{axis}_max"] or 0.0) - (edges[f"{axis}_min"] or 0.0))
         return clamp((F.col(axis) - F.lit(low)) / F.lit(span))
 
     angle = phase * (2.0 * math.pi)
-    values = (inside("t") if prior else phase, inside("lat"), inside("lon"), F.sin(angle), F.cos(angle))
+    values = (inside("t") if within else phase, inside("lat"), inside("lon"), F.sin(angle), F.cos(angle))
     return points.withColumns(dict(zip(ABSOLUTE, values)))
 
 
@@ -227,7 +206,7 @@ def feature_set(points: DataFrame, kind: str, queries: DataFrame | None = None,
             raise ValueError("this feature set needs queries")
         wide = range_relation_features(wide, queries)
     if set(ABSOLUTE) & set(cols):
-        wide = absolute_features(wide, prior)
+        wide = absolute_features(wide, prior.extent if prior else None)
     if set(FIELDS) & set(cols):
         wide = wide.join(sample_prior(points, prior), POINT) if prior else wide.withColumns({f: F.lit(0.0) for f in FIELDS})
     return wide.select(*POINT, *cols)

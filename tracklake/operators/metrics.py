@@ -253,6 +253,32 @@ def flagged_support(
     return support.join(slim, ["traj_id", "pos"])
 
 
+def mean_step(km: Column, n: Column) -> Column:
+    """Mean distance between the in-box points of a visit."""
+    return F.greatest(km / F.greatest(n - 1, F.lit(1)), F.lit(1e-6))
+
+
+def coverage_scores(
+    n: Column, r: Column, span: Column, kept_span: Column, worst: Column, km: Column, w: Column, kw: Column, err: Column, err_n: Column
+) -> dict[str, Column]:
+    """The five scores of a visit that the usefulness score weighs, from its state.
+
+    ``n`` points of which ``r`` are kept, over ``span`` seconds (``kept_span``) and ``km``;
+    ``worst``: most missing points in a row; ``w`` and ``kw``: turn weights; ``err`` and
+    ``err_n``: summed error and number of dropped points between kept ones.
+    """
+    none, mass = r <= 0, kw / w
+    temporal = F.when(none, 0.0).when(span <= 1e-9, 1.0).when(r < 2, 0.0).otherwise(clamp(kept_span / span))
+    close = F.when(err_n <= 0, 1.0).otherwise(1.0 / (1.0 + err / (2.0 * err_n) / mean_step(km, n)))
+    return {
+        "ship_coverage": subset_f1(r, n),
+        "temporal_coverage": temporal,
+        "gap_coverage": F.when(none, 0.0).when(n == 1, 1.0).otherwise(clamp(1.0 - worst / F.greatest(n - 2, F.lit(1)))),
+        "turn_coverage": F.when(none, 0.0).when(w <= 1e-12, 1.0).when(kw <= 0, 0.0).otherwise(2.0 * mass / (1.0 + mass)),
+        "shape_score": F.when(none, 0.0).when(km <= 1e-9, 1.0).when(r < 2, 0.0).otherwise(clamp(temporal * close)),
+    }
+
+
 def track_scores(flagged: DataFrame, sets: tuple[str, ...] = SETS) -> DataFrame:
     """The eight per-track scores of every (set, query, track)."""
     keys = [*sets, "query_id", "traj_id"]
@@ -299,19 +325,14 @@ def track_scores(flagged: DataFrame, sets: tuple[str, ...] = SETS) -> DataFrame:
     c = F.col
     n, r, span = c("n"), c("r"), c("t1") - c("t0")
     none = r <= 0
-    temporal = F.when(none, 0.0).when(span <= 1e-9, 1.0).when(r < 2, 0.0).otherwise(clamp((c("kt1") - c("kt0")) / span))
     worst = F.greatest(c("ki0"), n - 1 - c("ki1"), c("inner_missing"))
-    gap_count = F.when(none, 0.0).when(n == 1, 1.0).otherwise(clamp(1.0 - worst / F.greatest(n - 2, F.lit(1))))
+    scores = coverage_scores(n, r, span, c("kt1") - c("kt0"), worst, c("km"), c("w"), c("kw"), c("err"), c("err_n"))
 
     def gap_span(first: Column, last: Column, inner: str, whole: Column) -> Column:
         worst = F.greatest(first, last, c(inner), F.lit(0.0))
         return F.when(none, 0.0).when(n == 1, 1.0).when(whole <= 1e-9, 1.0).otherwise(clamp(1.0 - worst / whole))
 
-    mass = c("kw") / c("w")
-    turn = F.when(none, 0.0).when(c("w") <= 1e-12, 1.0).when(c("kw") <= 0, 0.0).otherwise(2.0 * mass / (1.0 + mass))
-    step = F.greatest(c("km") / F.greatest(n - 1, F.lit(1)), F.lit(1e-6))
-    close = F.when(c("err_n") <= 0, 1.0).otherwise(1.0 / (1.0 + c("err") / (2.0 * c("err_n")) / step))
-    shape = F.when(none, 0.0).when(c("km") <= 1e-9, 1.0).when(r < 2, 0.0).otherwise(clamp(temporal * close))
+    step = mean_step(c("km"), n)
     evidence = F.least(F.lit(1.0), r / F.lit(2.0))
     fidelity = (
         F.when(c("kept_in_track") < 2, 0.0)
@@ -323,13 +344,9 @@ def track_scores(flagged: DataFrame, sets: tuple[str, ...] = SETS) -> DataFrame:
         *keys,
         n.alias("full_points"),
         r.alias("kept_points"),
-        subset_f1(r, n).alias("ship_coverage"),
-        temporal.alias("temporal_coverage"),
-        gap_count.alias("gap_coverage"),
+        *[v.alias(k) for k, v in scores.items()],
         gap_span(c("kt0") - c("t0"), c("t1") - c("kt1"), "inner_t", span).alias("gap_time_coverage"),
         gap_span(c("kk0"), c("km") - c("kk1"), "inner_km", c("km")).alias("gap_distance_coverage"),
-        turn.alias("turn_coverage"),
-        shape.alias("shape_score"),
         fidelity.alias("interpolation_fidelity"),
     )
 
