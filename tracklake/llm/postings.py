@@ -4,7 +4,7 @@ Index: one posting (term, document, position) per word of a document that any be
 item has, written as a table in the order of the documents, so storing it takes no
 shuffle.  A document is known by its id and the hash of its text.
 
-Search: the windows of all items (``words`` consecutive words; a shorter item is one
+Search: the windows of all items (``size`` consecutive words; a shorter item is one
 window) are made distinct and their terms are ordered from rare to frequent by the
 number of postings.  The list of a window's rarest term, each position less the term's
 offset, gives the places where the window may start; the list of the second term, adjusted
@@ -18,8 +18,8 @@ term (proximity match); 0 is the exact phrase.
 
 Lists of frequent terms are long but never gathered: all steps are equi-joins on
 (document, position, term), which no hot term can fill.  The lists of the first step are
-joined by term with a table of windows, which is broadcast while Spark's own size limit
-allows it and dealt over ``SALT`` copies otherwise.
+joined by term with the table of windows, which is broadcast up to ``BROADCAST_TERMS`` rows
+and dealt over ``SALT`` copies beyond.
 
 Defined results: null texts and items, and those without a word, have no words; an item
 with a null id hits words but is not counted as an item; items that repeat an id count
@@ -44,6 +44,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALT = 32
 #: Up to so many distinct words of the benchmark (and windows of it) go along by broadcast.
 BROADCAST_TERMS = 200_000
+#: Up to so many documents that are still in question before the last step (one long each) select its postings by broadcast.
+BROADCAST_DOCS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -143,7 +145,10 @@ def matches(postings: DataFrame, plan: Plan, slop: int = 0) -> DataFrame:
     left = materialize(left.distinct())
 
     rest = ranked.filter("rank > 1").select("window", "rank", "term", "offset")
-    asked = postings.join(left.filter("k > 2").select("doc_id", "of").distinct(), ["doc_id", "of"], "left_semi")
+    # the last step reads the postings of documents still in question; their hash is enough to select them
+    document = F.xxhash64("doc_id", "of")
+    asked = left.filter("k > 2").select(document.alias("document")).distinct()
+    asked = postings.join(_bounded(asked, BROADCAST_DOCS), document == F.col("document"), "left_semi")
     confirmed = _at(left.filter("k > 2"), F.broadcast(rest) if few else rest, slop).join(asked, PLACE, "left_semi")
     held = confirmed.groupBy("doc_id", "of", "window", "k", "start").agg(F.countDistinct("rank").alias("held")).filter(F.col("held") == F.col("k") - 2)
     return alone.unionByName(left.filter("k = 2")).unionByName(held.drop("held"))
