@@ -162,6 +162,7 @@ def _by_shingle(postings: DataFrame, work, ddl: str) -> DataFrame:
     return postings.select(*_POSTING).repartition("shingle").sortWithinPartitions("shingle", "size", "key").mapInArrow(run, ddl)
 
 
+_ROUND = np.uint64(0x9E3779B97F4A7C15)
 _POSTING = ["shingle", "key", "size", "at", "component"]
 
 
@@ -195,7 +196,8 @@ def offers(postings: DataFrame, percent: int, round_: int) -> DataFrame:
             last = max(lead + 1, int(np.searchsorted(size, size[lead] * 100 // percent, side="right")))
             band[lead:last] = lead
             lead = last
-        dealt = np.lexsort((mixed(key.view(np.uint64) + shingle[0].view(np.uint64) * np.uint64(2 * round_ + 1)), band))
+        # dealt by key and round alone: a family proposes the same pairs at all shingles that it shares
+        dealt = np.lexsort((mixed(key.view(np.uint64) + _ROUND * np.uint64(round_ + 1)), band))
         left = np.concatenate([dealt[:-1], dealt[:-2], np.arange(k - 1)])
         right = np.concatenate([dealt[1:], dealt[2:], np.arange(1, k)])
         other = (component[left] != component[right]) & (key[left] != key[right])
