@@ -356,6 +356,31 @@ def test_split_tree_is_exact():
     assert (out.sum(axis=0) == own).all() and out.sum(axis=1).max() - out.sum(axis=1).min() <= 2
 
 
+def test_mixing_of_more_words_than_the_sampler_takes(spark):
+    sizes = {"a": 3 * 10**14, "b": 10**14, None: 7}
+    words = mixing.block_size(sum(sizes.values()), len(sizes))
+    assert words % mixing.BLOCK_WORDS == 0 and mixing.MOST_EPOCHS * sum(sizes.values()) <= mixing.MOST_BLOCKS * words
+    assert mixing.block_size(10**6, 3) == mixing.BLOCK_WORDS
+    rows = [(s, n, 1.0) for s, n in sizes.items()]
+    sources = mixing.with_targets(spark.createDataFrame(rows, "source string, source_size long, weight double"))
+    got = collect(mixing.quotas(sources, shards=16, block_words=words))
+    assert {r["source"] for r in got} == set(sizes) and all(r["ends"][-1] == r["draws"] for r in got)
+    per_shard = np.diff(np.array([r["ends"] for r in got]), prepend=0, axis=1).sum(axis=0)
+    assert per_shard.max() - per_shard.min() <= 1 and sum(r["draws"] for r in got) > 10**8
+
+
+def test_shards_of_documents_come_from_the_tree(docs, monkeypatch):
+    mixed = mixing.mix(mixing.sizes(docs), shards=4, block_words=64)
+    held = Counter()
+    for r in collect(mixing.taken(mixed)):
+        held.update(r["shards"].split(",") if r["shards"] else [])
+    parts = {(str(r["shard"]), r["doc_id"]) for r in collect(mixing.shard_parts(mixed))}
+    assert set(held) == {"0", "1", "2", "3"} and {s for s, _ in parts} == set(held)
+    monkeypatch.setattr(mixing, "_split_left", lambda rng, quotas, draws: np.minimum(quotas, np.maximum(0, draws - (np.cumsum(quotas) - quotas))))
+    other = mixing.mix(mixing.sizes(docs), shards=4, block_words=64)
+    assert collect(mixing.taken(other).orderBy("doc_id", "size")) != collect(mixing.taken(mixed).orderBy("doc_id", "size"))
+
+
 def test_mixed_documents(docs, rows, empty):
     got = collect(mixing.mixed_documents(docs, block_words=64))
     assert set(got[0]) == set(docs.columns)

@@ -5,7 +5,7 @@ Targets: sources by code point, null last, weigh 5, 2, 1, repeating; together th
 excess going to the others by weight until none is above.
 
 Blocks: the documents of a source stand in a fixed random order and their words are
-cut into blocks of ``block_words``; an affine permutation per source and epoch orders
+cut into blocks of ``block_words`` (more where the corpus has above 10^11 words); an affine permutation per source and epoch orders
 the blocks, and the mix takes the first ones, the last block in part, so every source
 gets its target to the word.
 
@@ -47,6 +47,10 @@ GROUPS = 64
 BUCKETS = 256
 #: Sources that may be joined by broadcast (one short row each); more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Starts of hash buckets that may be joined by broadcast.
+BROADCAST_BUCKETS = 500_000
+#: Blocks of all sources and epochs at most: blocks double in size until there are no more, and draws stay within the sampler's range.
+MOST_BLOCKS = 400_000_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -106,7 +110,7 @@ def _split_left(rng: np.random.Generator, quotas: np.ndarray, draws: int) -> np.
     left, rest = np.zeros_like(quotas), int(quotas.sum())
     for i, q in enumerate(quotas.tolist()):
         rest -= q
-        # the bound of numpy's sampler is far above any number of blocks of a shard
+        # the sampler takes less than 10^9, which ``block_size`` keeps above the number of all blocks
         left[i] = rng.hypergeometric(q, rest, draws) if draws and q else 0
         draws -= int(left[i])
     return left
@@ -131,6 +135,14 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def block_size(words: int, sources: int, block_words: int = BLOCK_WORDS) -> int:
+    """``block_words``, doubled until all sources and epochs together have at most ``MOST_BLOCKS`` blocks (two of each source are for its ends)."""
+    room = max(1, MOST_BLOCKS - 2 * MOST_EPOCHS * sources)
+    while MOST_EPOCHS * words > room * block_words:
+        block_words *= 2
+    return block_words
+
+
 def quotas(sources: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """Adds to each source: words per epoch, blocks, permutation steps, drawn blocks, and where each shard's run of draws ends."""
     blocks = F.ceil(F.col("source_size") / block_words)
@@ -179,6 +191,10 @@ def placed(sized: DataFrame, seed: int = SEED) -> DataFrame:
     first = buckets.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", *[c for c in sized.columns if c not in ("doc_id", "source")])
     own = dealt.withColumn("_at", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    # a small table of bucket starts, so that the rows (with their texts) are shuffled once, for the order inside buckets
+    first = materialize(first)
+    if fits_broadcast(first, BROADCAST_BUCKETS):
+        first = F.broadcast(first)
     joined = own.join(first, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
     return joined.withColumn("start", F.col("_first") + F.col("_at")).drop("_order", "_bucket", "_source", "_b", "_first", "_at")
 
@@ -213,7 +229,10 @@ def draws(block_words: int = BLOCK_WORDS) -> Column:
 
 def mix(sized: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """``sized`` (doc_id, source, size and other columns) with source_size, target and ``parts``."""
-    planned = materialize(quotas(with_targets(materialize(source_totals(sized))), shards, block_words, seed))
+    sources = materialize(source_totals(sized))
+    size = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("n")).first()
+    block_words = block_size(size["words"], size["n"], block_words)
+    planned = materialize(quotas(with_targets(sources), shards, block_words, seed))
     side = planned.withColumnRenamed("source", "_source").drop("weight")
     if fits_broadcast(side, BROADCAST_SOURCES):
         side = F.broadcast(side)
@@ -222,9 +241,10 @@ def mix(sized: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS,
 
 
 def taken(mixed: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken per document."""
+    """doc_id, size, source_size, target, taken and the shards (ascending, joined by commas) that hold parts of the document."""
     words = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", words.alias("taken"))
+    shards = F.array_join(F.array_sort(F.array_distinct("parts.shard")).cast("array<string>"), ",").alias("shards")
+    return mixed.select("doc_id", "size", "source_size", "target", words.alias("taken"), shards)
 
 
 def shard_parts(mixed: DataFrame, seed: int = SEED) -> DataFrame:
