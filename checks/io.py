@@ -10,7 +10,8 @@ from tracklake.operators import simplify
 from tracklake.plans.materialize import shared_folder
 from tracklake.sources import ledger, sinks
 from tracklake.sources import reports as source
-from tracklake.streaming.ingest import ingest_incremental
+from tracklake.streaming.ingest import ingest_incremental, read_committed
+from tracklake.streaming.live import stream_ingest
 
 from .cleaning import _TYPED_SQL
 from .fixtures import HITS_SQL, POINTS_SQL, RAW_SQL, REPORTS_SQL, boxes, points, reports, reports_raw
@@ -55,6 +56,15 @@ def _(spark, sf):
     return good.unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@check("a8_stream_ingest", f"WITH {_TYPED_SQL} SELECT coalesce(reason, 'good') AS reason, count(*) AS n FROM typed GROUP BY ALL")
+def _(spark, sf):
+    src, out = raw_files(spark, sf), fresh(spark)
+    for _ in range(2):  # a new checkpoint sees all files again; the ledger knows them
+        stream_ingest(spark, src, out, fresh(spark), files_per_batch=2).awaitTermination()
+    good = read_committed(spark, out).select(F.lit("good").alias("reason"))
+    return good.unionByName(read_committed(spark, out, "rejects").select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @check("a9_ledger", f"""WITH {_TYPED_SQL} SELECT CAST(0 AS BIGINT) AS left_to_load, CAST(3 AS BIGINT) AS files, count(*) AS rows_read, count(*) FILTER (reason IS NULL) AS rows_inserted,
    count(*) FILTER (reason IS NOT NULL) AS rows_skipped, count(*) FILTER (reason = 'missing_ts') AS skip_missing_ts, count(*) FILTER (reason = 'missing_core') AS skip_missing_core,
    count(*) FILTER (reason = 'bad_coords') AS skip_bad_coords FROM typed""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_COLUMNS = ["path", "size", "modified"]
+FILE_SCHEMA = "path string, size bigint, modified timestamp, uri string"
 LEDGER_SCHEMA = (
     "path string, size bigint, modified timestamp, rows_read bigint, rows_inserted bigint, rows_skipped bigint, "
     "skip_missing_ts bigint, skip_missing_core bigint, skip_bad_coords bigint, status string"

@@ -2,8 +2,8 @@
 
 The ledger decides what is new.  A batch of new files is read by the header of each file,
 judged, and written to folders named by the batch number; its ledger rows come last.  A
-batch that fails before that is done again under the same number and replaces itself.
-One loader may run on a folder at a time.
+batch that fails before that is done again under the same number and replaces itself, and
+``read_committed`` shows only what the ledger has.  One loader may run on a folder at a time.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.ledger import LEDGER_SCHEMA, ledger_filter, list_files, read_ledger
+from ..sources.ledger import FILE_SCHEMA, LEDGER_SCHEMA, ledger_filter, list_files, read_ledger
 from ..sources.reports import REJECT_REASONS, judge_reports, read_layouts
 
 
@@ -54,13 +54,23 @@ def ingest_incremental(spark: SparkSession, src_dir: str, out: str, sep: str | N
     files = list_files(spark, [src_dir])
     new = ledger_filter(files, read_ledger(spark, f"{out}/ledger")).orderBy("path").collect()
     for start in range(0, len(new), files_per_batch):
-        part = new[start : start + files_per_batch]
-        batch = _next_batch(spark, out)
-        tagged = judge_reports(read_layouts(spark, [r["path"] for r in part], sep, keep_file=True), ("source_file",)).persist()
-        good = tagged.filter(F.col("reason").isNull()).drop("reason", "source_file")
-        good.write.mode("overwrite").parquet(f"{out}/good/batch={batch}")
-        tagged.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{out}/rejects/batch={batch}")
-        listed = spark.createDataFrame(part, files.schema)
-        _counts(tagged, listed).write.mode("overwrite").parquet(f"{out}/ledger/batch={batch}")
-        tagged.unpersist()
+        load_files(spark, new[start : start + files_per_batch], out, sep)
     return len(new)
+
+
+def load_files(spark: SparkSession, part: list, out: str, sep: str | None = None) -> None:
+    """Read, judge and write the files ``part`` (rows of ``list_files``) as the next batch; its ledger rows come last."""
+    batch = _next_batch(spark, out)
+    tagged = judge_reports(read_layouts(spark, [r["path"] for r in part], sep, keep_file=True), ("source_file",)).persist()
+    good = tagged.filter(F.col("reason").isNull()).drop("reason", "source_file")
+    good.write.mode("overwrite").parquet(f"{out}/good/batch={batch}")
+    tagged.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{out}/rejects/batch={batch}")
+    listed = spark.createDataFrame(part, FILE_SCHEMA)
+    _counts(tagged, listed).write.mode("overwrite").parquet(f"{out}/ledger/batch={batch}")
+    tagged.unpersist()
+
+
+def read_committed(spark: SparkSession, out: str, what: str = "good") -> DataFrame:
+    """Rows of ``good`` or ``rejects`` whose batch has its ledger rows; what a load has not finished is not seen."""
+    done = spark.read.schema(f"{LEDGER_SCHEMA}, batch int").parquet(f"{out}/ledger").select("batch").distinct()
+    return spark.read.parquet(f"{out}/{what}").join(F.broadcast(done), "batch", "left_semi").drop("batch")
