@@ -301,11 +301,13 @@ def _(spark, sf):
     return quality.deleted_causes(quality.tag_deleted(reports(spark, sf), detected(spark, sf)))
 
 
-@check("c9_deleted_profile", f"""WITH {_TAG_SQL} SELECT ship_type, count(*) AS deleted, round(avg(prev_sog), 6) AS mean_prev_sog, round(avg(exact_km), 6) AS mean_step_km, round(avg(exact_reach), 6) AS mean_reach_km
+@check("c9_deleted_profile", f"""WITH {_TAG_SQL} SELECT ship_type, count(*) AS deleted, round(avg(prev_sog), 6) AS mean_prev_sog, round(avg(exact_km), 6) AS mean_step_km, round(avg(exact_reach), 6) AS mean_reach_km,
+       round(quantile_disc(prev_sog, 0.5), 6) AS median_prev_sog, round(quantile_disc(exact_km, 0.5), 6) AS median_step_km
        FROM tag WHERE NOT kept GROUP BY ship_type""")
 def _(spark, sf):
     t = quality.deleted_profile(quality.tag_deleted(reports(spark, sf), detected(spark, sf)), ["ship_type"])
-    return t.select("ship_type", "deleted", *[F.round(c, 6).alias(c) for c in ("mean_prev_sog", "mean_step_km", "mean_reach_km")])
+    shown = ("mean_prev_sog", "mean_step_km", "mean_reach_km", "median_prev_sog", "median_step_km")
+    return t.select("ship_type", "deleted", *[F.round(c, 6).alias(c) for c in shown])
 
 
 @check("c10_deleted_samples", f"""WITH {_TAG_SQL}, gone AS (SELECT * FROM tag WHERE NOT kept),
