@@ -87,6 +87,51 @@ def test_segment_budget_spends_the_budget(data):
     assert ends == {(t, e) for t, g in groups.items() for e in (0, len(g) - 1)}
 
 
+@pytest.mark.parametrize("second, size", [(None, 8), ("other", 20)])
+def test_segment_budget_picks(data, second, size):
+    p, groups = data
+    p = p.withColumn("other", (F.col("report_id") * 104729 % 97) / 97.0)
+    other = {(r["traj_id"], r["pos"]): r["other"] for r in p.select("traj_id", "pos", "other").collect()}
+    got = {(r["traj_id"], r["pos"]) for r in simplify.simplify_segment_budget(p, 0.4, second, size=size).collect() if r["reason"] != "fallback"}
+    total = sum(budget(len(g), 0.4) for g in groups.values())
+    blocks = simplify.block_scores(p, second or "score", size)
+    value = {(r["traj_id"], r["block"]): r["block_score"] for r in blocks.collect()}
+    slots = {(r["traj_id"], r["block"]): r["slots"] for r in simplify.allocate_slots(blocks, total - 2 * len(groups), total, size=size).collect()}
+
+    def km(g, i, j):
+        shrink = max(0.1, abs(math.cos(math.radians((g["lat"][i] + g["lat"][j]) / 2))))
+        return 111.32 * math.sqrt((g["lat"][i] - g["lat"][j]) ** 2 + ((g["lon"][i] - g["lon"][j]) * shrink) ** 2)
+
+    def stretched(v):
+        low, high = min(v.values()), max(v.values())
+        return {i: 0.0 if high - low <= 1e-12 else (x - low) / (high - low) for i, x in v.items()}
+
+    want = set()
+    for tid, g in groups.items():
+        n = len(g)
+        kept = {0, n - 1}
+        for block in sorted((b for t, b in slots if t == tid), key=lambda b: (-value[tid, b], b)):
+            inside = range(block * size, min(n, block * size + size))
+            open_ = set(inside) - kept
+            for _ in range(slots[tid, block]):
+                if not open_:
+                    break
+                worth = {i: g["score"][i] for i in open_}
+                if second:
+                    one, two = stretched(worth), stretched({i: other[tid, i] for i in open_})
+                    worth = {i: 0.95 * one[i] + 0.05 * two[i] for i in open_}
+                gain = {}
+                for i in open_:
+                    a, b = max(k for k in kept if k < i), min(k for k in kept if k > i)
+                    gain[i] = max(0.0, km(g, a, i) + km(g, i, b) - km(g, a, b))
+                worth, gain = stretched(worth), stretched(gain)
+                best = max(sorted(open_), key=lambda i: round(0.88 * worth[i] + 0.12 * gain[i], 12))
+                kept.add(best)
+                open_ = {i for i in open_ if abs(i - best) > len(inside) // 10}
+        want |= {(tid, i) for i in kept}
+    assert got == want and len(want) > 2 * len(groups)
+
+
 def test_slots_match_one_by_one_picking(data):
     p, groups = data
     size, total = 8, sum(budget(len(g), 0.5) for g in groups.values())

@@ -31,6 +31,8 @@ SCORE_MODES = ("rank", "rank_tie", "raw", "sigmoid", "temperature_sigmoid", "zsc
 GEOMETRY_WEIGHT = 0.12
 BLOCK_BLEND = 0.05
 WEIGHT_FLOOR = 0.5
+KM_PER_DEGREE = 111.32
+LEAST_COSINE = 0.10
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -408,51 +410,58 @@ def allocate_slots(
     return best.groupBy("traj_id", "block").agg(F.count(F.lit(1)).alias("slots"))
 
 
-def _flat_km(la: np.ndarray, lo: np.ndarray, lb: np.ndarray, ob: np.ndarray) -> np.ndarray:
-    """Small-distance km on a plane."""
-    dy = (lb - la) * 111.32
-    dx = (ob - lo) * 111.32 * np.maximum(np.abs(np.cos(np.radians((la + lb) * 0.5))), 0.10)
-    return np.sqrt(dx * dx + dy * dy)
+def _step_km(lat: np.ndarray, lon: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Kilometres between the rows ``a`` and ``b`` on a plane; a degree and the least cosine are fixed values."""
+    shrink = np.maximum(np.abs(np.cos(np.radians((lat[a] + lat[b]) / 2))), LEAST_COSINE)
+    return KM_PER_DEGREE * np.hypot(lat[b] - lat[a], (lon[b] - lon[a]) * shrink)
 
 
-def _minmax(v: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    out = np.full(len(v), -np.inf)
-    if ok.any():
-        low, span = v[ok].min(), v[ok].max() - v[ok].min()
-        out[ok] = 0.0 if span <= 1e-12 else (v[ok] - low) / span
+def _unit(v: np.ndarray) -> np.ndarray:
+    """``v`` stretched to 0..1; all 0 where it is flat."""
+    span = np.ptp(v)
+    return (v - v.min()) / span if span > 1e-12 else np.zeros(len(v))
+
+
+def _nearest_earlier(turn: np.ndarray) -> list[int]:
+    """For each block the nearest one on its left that has its turn before it, -1 if there is none.
+
+    Blocks that wait in the stack have ever later turns, so each is pushed and dropped once.
+    """
+    stack, out = [], []
+    for i, t in enumerate(turn.tolist()):
+        while stack and turn[stack[-1]] > t:
+            stack.pop()
+        out.append(stack[-1] if stack else -1)
+        stack.append(i)
     return out
 
 
-def _pick_in_block(lat, lon, score, kept, start, stop, count, spacing, gain_weight, aux=None, blend=0.0) -> None:
-    """Mark ``count`` picks of rows [start, stop) in ``kept``, spaced out, in place."""
-    rows = np.arange(start, stop)
-    free = ~kept[start:stop]
-    done = 0
-
-    def combined() -> np.ndarray:
-        anchors = np.flatnonzero(kept)
-        at = np.searchsorted(anchors, rows)
-        inside = free & (at > 0) & (at < len(anchors))
-        gain = np.zeros(len(rows))
-        if len(anchors) >= 2 and inside.any():
-            r = rows[inside]
-            a, b = anchors[at[inside] - 1], anchors[at[inside]]
-            via = _flat_km(lat[a], lon[a], lat[r], lon[r]) + _flat_km(lat[r], lon[r], lat[b], lon[b])
-            gain[inside] = np.maximum(via - _flat_km(lat[a], lon[a], lat[b], lon[b]), 0.0)
-        value = score[start:stop]
-        if aux is not None and blend > 0:
-            value = (1 - blend) * _minmax(value, free) + blend * _minmax(aux[start:stop], free)
-        mixed = (1 - gain_weight) * _minmax(value, free) + gain_weight * _minmax(gain, free)
-        mixed[~free] = -np.inf
-        return mixed
+def _pick_in_block(
+    lat: np.ndarray, lon: np.ndarray, rows: np.ndarray, before: int, after: int, value: np.ndarray,
+    aux: np.ndarray | None, count: int, spacing: int, gain_weight: float, blend: float,
+) -> list[int]:
+    """Up to ``count`` of ``rows``, one by one, in positional order.
 
-    while done < count and free.any():
-        i = int(np.argmax(combined()))
-        kept[start + i] = True
-        free[max(0, i - spacing) : i + spacing + 1] = False
-        done += 1
-    # spacing may leave slots over; they stay free and go to the fallback
-    return None
+    ``before`` and ``after`` are the nearest kept rows around the block.  Each row knows its
+    kept neighbours, a pick moves those of the rows beside it, and the detour by way of a row
+    follows from these alone.  Rows within ``spacing`` of a pick are out.
+    """
+    left, right = np.full(len(rows), before), np.full(len(rows), after)
+    live = np.flatnonzero((rows != before) & (rows != after))
+    picks: list[int] = []
+    while len(picks) < count and len(live):
+        worth = value[live]
+        if aux is not None and blend > 0:
+            worth = (1 - blend) * _unit(worth) + blend * _unit(aux[live])
+        at, a, b = rows[live], left[live], right[live]
+        detour = _step_km(lat, lon, a, at) + _step_km(lat, lon, at, b) - _step_km(lat, lon, a, b)
+        best = int(live[np.argmax((1 - gain_weight) * _unit(worth) + gain_weight * _unit(np.maximum(detour, 0.0)))])
+        row = int(rows[best])
+        picks.append(row)
+        left[best + 1 :] = np.maximum(left[best + 1 :], row)
+        right[:best] = np.minimum(right[:best], row)
+        live = live[np.abs(live - best) > spacing]
+    return sorted(picks)
 
 
 def simplify_segment_budget(
@@ -475,27 +484,38 @@ def simplify_segment_budget(
     blocks = materialize(block_scores(points, segment_score or "score", size))
     slots = allocate_slots(blocks, total - skeleton, total, share, fairness, size)
     plan = blocks.join(slots, ["traj_id", "block"]).select("traj_id", "block", "block_score", "slots")
-    cols = ["traj_id", "pos", "lat", "lon", "score"] + ([segment_score] if segment_score else [])
+    cols = ["traj_id", "pos", "n_points", "lat", "lon", "score"] + ([segment_score] if segment_score else [])
     ready = points.select(*cols, F.floor(F.col("pos") / size).alias("block")).join(plan, ["traj_id", "block"], "left")
-
-    def choose(data: dict) -> dict:
-        lat, lon, score = data["lat"], data["lon"], data["score"]
-        aux = data[segment_score] if segment_score else None
-        kept = np.zeros(len(lat), dtype=bool)
-        kept[[0, -1]] = True
-        ends = kept.copy()
-        firsts = np.flatnonzero((data["pos"] % size == 0) & ~np.isnan(data["slots"]))
-        best_first = sorted(firsts, key=lambda a: (-data["block_score"][a], a))
-        for start in best_first:
-            stop = min(len(lat), start + size)
-            spacing = int(np.floor((stop - start) * spacing_fraction))
-            _pick_in_block(lat, lon, score, kept, start, stop, int(data["slots"][start]), spacing, gain_weight, aux, blend)
-        reason = np.where(ends[kept], "skeleton", "learned")
-        return {"traj_id": data["traj_id"][kept], "pos": data["pos"][kept], "reason": reason.astype(object)}
-
-    schema = "traj_id bigint, pos bigint, reason string"
-    ready = ready.withColumn("slots", F.col("slots").cast("double"))
-    chosen = materialize(map_groups(ready, TRACK, "pos", choose, schema))
+    # only blocks with slots and the ends of the track travel to the picks
+    ready = ready.withColumn("slots", F.col("slots").cast("double")).filter(F.col("slots").isNotNull() | _ends())
+
+    def choose(data: dict) -> dict | None:
+        """Blocks have their turns by score; what surrounds a block was kept by the nearest blocks with earlier turns."""
+        with_slots = np.flatnonzero(~np.isnan(data["slots"]))
+        if len(with_slots) == 0:
+            return None
+        blocks = np.split(with_slots, np.flatnonzero(np.diff(data["block"][with_slots])) + 1)
+        firsts = np.array([rows[0] for rows in blocks])
+        turn = np.empty(len(blocks), dtype=np.int64)
+        turn[np.lexsort((firsts, -data["block_score"][firsts]))] = np.arange(len(blocks))
+        lefts = _nearest_earlier(turn)
+        rights = [len(blocks) - 1 - i if i >= 0 else -1 for i in _nearest_earlier(turn[::-1])][::-1]
+        picks: list[list[int]] = [[] for _ in blocks]
+        for i in np.argsort(turn).tolist():
+            rows = blocks[i]
+            before = picks[lefts[i]][-1] if lefts[i] >= 0 else 0
+            after = picks[rights[i]][0] if rights[i] >= 0 else len(data["pos"]) - 1
+            picks[i] = _pick_in_block(
+                data["lat"], data["lon"], rows, before, after, data["score"][rows],
+                data[segment_score][rows] if segment_score else None, int(data["slots"][rows[0]]),
+                int(len(rows) * spacing_fraction), gain_weight, blend,
+            )
+        kept = np.concatenate([np.array(p, dtype=np.int64) for p in picks])
+        return {"traj_id": data["traj_id"][kept], "pos": data["pos"][kept]}
+
+    learned = map_groups(ready, TRACK, "pos", choose, "traj_id bigint, pos bigint")
+    ends = points.filter(_ends()).select("traj_id", "pos", F.lit("skeleton").alias("reason"))
+    chosen = materialize(ends.unionByName(learned.withColumn("reason", F.lit("learned"))))
     return fallback_fill(points, chosen, total)
 
 
