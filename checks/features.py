@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracklake.operators import audits, diagnostics, features, priors, scorer
 
 from .fixtures import HITS_SQL, POINTS_SQL, boxes, points, shared
-from .labels import TARGET_SQL, dense_targets, targets
+from .labels import TARGET_SQL, _freq_sql, dense_targets, targets
 from .metrics import EVAL_SQL, _rounded, _rounded_sql, crossings, evaluated
 from .registry import check
 from .simplify import k_sql, spaced_sql
@@ -204,16 +204,59 @@ def _history(spark, sf):
     return points(spark, sf).select("traj_id", "pos", F.col("turn_score").alias("target"), "speed", (F.col("heading") / 360.0).alias("course"))
 
 
-@check("k13_knn_prior_score")
+_HISTORY_SQL = POINTS_SQL + ", h AS (SELECT traj_id, pos, turn_score AS target, speed, heading / 360e0 AS course, traj_id % 4 AS part FROM points)"
+
+
+def _knn_sql(k: int, history: str = "true", weights=(1.0, 1.0), points: str = "true", own: str = "x.traj_id <> y.traj_id OR x.pos <> y.pos", groups: str = "") -> str:
+    """Every point against every history row; the k smallest pairs of distance and target."""
+    d2 = f"{weights[0]}e0 * (x.speed - y.speed) * (x.speed - y.speed) + {weights[1]}e0 * (x.course - y.course) * (x.course - y.course)"
+    part = f", {groups}" if groups else ""
+    kept = f", {groups.split('.')[-1]}" if groups else ""
+    return f"""near AS (SELECT x.traj_id, x.pos{part}, min({{'d2': {d2}, 'target': y.target}}, {k}) AS best FROM (SELECT * FROM h WHERE {points}) x, (SELECT * FROM h WHERE {history}) y WHERE {own} GROUP BY x.traj_id, x.pos{part}),
+     knn AS (SELECT traj_id, pos{kept}, sum(b.target / (b.d2 + 1e-4)) / sum(1 / (b.d2 + 1e-4)) AS score FROM (SELECT *, unnest(best) AS b FROM near) GROUP BY traj_id, pos{kept})"""
+
+
+@check("k13_knn_prior_score", f"WITH {_HISTORY_SQL}, {_knn_sql(5)} SELECT traj_id, pos, round(score, 7) AS score FROM knn")
+def _(spark, sf):
+    h = _history(spark, sf)
+    return features.knn_prior_score(h, h, ["speed", "course"], k=5, leave_one_out=True).select("traj_id", "pos", r("score", 7).alias("score"))
+
+
+@check("k13_knn_other_history", f"""WITH {_HISTORY_SQL}, {_knn_sql(32, 'traj_id % 3 <> 0', (0.25, 4.0), 'traj_id % 3 = 0', 'true')} SELECT traj_id, pos, round(score, 7) AS score FROM knn""")
+def _(spark, sf):
+    h = _history(spark, sf)
+    new = h.filter("traj_id % 3 = 0").drop("target")
+    score = features.knn_prior_score(new, h.filter("traj_id % 3 <> 0"), ["speed", "course"], weights=[0.25, 4.0])
+    return score.select("traj_id", "pos", r("score", 7).alias("score"))
+
+
+_HOWS = ("mean", "min", "median")
+
+
+@check("k13_combined_sources", f"""WITH {_HISTORY_SQL}, {_knn_sql(5, 'traj_id % 5 <> 0', points='traj_id % 5 = 0', own='true', groups='y.part')}
+   SELECT traj_id, pos, round(avg(score), 7) AS mean, round(min(score), 7) AS min, round(quantile_disc(score, 0.5), 7) AS median FROM knn GROUP BY traj_id, pos""")
 def _(spark, sf):
+    from functools import reduce
+
     h = _history(spark, sf)
-    return features.knn_prior_score(h, h, ["speed", "course"], k=5, leave_one_out=True)
+    new, old = h.filter("traj_id % 5 = 0").drop("target"), h.filter("traj_id % 5 <> 0")
+    parts = [features.knn_prior_score(new, old.filter(f"traj_id % 4 = {i}"), ["speed", "course"], k=5) for i in range(4)]
+    scores = shared(spark, sf, "knn_sources", lambda: reduce(lambda a, b: a.unionByName(b), parts))
+    combined = [features.combine_sources(scores, how).withColumnRenamed("score", how) for how in _HOWS]
+    return reduce(lambda a, b: a.join(b, ["traj_id", "pos"]), combined).select("traj_id", "pos", *_rounded(_HOWS, 7))
+
+
+@check("k13_history_support", f"""WITH {_HISTORY_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY target DESC, traj_id, pos) AS n, count(*) OVER () AS total FROM h WHERE target >= 0.05)
+   SELECT traj_id, pos, target FROM o WHERE n <= greatest(1, ceil(0.3 * total))""")
+def _(spark, sf):
+    return features.history_support(_history(spark, sf), 0.3, 0.05).select("traj_id", "pos", "target")
 
 
-@check("k14_knn_frequency_labels")
+@check("k14_knn_frequency_labels", f"""WITH {_HISTORY_SQL}, {_knn_sql(5)}, scored AS (SELECT p.*, k.score FROM points p JOIN knn k ON k.traj_id = p.traj_id AND k.pos = p.pos),
+   {_freq_sql(ratios=[0.2, 0.4])} SELECT traj_id, pos, round(label, 9) AS label FROM freq""")
 def _(spark, sf):
     p = points(spark, sf).withColumn("course", F.col("heading") / 360.0)
-    return features.knn_frequency_labels(p, _history(spark, sf), ["speed", "course"], [0.2, 0.4], k=5)
+    return features.knn_frequency_labels(p, _history(spark, sf), ["speed", "course"], [0.2, 0.4], k=5).select("traj_id", "pos", r("label").alias("label"))
 
 
 # ---- audits -------------------------------------------------------------------------------

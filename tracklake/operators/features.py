@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import clamp, degree_distance
 from ..plans.materialize import materialize
-from ..plans.ordered import attach, neighbors, order_index, rank_within, scan
+from ..plans.nearest import BLOCK_ROWS, PivotIndex
+from ..plans.ordered import attach, neighbors, order_index, scan
 from .priors import FIELDS, Prior, sample_prior
 from .tracks import extent
 from .workload import GRID_BINS, _with_cell
@@ -233,31 +232,6 @@ def apply_minmax(features: DataFrame, scaler: DataFrame, cols: list[str]) -> Dat
 # ---- nearest neighbours -------------------------------------------------------------------
 
 
-class _Search:
-    """Best k rows of one block of history for one batch of points."""
-
-    def __init__(self, names: list[str], scale: np.ndarray, k: int, leave_one_out: bool):
-        self.names, self.scale, self.k, self.leave_one_out = names, scale, k, leave_one_out
-
-    def __call__(self, pdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        base, target = block[self.names].to_numpy(float) * self.scale, block["target"].to_numpy(float)
-        ident, take = block[POINT].to_numpy(np.int64), min(self.k + self.leave_one_out, len(block))
-        out = [pd.DataFrame({"traj_id": [], "pos": [], "d2": [], "target": []}).astype({"traj_id": "int64", "pos": "int64"})]
-        for low in range(0, len(pdf) if take else 0, 256):
-            part = pdf.iloc[low : low + 256]
-            x = part[self.names].to_numpy(float) * self.scale
-            d2 = np.stack([((base - row) ** 2).sum(axis=1) for row in x])
-            if self.leave_one_out:
-                own = part[POINT].to_numpy(np.int64)
-                d2[(own[:, None, 0] == ident[None, :, 0]) & (own[:, None, 1] == ident[None, :, 1])] = np.inf
-            best = np.lexsort((np.broadcast_to(target, d2.shape), d2), axis=1)[:, : min(self.k, take)]
-            rows = np.repeat(np.arange(len(part)), best.shape[1])
-            found = pd.DataFrame({p: part[p].to_numpy()[rows] for p in POINT})
-            found["d2"], found["target"] = d2[rows, best.ravel()], target[best.ravel()]
-            out.append(found[np.isfinite(found["d2"])])
-        return pd.concat(out, ignore_index=True)
-
-
 def knn_prior_score(
     points: DataFrame,
     history: DataFrame,
@@ -265,58 +239,37 @@ def knn_prior_score(
     k: int = 32,
     weights: list[float] | None = None,
     leave_one_out: bool = False,
-    block_rows: int = 50_000,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Mean target of the k nearest history rows, weighted by 1 / (distance^2 + 1e-4).
 
     ``history`` has (traj_id, pos, target) and the feature columns; ``leave_one_out``
     skips the row of the point itself.  A history of at most ``block_rows`` rows is
-    broadcast.  A longer one is cut into blocks of that size: every block meets every
-    group of points in a task of its own, gives each point its best k, and the
-    blocks are merged per point.
+    broadcast; a longer one is searched block by block, each point in the blocks that can
+    hold one of its nearest rows (``plans/nearest.py``).  History rows without a target
+    or with a feature that is null or not finite take no part, and points with such a
+    feature get no score.
     """
-    scale = np.sqrt(np.array(weights if weights is not None else [1.0] * len(cols)))
-    names = [f"_f{i}" for i in range(len(cols))]
-    renamed = [F.col(c).alias(n) for c, n in zip(cols, names)]
-    need = points.select(*POINT, *renamed)
-    kept = materialize(history.select(*POINT, "target", *renamed))
-    total = kept.count()
-    search = _Search(names, scale, k, leave_one_out)
-    schema = "traj_id bigint, pos bigint, d2 double, target double"
-    if total <= block_rows:
-        base = points.sparkSession.sparkContext.broadcast(kept.toPandas())
-
-        def nearest(batches):
-            for pdf in batches:
-                yield search(pdf, base.value)
-
-        parts = need.mapInPandas(nearest, schema)
-    else:
-        parts = _blocked(need, kept, search, schema, total, block_rows)
-        parts = rank_within(parts, POINT, [F.col("d2"), F.col("target")], "_r", None).filter(F.col("_r") <= k)
-    w = 1.0 / (F.col("d2") + 1e-4)
-    return parts.groupBy(*POINT).agg((F.sum(w * F.col("target")) / F.sum(w)).alias("score"))
+    return _weighted(prior_index(history, cols, k, weights, leave_one_out, block_rows), points, cols, weights)
+
 
+def _scaled(cols: list[str], weights: list[float] | None) -> list[Column]:
+    return [(F.col(c) * F.lit(math.sqrt(w))).alias(f"_f{i}") for i, (c, w) in enumerate(zip(cols, weights or [1.0] * len(cols)))]
 
-def _blocked(need: DataFrame, kept: DataFrame, search: _Search, schema: str, total: int, block_rows: int) -> DataFrame:
-    """Every (block of history, group of points) pair as one cogrouped task."""
-    blocks = math.ceil(total / block_rows)
-    groups = max(1, math.ceil(need.count() / block_rows))
 
-    def spread(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def prior_index(history: DataFrame, cols: list[str], k: int, weights: list[float] | None, leave_one_out: bool, block_rows: int) -> PivotIndex:
+    rows = history.select(*POINT, F.col("target").alias("value"), *_scaled(cols, weights))
+    return PivotIndex(rows, POINT, [f"_f{i}" for i in range(len(cols))], k, leave_one_out, block_rows)
 
-    def place(n: int) -> Column:
-        return F.pmod(F.xxhash64(*POINT), F.lit(n)).cast("int")
 
-    left = need.withColumn("_g", place(groups)).withColumn("_b", spread(blocks))
-    right = kept.withColumn("_b", place(blocks)).withColumn("_g", spread(groups))
-    return left.groupBy("_b", "_g").cogroup(right.groupBy("_b", "_g")).applyInPandas(lambda a, b: search(a, b), schema)
+def _weighted(index: PivotIndex, points: DataFrame, cols: list[str], weights: list[float] | None) -> DataFrame:
+    w = 1.0 / (F.col("d2") + 1e-4)
+    return index.nearest(points.select(*POINT, *_scaled(cols, weights))).groupBy(*POINT).agg((F.sum(w * F.col("value")) / F.sum(w)).alias("score"))
 
 
 def combine_sources(scores: DataFrame, how: str = "mean") -> DataFrame:
-    """Mean, minimum or median over the scores of several history sources."""
-    pick = {"mean": F.avg("score"), "min": F.min("score"), "median": F.percentile("score", F.lit(0.5))}
+    """Mean, minimum or median (the lower one of two) over the scores of several history sources."""
+    pick = {"mean": F.avg("score"), "min": F.min("score"), "median": F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score)")}
     if how not in pick:
         raise ValueError(f"unknown combination: {how!r}")
     return scores.groupBy(*POINT).agg(pick[how].alias("score"))
