@@ -48,6 +48,7 @@ CASES = {
     "fill_bonus_from_nothing": lambda s: simplify.simplify_hybrid(points(s), 0.4, 0.0, bonus=0.8),
     "swap": lambda s: simplify.simplify_hybrid(points(s), 0.4, mode="swap"),
     "stratified": lambda s: simplify.simplify_hybrid(points(s), 0.4, mode="stratified"),
+    "block_picks": lambda s: simplify.simplify_segment_budget(points(s), 0.4, size=2),
     "line_splits": lambda s: simplify.simplify_douglas_peucker(points(s), 0.3),
     "rank_tie": lambda s: simplify.convert_scores(points(s), mode="rank_tie").select("traj_id", "pos", "converted"),
     "zscore": lambda s: simplify.convert_scores(points(s), mode="rank_confidence").select("traj_id", "pos", "converted"),
@@ -64,3 +65,25 @@ def test_split_plan_gives_the_same_rows(spark, request, name):
     request.getfixturevalue("hot")
     assert rows(CASES[name](spark)) == plain
     assert plain
+
+
+@pytest.mark.parametrize("second, scores", [(None, "hash(pos) % 1000 / 1000.0"), ("other", "pmod(hash(pos), 10) / 10.0"), (None, "pos / 700.0")])
+def test_block_picks_of_a_long_track(spark, second, scores):
+    """Pieces of 20 blocks against the whole track: random scores, ties, and scores that only rise."""
+    rows = spark.range(700).select(F.lit(1).cast("bigint").alias("traj_id"), F.col("id").alias("pos"), F.lit(700).cast("bigint").alias("n_points"))
+    track = rows.withColumns({
+        "t": F.col("pos") * 60.0, "lat": 55 + F.sin(F.col("pos") / 9.0) / 10, "lon": 10 + F.col("pos") / 900.0,
+        "score": F.expr(scores).cast("double"), "other": F.expr("pmod(hash(pos, 7), 101) / 101d"),
+    })
+    plain = rows_of_picks(track, second)
+    for conf, value in (("hotRows", "50"), ("pieceRows", "80")):
+        spark.conf.set(f"spark.tracklake.{conf}", value)
+    try:
+        assert rows_of_picks(track, second) == plain
+    finally:
+        for conf in ("hotRows", "pieceRows"):
+            spark.conf.unset(f"spark.tracklake.{conf}")
+
+
+def rows_of_picks(track, second):
+    return rows(simplify.simplify_segment_budget(track, 0.3, second, size=4, share=1.0))

@@ -19,7 +19,7 @@ from ..functions.hashing import fast_unit_hash
 from ..functions.spacing import base_size, budget, distance_to_spaced, is_evenly_spaced
 from ..plans.groups import map_groups
 from ..plans.materialize import materialize
-from ..plans.ordered import attach, first_overall, hot_limit, max_rows, rank_within
+from ..plans.ordered import attach, first_overall, hot_limit, is_hot, max_rows, piece_rows, rank_within
 from ..plans.splits import LINE_DISTANCE, split_strength, spread_score
 
 TRACK = ["traj_id"]
@@ -464,6 +464,30 @@ def _pick_in_block(
     return sorted(picks)
 
 
+def _picks_by_piece(ready: DataFrame, plan: DataFrame, choose, size: int) -> DataFrame:
+    """The picks of ``choose`` for tracks of any length, which are cut into pieces of whole blocks.
+
+    A block looks at the nearest blocks with earlier turns.  Both lie in its own piece unless
+    no block of the piece on that side has an earlier turn.  Such open blocks look only at
+    open blocks, of their own piece or of others: what lies nearest with an earlier turn
+    is itself first from that side.  So the open blocks of a track are picked from
+    first, and then every piece by itself, with their picks in place.  A piece of m blocks
+    has about 2 ln m open ones; only scores that rise or fall along a whole piece make all of it open.
+    """
+    width = max(1, piece_rows(ready.sparkSession) // size)
+    inside = Window.partitionBy("traj_id", "_piece").orderBy("block")
+    left = F.max("block_score").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.max("block_score").over(inside.rowsBetween(1, Window.unboundedFollowing))
+    first = left.isNull() | right.isNull() | (F.col("block_score") > left) | (F.col("block_score") >= right)
+    turns = plan.withColumn("_piece", F.floor(F.col("block") / width)).withColumn("_open", first).select("traj_id", "block", "_piece", "_open")
+    ready = materialize(ready.join(turns, ["traj_id", "block"], "left"))
+    schema = "traj_id bigint, pos bigint"
+    opened = materialize(map_groups(ready.filter(F.col("_open") | _ends()), TRACK, "pos", choose, schema))
+    picked = ready.join(opened, [*TRACK, "pos"], "left_semi").withColumn("_kept", F.lit(True))
+    rest = ready.filter(~F.col("_open")).unionByName(picked)
+    return opened.unionByName(map_groups(rest, ["traj_id", "_piece"], "pos", choose, schema))
+
+
 def simplify_segment_budget(
     points: DataFrame,
     ratio: float,
@@ -477,20 +501,26 @@ def simplify_segment_budget(
 ) -> DataFrame:
     """Ends, then block slots by diminishing value, spaced picks, and a global fallback.
 
-    Returns (traj_id, pos, reason) with reason skeleton, learned or fallback.
+    Returns (traj_id, pos, reason) with reason skeleton, learned or fallback.  A track of
+    any length is picked from piece by piece (``_picks_by_piece``).
     """
-    _require_bounded(points, "segment_budget")
     total, skeleton = _total_budget(points, ratio, F.least(F.lit(2), F.col("n_points")))
     blocks = materialize(block_scores(points, segment_score or "score", size))
     slots = allocate_slots(blocks, total - skeleton, total, share, fairness, size)
     plan = blocks.join(slots, ["traj_id", "block"]).select("traj_id", "block", "block_score", "slots")
+    long = is_hot(points, "traj_id")
+    if long:
+        plan = materialize(plan)
     cols = ["traj_id", "pos", "n_points", "lat", "lon", "score"] + ([segment_score] if segment_score else [])
     ready = points.select(*cols, F.floor(F.col("pos") / size).alias("block")).join(plan, ["traj_id", "block"], "left")
     # only blocks with slots and the ends of the track travel to the picks
-    ready = ready.withColumn("slots", F.col("slots").cast("double")).filter(F.col("slots").isNotNull() | _ends())
+    ready = ready.withColumn("slots", F.col("slots").cast("double")).filter(F.col("slots").isNotNull() | _ends()).withColumn("_kept", F.lit(False))
 
     def choose(data: dict) -> dict | None:
-        """Blocks have their turns by score; what surrounds a block was kept by the nearest blocks with earlier turns."""
+        """Blocks have their turns by score; what surrounds a block was kept by the nearest blocks with earlier turns.
+
+        Of blocks that had their turn elsewhere only the picks are here, marked as kept.
+        """
         with_slots = np.flatnonzero(~np.isnan(data["slots"]))
         if len(with_slots) == 0:
             return None
@@ -500,8 +530,11 @@ def simplify_segment_budget(
         turn[np.lexsort((firsts, -data["block_score"][firsts]))] = np.arange(len(blocks))
         lefts = _nearest_earlier(turn)
         rights = [len(blocks) - 1 - i if i >= 0 else -1 for i in _nearest_earlier(turn[::-1])][::-1]
-        picks: list[list[int]] = [[] for _ in blocks]
+        done = data["_kept"][firsts]
+        picks: list[list[int]] = [rows.tolist() if d else [] for rows, d in zip(blocks, done)]
         for i in np.argsort(turn).tolist():
+            if done[i]:
+                continue
             rows = blocks[i]
             before = picks[lefts[i]][-1] if lefts[i] >= 0 else 0
             after = picks[rights[i]][0] if rights[i] >= 0 else len(data["pos"]) - 1
@@ -510,10 +543,13 @@ def simplify_segment_budget(
                 data[segment_score][rows] if segment_score else None, int(data["slots"][rows[0]]),
                 int(len(rows) * spacing_fraction), gain_weight, blend,
             )
-        kept = np.concatenate([np.array(p, dtype=np.int64) for p in picks])
+        kept = np.array([row for p, d in zip(picks, done) if not d for row in p], dtype=np.int64)
         return {"traj_id": data["traj_id"][kept], "pos": data["pos"][kept]}
 
-    learned = map_groups(ready, TRACK, "pos", choose, "traj_id bigint, pos bigint")
+    if long:
+        learned = _picks_by_piece(ready, plan, choose, size)
+    else:
+        learned = map_groups(ready, TRACK, "pos", choose, "traj_id bigint, pos bigint")
     ends = points.filter(_ends()).select("traj_id", "pos", F.lit("skeleton").alias("reason"))
     chosen = materialize(ends.unionByName(learned.withColumn("reason", F.lit("learned"))))
     return fallback_fill(points, chosen, total)
