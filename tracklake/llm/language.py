@@ -3,7 +3,7 @@
 Each language gets a raw-content dictionary made of sample lines.  A text is cut
 into pieces and compressed once with every dictionary; the language whose
 dictionary gives the fewest bytes wins.  A text is rejected when it has no letter,
-or when it is long and the two best totals are nearly equal.
+or when its two best totals are nearly equal, by one rule for all lengths.
 
 Defined results: a null text and a text without letters give ``und`` with score 0;
 equal totals go to the language with more sampled rows, then to the smaller name;
@@ -32,8 +32,7 @@ DICTIONARY_BYTES = 100_000
 SHARE_BYTES = 1_500
 PIECE_BYTES = 4_000
 LEVEL = 6
-#: Only texts of this many letters are rejected for a narrow margin: for shorter ones it says nothing.
-SURE_LETTERS = 200
+#: A text is rejected, whatever its length, if its two best sizes differ by less than this share; for short texts, whose sizes are small whole numbers, that is a tie.
 NARROW = 0.002
 
 
@@ -104,7 +103,7 @@ def classify_text(text: str | None, compressors: list) -> tuple[str, float, bool
     best = min(range(len(sizes)), key=lambda i: sizes[i])
     rest = [s for i, s in enumerate(sizes) if i != best]
     score = 1.0 if not rest else 1.0 - sizes[best] / min(rest)
-    return compressors[best][0], score, found >= SURE_LETTERS and score < NARROW
+    return compressors[best][0], score, score < NARROW
 
 
 def _predict(docs: DataFrame, dictionaries: dict[str, tuple[int, bytes]]) -> tuple[DataFrame, dict[str, Column]]:

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op9_language")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 @query("op8_packing")
