@@ -179,6 +179,21 @@ diag AS (SELECT dn.query_id, point_hits, track_hits, point_hits / (SELECT count(
   point_hits = 0 AS is_empty, point_hits / (SELECT count(*) FROM points)::DOUBLE > 0.01 AS is_too_broad, fd.near_duplicate_of, coalesce(bd.near_duplicate_iou, 0) AS near_duplicate_iou, t_end - t_start AS secs
   FROM dn LEFT JOIN fd USING (query_id) LEFT JOIN bd USING (query_id), e)"""
 
+@check("f13_rejection_counts", f"""WITH RECURSIVE {HITS_SQL}, {_IOU_SQL.format(src='boxes')}, n AS (SELECT q.query_id, count(h.pos) AS hits, count(DISTINCT h.traj_id) AS tr, count(h.pos) / (SELECT count(*) FROM points)::DOUBLE AS share
+   FROM boxes q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id),
+   judged AS (SELECT query_id, CASE WHEN hits < 3 THEN 'too_few_point_hits' WHEN tr < 1 THEN 'too_few_trajectory_hits' WHEN share > 0.5e0 THEN 'too_broad' END AS why,
+     (SELECT list(earlier_id) FROM iou i WHERE i.query_id = n.query_id AND i.iou >= 0.65e0) AS alike FROM n),
+   replay AS (SELECT -1 AS query_id, []::INT[] AS accepted, 'accepted' AS reason UNION ALL
+     SELECT query_id, CASE WHEN reason = 'accepted' THEN list_append(accepted, query_id) ELSE accepted END, reason FROM (
+       SELECT j.query_id, s.accepted, coalesce(j.why, CASE WHEN list_has_any(s.accepted, coalesce(j.alike, [])) THEN 'near_duplicate' ELSE 'accepted' END) AS reason
+       FROM replay s JOIN judged j ON j.query_id = s.query_id + 1))
+   SELECT reason, family, count(*) AS rejected FROM (SELECT reason, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS family FROM replay WHERE reason <> 'accepted') GROUP BY GROUPING SETS ((reason), (reason, family))""")
+def _(spark, sf):
+    candidates = boxes(spark).withColumn("family", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
+    done = workload.accept_queries(points(spark, sf), candidates, workload.Limits(3, 1, 0.5, None, None, 0.65), max_coverage=1.0)
+    return workload.rejection_counts(candidates, done.log, ["family"])
+
+
 LIMITS = workload.Limits(max_point_share=0.01, duplicate_iou=0.3)
 
 
@@ -237,6 +252,15 @@ def _(spark, sf):
     return workload.coverage_warnings(c, 33.0, 0.01).withColumn("coverage", r("coverage"))
 
 
+@check("f19_coverage_by_group", f"""WITH {POINTS_SQL}, c AS (SELECT CAST(traj_id % 7 AS INT) AS workload_id, count(*) / (SELECT count(*) FROM points)::DOUBLE AS coverage FROM points GROUP BY 1)
+   SELECT workload_id, round(coverage, 9) AS coverage FROM c WHERE abs(coverage - 0.143e0) > 0.002e0""")
+def _(spark, sf):
+    p = points(spark, sf)
+    total = p.select(F.count(F.lit(1))).scalar()
+    c = p.groupBy((F.col("traj_id") % 7).cast("int").alias("workload_id")).agg((F.count(F.lit(1)) / F.first(total)).alias("coverage"))
+    return workload.coverage_warnings(c, 14.3, 0.002).withColumn("coverage", r("coverage"))
+
+
 _SIDES = "a AS (SELECT * FROM diag WHERE query_id < (SELECT max(query_id) / 2 FROM diag)), b AS (SELECT * FROM diag WHERE query_id >= (SELECT max(query_id) / 2 FROM diag))"
 
 
@@ -273,14 +297,32 @@ def _(spark, sf):
     return diagnostics.ks_distance(a, b, "point_hits").select(r("ks").alias("ks"))
 
 
-@check("g8_signature_gate")
+def _ks_sql(column: str) -> str:
+    return f"""(SELECT max(abs((SELECT count(*) FROM a WHERE {column} <= x) / (SELECT count(*) FROM a)::DOUBLE - (SELECT count(*) FROM b_ WHERE {column} <= x) / (SELECT count(*) FROM b_)::DOUBLE))
+     FROM (SELECT DISTINCT {column} AS x FROM diag))"""
+
+
+_GATE_SQL = f"""gate AS (SELECT (SELECT sum(abs(coalesce(x.s, 0) - coalesce(y.s, 0))) FROM (SELECT query_id % 5 AS f, count(*) / (SELECT count(*) FROM a)::DOUBLE AS s FROM a GROUP BY 1) x
+     FULL JOIN (SELECT query_id % 5 AS f, count(*) / (SELECT count(*) FROM b_)::DOUBLE AS s FROM b_ GROUP BY 1) y USING (f)) AS l1,
+   {_ks_sql('point_hits')} AS points_ks, {_ks_sql('track_hits')} AS ships_ks, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b_) AS nb,
+   greatest((SELECT avg((near_duplicate_of IS NOT NULL)::INT) FROM a), (SELECT avg((near_duplicate_of IS NOT NULL)::INT) FROM b_)) AS dup,
+   greatest((SELECT avg(is_too_broad::INT) FROM a), (SELECT avg(is_too_broad::INT) FROM b_)) AS broad),
+   failed AS (SELECT *, concat_ws(',', CASE WHEN l1 > 0.12e0 THEN 'anchor_family_l1_distance' END, CASE WHEN points_ks > 0.2e0 THEN 'point_hit_distribution_ks' END,
+     CASE WHEN ships_ks > 0.2e0 THEN 'ship_hit_distribution_ks' END, CASE WHEN dup > 0.05e0 THEN 'near_duplicate_rate' END, CASE WHEN broad > 0.05e0 THEN 'broad_query_rate' END,
+     CASE WHEN na < 8 THEN 'train_query_count' END, CASE WHEN nb < 8 THEN 'eval_query_count' END) AS failed_checks FROM gate)"""
+
+
+@check("g8_signature_gate", f"""WITH {DIAG_SQL}, {_SIDES.replace('b AS (SELECT', 'b_ AS (SELECT')}, {_GATE_SQL}
+   SELECT failed_checks = '' AS gate_pass, failed_checks, round(points_ks, 9) AS point_hit_distribution_ks, round(ships_ks, 9) AS ship_hit_distribution_ks, round(l1, 9) AS anchor_family_l1_distance,
+     round(dup, 9) AS near_duplicate_rate, round(broad, 9) AS broad_query_rate, na AS train_query_count, nb AS eval_query_count FROM failed""")
 def _(spark, sf):
     a, b = _sides(spark, sf)
-    q = starts(spark, sf)
+    q = starts(spark, sf).withColumn("anchor_family", (F.col("query_id") % 5).cast("string"))
     sums = [diagnostics.diagnostics_summary(d) for d in (a, b)]
     halves = [q.join(d.select("query_id"), "query_id", "left_semi") for d in (a, b)]
     gate = diagnostics.signature_gate(*sums, a, b, *halves)
-    return gate.select("gate_pass", F.array_join("failed_checks", ",").alias("failed_checks"), "point_hit_distribution_ks", "train_query_count", "eval_query_count")
+    measured = ("point_hit_distribution_ks", "ship_hit_distribution_ks", "anchor_family_l1_distance", "near_duplicate_rate", "broad_query_rate")
+    return gate.select("gate_pass", F.array_join("failed_checks", ",").alias("failed_checks"), *_rounded(measured, 9), "train_query_count", "eval_query_count")
 
 
 @check("g9_compare_distributions", f"""WITH {DIAG_SQL}, {_SIDES.replace('b AS', 'b_ AS')}, sa AS (SELECT {_SUMMARY_SQL} FROM a), sb AS (SELECT {_SUMMARY_SQL} FROM b_),
