@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklake.sources.ledger import read_ledger
-from tracklake.sources.reports import layout_of, read_reports_csv
+from tracklake.sources.reports import first_line, first_lines, layout_of, read_reports_csv
 from tracklake.streaming.ingest import ingest_incremental, reset_file
 
 ROW = {"# Timestamp": "01/02/2024 03:04:05", "Type of mobile": "Class A", "MMSI": "219000001", "Latitude": "55.5", "Longitude": "10.25", "SOG": "7.5", "COG": "90", "Ship type": "Cargo"}
@@ -62,3 +62,19 @@ def test_load_is_incremental_and_refuses_changed_files(spark, tmp_path):
     reset_file(spark, out, known["a.csv"]["path"])
     assert ingest_incremental(spark, str(src), out) == 1
     assert spark.read.parquet(f"{out}/good").agg(F.count("*")).first()[0] == 16
+
+
+def test_the_header_is_the_line_at_the_start_of_a_file_of_many_splits(spark, tmp_path):
+    put(tmp_path / "a.csv", list(ROW), rows=400)
+    put(tmp_path / "b.csv", [*reversed(list(ROW))], ";", rows=400)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 20
+        head = first_line(spark, str(tmp_path / "a.csv"))
+        # a limit that meets rows of several tasks takes them in the order of their arrival
+        assert head.rdd.getNumPartitions() == 1 and "Exchange" not in head._jdf.queryExecution().executedPlan().toString()
+        lines = first_lines(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv")])
+        assert sorted(lines.values()) == sorted([",".join(ROW), ";".join(reversed(list(ROW)))])
+        assert read_reports_csv(spark, str(tmp_path), sep=None).count() == 800
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -80,11 +80,21 @@ def layout_of(line: str, sep: str | None = None, required: dict[str, str] | None
     return max(options, key=lambda o: (len(set(wanted) & {clean_header(c) for c in o[1]}), len(o[1])))
 
 
+def first_line(spark: SparkSession, path: str) -> DataFrame:
+    """The line at the start of a file, in one task.
+
+    A large file is cut into several splits, and a limit over them takes the line of whichever
+    arrives first; only the split that begins the file has the header.
+    """
+    begin = spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0)
+    return begin.coalesce(1).limit(1).select(F.lit(path).alias("path"), "value")
+
+
 def first_lines(spark: SparkSession, paths: list[str], together: int = 64) -> dict[str, str]:
     """First line of each file; reads only the beginning of every file, many files per job."""
     found: dict[str, str] = {}
     for start in range(0, len(paths), together):
-        heads = [spark.read.text(p).limit(1).select(F.lit(p).alias("path"), "value") for p in paths[start : start + together]]
+        heads = [first_line(spark, p) for p in paths[start : start + together]]
         found |= {r["path"]: r["value"] for r in reduce(DataFrame.union, heads).collect()}
     return found
 
