@@ -8,11 +8,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formatting import fixed
 from ..functions.parsing import epoch_day
 from ..plans.ordered import with_bound
 
-# Column names and number formats of simplified track files.
-SIMPLIFIED_FORMATS = {"Latitude": ("lat", "%.6f"), "Longitude": ("lon", "%.6f"), "SOG": ("speed", "%.2f"), "COG": ("heading", "%.2f")}
+# Column names and numbers of decimals of simplified track files.
+SIMPLIFIED_FORMATS = {"Latitude": ("lat", 6), "Longitude": ("lon", 6), "SOG": ("speed", 2), "COG": ("heading", 2)}
 UNKNOWN_MMSI_BASE = 100_000_000
 CELL_DEGREES = 0.25
 CLEAN_HEADERS = {
@@ -63,8 +64,8 @@ def simplified_rows(points: DataFrame, retained: DataFrame) -> DataFrame:
     """Kept points in the text form of simplified track files."""
     kept = points.join(retained.select("traj_id", "pos"), ["traj_id", "pos"], "left_semi")
     mmsi = F.coalesce(F.nullif(F.col("mmsi"), F.lit(0)), F.lit(UNKNOWN_MMSI_BASE) + F.col("traj_id"))
-    stamp = F.format_string("%.3f", F.col("t"))
-    numbers = [F.format_string(f, F.col(c)).alias(h) for h, (c, f) in SIMPLIFIED_FORMATS.items()]
+    stamp = fixed("t", 3)
+    numbers = [fixed(c, digits).alias(h) for h, (c, digits) in SIMPLIFIED_FORMATS.items()]
     return kept.select("traj_id", "pos", mmsi.alias("MMSI"), stamp.alias("# Timestamp"), *numbers)
 
 
