@@ -20,12 +20,15 @@ UNDEFINED = "Undefined"
 SEARCH_AND_RESCUE = "SAR"
 
 
-def keep_class_a(raw: DataFrame) -> DataFrame:
-    """Only the eight raw columns of Class A transponders."""
-    return raw.select(*RAW_COLUMNS).filter(F.col("mobile_raw") == CLASS_A)
+def keep_class_a(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Only the eight raw columns, and those in ``keep``, of Class A transponders."""
+    return raw.select(*RAW_COLUMNS, *keep).filter(F.col("mobile_raw") == CLASS_A)
 
 
 def dedupe_exact(raw: DataFrame) -> DataFrame:
+    """One of each group of equal reports; where reports have ids, with the smallest."""
+    if "report_id" in raw.columns:
+        return raw.groupBy(*RAW_COLUMNS).agg(F.min("report_id").alias("report_id"))
     return raw.dropDuplicates(list(RAW_COLUMNS))
 
 
@@ -182,6 +185,11 @@ def clean_typed(df: DataFrame, skip_trim: bool = False, bucket_s: int = 3600, **
 
 
 def clean_reports(raw: DataFrame, skip_trim: bool = False, **limits) -> DataFrame:
-    """The whole job: class filter, dedupe, typing, trimming, ship types, outliers."""
-    typed = type_and_require(dedupe_exact(keep_class_a(raw)))
+    """The whole job: class filter, dedupe, typing, trimming, ship types, outliers.
+
+    Reports of a vessel at equal times are in the order of their ``report_id`` where the
+    raw table has it, else of a hash of their content.
+    """
+    ids = tuple(c for c in raw.columns if c == "report_id")
+    typed = type_and_require(dedupe_exact(keep_class_a(raw, ids)))
     return clean_typed(materialize(typed), skip_trim, **limits)
