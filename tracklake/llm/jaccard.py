@@ -7,6 +7,11 @@
    only steers the work; any order gives the same links.
 3. Two sets with Jaccard similarity t or more share a shingle among the first
    ``n - ceil(t n) + 1`` of each in that order.  Classes meet at these shingles.
+   Where many meet at one shingle, the order was too coarse for their kind: all their
+   shingles are counted in a second table, what is frequent there goes to the end of the
+   order, and the classes that this touches get new prefixes.  Members of a large family
+   then meet at what few of them have, and at the frame of the family only if they have
+   little else.
 4. Only shingles at which two classes meet go on.  In each of a few rounds every class
    is offered random classes of its size that it meets in another component, keeps the
    most alike by the suffix filter and verifies them; linked classes become components.
@@ -43,6 +48,8 @@ PARTS = 256
 #: A shingle is frequent when its counter passes this many times the mean counter (and this many at least).
 FREQUENT = 4
 LEAST_FREQUENT = 16
+#: Postings of one shingle from which on the shingles of its classes are counted again.
+CROWD = 64
 #: Rounds of offers before the last round, and partners that a class keeps in each.
 OFFER_ROUNDS = 2
 PARTNERS = 2
@@ -87,12 +94,12 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     return map_batches(_texts(docs), work, "doc_id long, of long, size long, key long")
 
 
-def frequency_levels(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> np.ndarray:
-    """One byte per slot: 0 for rare shingles, else grows with the logarithm of the number of documents."""
+def frequency_levels(docs: DataFrame, n: int, percent: int, slots: int = SLOTS, every: bool = False) -> np.ndarray:
+    """One byte per slot: 0 for rare shingles, else grows with the logarithm of the number of documents; ``every`` counts all shingles."""
     window, mask = _window(percent), np.uint64(slots - 1)
 
     def work(batch: pa.RecordBatch, _) -> dict:
-        found = [(mixed(own[own < window]) & mask).astype(np.int32) for words in words_of(batch.column(1), lower=True) for _, own in distinct_shingles(words, n)]
+        found = [(mixed(own if every else own[own < window]) & mask).astype(np.int32) for words in words_of(batch.column(1), lower=True) for _, own in distinct_shingles(words, n)]
         slot, times = np.unique(np.concatenate(found), return_counts=True)
         return {"slot": slot, "n": times.astype(np.int32)}
 
@@ -106,14 +113,21 @@ def frequency_levels(docs: DataFrame, n: int, percent: int, slots: int = SLOTS)
     return levels
 
 
-def ordered(own: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """Shingles from rare to frequent: counted and rare, then little frequent, then not counted, then the rest."""
-    level = levels[(mixed(own) & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.int16)
+def _level(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[(mixed(own) & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.int16)
+
+
+def ordered(own: np.ndarray, levels: np.ndarray, percent: int, crowded: np.ndarray | None = None) -> np.ndarray:
+    """Shingles from rare to frequent: counted and rare, then little frequent, then not counted, then the rest, then those of crowds."""
+    level = _level(own, levels)
     key = np.where(own >= _window(percent), 33, level + (level > 32))
+    if crowded is not None:
+        level = _level(own, crowded)
+        key = np.where(level > 0, 512 + level, key)
     return own[np.lexsort((own, key))]
 
 
-def signatures(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
+def signatures(docs: DataFrame, n: int, percent: int, levels, crowded=None) -> DataFrame:
     """doc_id, key, size, prefix shingles in order and the sizes over the ranges of the suffix filter."""
 
     def work(batch: pa.RecordBatch, _) -> dict:
@@ -125,7 +139,7 @@ def signatures(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
                     ids.append(names[t])
                     key.append(_key(own))
                     size.append(len(own))
-                    prefix.append(ordered(own, levels.value, percent)[: prefix_length(len(own), percent)].view(np.int64))
+                    prefix.append(ordered(own, levels.value, percent, crowded and crowded.value)[: prefix_length(len(own), percent)].view(np.int64))
                     parts.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=PARTS), 32_767).astype(np.int16))
         return {"doc_id": ids, "key": key, "size": size, "prefix": prefix, "parts": parts}
 
@@ -289,11 +303,51 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int)
         return {"key": [_key(own) for own in found], "shingles": [own.tobytes() for own in found]}
 
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    return map_batches(_texts_of(docs, keys, classes), work, "key long, shingles binary")
+
+
+def _texts_of(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``_texts`` that stand for the classes in ``keys``."""
     # one number stands for a null doc_id; a text that comes along for that reason does no harm
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = materialize(classes.join(keys, "key").select(F.coalesce("rep", lowest).alias("_rep")).distinct())
     rows, texts = _small(rows), _texts(docs)
-    return map_batches(texts.join(rows, F.coalesce(texts["doc_id"], lowest) == rows["_rep"], "left_semi"), work, "key long, shingles binary")
+    return texts.join(rows, F.coalesce(texts["doc_id"], lowest) == rows["_rep"], "left_semi")
+
+
+def _postings(known: DataFrame) -> DataFrame:
+    return known.select(F.posexplode("prefix").alias("at", "shingle"), "key", "size").withColumn("component", F.lit(0).cast("long"))
+
+
+def _touched(known: DataFrame, crowded) -> DataFrame:
+    """Keys of the classes with a shingle of the crowds in their prefix."""
+
+    def work(batch: pa.RecordBatch, _) -> dict:
+        hit = [bool(_level(np.asarray(p, dtype=np.int64).view(np.uint64), crowded.value).any()) for p in batch.column(1).to_pylist()]
+        return {"key": batch.column(0).filter(pa.array(hit))}
+
+    return map_batches(known.select("key", "prefix"), work, "key long")
+
+
+def spread_crowds(docs: DataFrame, n: int, percent: int, slots: int, levels, classes: DataFrame, known: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``known`` and ``shared`` (written tables) in an order that knows what is frequent where many classes meet at one shingle.
+
+    Shingles of the crowds move behind all others, so a class without one in its prefix keeps its prefix.
+    """
+    crowds = materialize(shared.groupBy("shingle").count().filter(F.col("count") >= CROWD).select("shingle"))
+    if not crowds.limit(1).count():
+        return known, shared
+    inside = materialize(shared.join(_small(crowds), "shingle", "left_semi").select("key").distinct())
+    crowded = docs.sparkSession.sparkContext.broadcast(frequency_levels(_texts_of(docs, inside, classes), n, percent, slots, every=True))
+    touched = _small(materialize(_touched(known, crowded).distinct()))
+    again = signatures(_texts_of(docs, touched, classes), n, percent, levels, crowded)
+    again = materialize(again.join(touched, "key", "left_semi").dropDuplicates(["key"]).select("key", "size", "prefix", "parts"))
+    rest = known.join(touched, "key", "left_anti")
+    new = _small(materialize(_postings(again).select("shingle").distinct()))
+    met = shared_postings(_postings(again).unionByName(_postings(rest).join(new, "shingle", "left_semi")))
+    # postings at other shingles meet as before
+    kept = shared.join(touched, "key", "left_anti").join(new, "shingle", "left_anti")
+    return rest.unionByName(again), materialize(kept.unionByName(met))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -309,9 +363,13 @@ def grouped(docs: DataFrame, n: int, percent: int, slots: int = SLOTS) -> DataFr
     signed = signatures(docs, n, percent, levels)
     own = _small(classes.select(F.col("key").alias("_key"), "rep"))
     known = materialize(signed.join(own, (signed["key"] == own["_key"]) & signed["doc_id"].eqNullSafe(own["rep"]), "left_semi").drop("doc_id"))
-    postings = known.select(F.posexplode("prefix").alias("at", "shingle"), "key", "size").withColumn("component", F.lit(0).cast("long"))
-    shared = materialize(shared_postings(postings))
-    whole, known = known, materialize(known.select("key", "size", "parts").join(shared.select("key").distinct(), "key", "left_semi"))
+    shared = materialize(shared_postings(_postings(known)))
+    whole = known
+    coarse = shared
+    known, shared = spread_crowds(docs, n, percent, slots, levels, classes, known, shared)
+    if shared is not coarse:
+        discard(coarse)
+    known = materialize(known.select("key", "size", "parts").join(shared.select("key").distinct(), "key", "left_semi"))
     discard(whole)
 
     def verified(pairs: DataFrame) -> DataFrame:
