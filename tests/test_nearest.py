@@ -81,3 +81,14 @@ def test_rows_without_numbers_take_no_part(spark, block_rows):
 def test_median_of_an_even_number_is_the_lower_one(spark):
     s = spark.createDataFrame([(1, 0, v) for v in (0.1, 0.4, 0.2, 0.9)], "traj_id bigint, pos bigint, score double")
     assert features.combine_sources(s, "median").first()["score"] == 0.2
+
+
+@pytest.mark.parametrize("block_rows", [16, 4096])
+def test_queries_in_one_place_are_searched_once(spark, block_rows):
+    """Ten times the queries on the same places visit the same pairs, and each still skips its own row."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (1200, 2)).astype(float)
+    rows, pdf = _frame(spark, x, rng.integers(0, 40, 1200) / 8)
+    index = PivotIndex(rows, ["id"], ["c0", "c1"], 5, True, block_rows=block_rows)
+    _compare(index.nearest(rows.drop("value")), _plain(pdf, pdf, 5, True))
+    assert index.visited_pairs() <= 81 * index.total

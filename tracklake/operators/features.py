@@ -263,8 +263,11 @@ def prior_index(history: DataFrame, cols: list[str], k: int, weights: list[float
 
 
 def _weighted(index: PivotIndex, points: DataFrame, cols: list[str], weights: list[float] | None) -> DataFrame:
-    w = 1.0 / (F.col("d2") + 1e-4)
-    return index.nearest(points.select(*POINT, *_scaled(cols, weights))).groupBy(*POINT).agg((F.sum(w * F.col("value")) / F.sum(w)).alias("score"))
+    def summed(term) -> Column:
+        return F.aggregate("near", F.lit(0.0), lambda total, r: total + term(r) / (r["d2"] + 1e-4))
+
+    near = index.lists(points.select(*POINT, *_scaled(cols, weights)))
+    return near.select(*POINT, (summed(lambda r: r["value"]) / summed(lambda r: F.lit(1.0))).alias("score"))
 
 
 def combine_sources(scores: DataFrame, how: str = "mean") -> DataFrame:

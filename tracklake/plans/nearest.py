@@ -7,6 +7,10 @@ knows, from the table of blocks alone, how far its k-th nearest row can be at mo
 which blocks can hold a closer one.  It first visits the one block that should hold the
 nearest rows, then only those that can still improve its k-th distance.
 
+Queries in one place have the same nearest rows but for their own row, so every place is
+searched once, for one row more if a query skips its own, and each query takes its list
+from there: the work grows with the places, not with the queries that stand on them.
+
 Of rows in the same place only the ``k`` with the smallest values can be among the nearest
 (one more if a query skips its own row), so no place is ever larger than that, whatever
 share of the table stands on it.  Blocks that many queries visit are copied to as many
@@ -36,7 +40,7 @@ BLOCK_ROWS = 4096
 #: Full blocks of a table at most; beyond that blocks have more rows.
 MOST_BLOCKS = 65_536
 MOST_PIVOTS = 1024
-#: Queries of one group that meet a block in a task.
+#: Places of one group that meet a block in a task.
 VISIT_ROWS = 16_384
 #: Numbers of a distance table that is held at a time.
 TABLE = 2_000_000
@@ -62,45 +66,42 @@ def _chunks(rows: int, width: int):
 
 
 class _Best:
-    """The nearest rows of one block for a batch of queries."""
-
-    def __init__(self, ids: list[str], names: list[str], k: int, skip_own: bool):
-        self.ids, self.names, self.k, self.skip_own = ids, names, k, skip_own
-
-    def found(self, queries: pd.DataFrame, block: pd.DataFrame):
-        """Positions of queries, squared distances and values: the k nearest and their ties, within the limit of the query."""
-        base, value = block[self.names].to_numpy(float), block["value"].to_numpy(float)
-        limit = queries["_limit"].to_numpy(float) if "_limit" in queries else np.full(len(queries), np.inf)
-        parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
-        for low, high in _chunks(len(queries), len(base)) if len(base) else ():
-            part = queries.iloc[low:high]
-            d2 = squared(part[self.names].to_numpy(float), base)
-            if self.skip_own:
-                d2[np.logical_and.reduce([part[c].to_numpy()[:, None] == block[c].to_numpy()[None, :] for c in self.ids])] = np.inf
+    """The nearest rows of one block for a batch of places."""
+
+    def __init__(self, names: list[str], k: int):
+        self.names, self.k = names, k
+
+    def found(self, places: pd.DataFrame, block: pd.DataFrame):
+        """Positions of places, squared distances, values and rows: the k nearest and their ties, within the limit of the place."""
+        base, value, number = block[self.names].to_numpy(float), block["value"].to_numpy(float), block["_row"].to_numpy(np.int64)
+        limit = places["_limit"].to_numpy(float) if "_limit" in places else np.full(len(places), np.inf)
+        parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))]
+        for low, high in _chunks(len(places), len(base)) if len(base) else ():
+            d2 = squared(places.iloc[low:high][self.names].to_numpy(float), base)
             take = min(self.k, len(base))
             last = np.minimum(np.partition(d2, take - 1, axis=1)[:, take - 1], limit[low:high])
             at, row = np.nonzero((d2 <= last[:, None]) & np.isfinite(d2))
-            parts.append((at + low, d2[at, row], value[row]))
+            parts.append((at + low, d2[at, row], value[row], number[row]))
         return tuple(np.concatenate(p) for p in zip(*parts))
 
-    def rows(self, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        at, d2, value = self.found(queries, block)
-        return pd.DataFrame({**{c: queries[c].to_numpy()[at] for c in self.ids}, "d2": d2, "value": value})
+    def rows(self, places: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        at, d2, value, number = self.found(places, block)
+        return pd.DataFrame({"_place": places["_place"].to_numpy()[at], "d2": d2, "value": value, "_row": number})
 
-    def lists(self, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        """One row per query: its coordinates, what was found, and the k-th squared distance as its limit."""
-        at, d2, value = self.found(queries, block)
+    def lists(self, places: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        """One row per place: its coordinates, what was found, and the k-th squared distance as its limit."""
+        at, d2, value, number = self.found(places, block)
         order = np.lexsort((value, d2, at))
-        at, d2, value = at[order], d2[order], value[order]
-        ends = np.searchsorted(at, np.arange(len(queries)), side="right")
+        at, d2, value, number = at[order], d2[order], value[order], number[order]
+        ends = np.searchsorted(at, np.arange(len(places)), side="right")
         starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
         reached = ends - starts >= self.k
-        kth = np.full(len(queries), np.inf)
+        kth = np.full(len(places), np.inf)
         kth[reached] = d2[starts[reached] + self.k - 1]
-        out = queries[[*self.ids, *self.names, "_block"]].copy()
-        out["_limit"] = np.minimum(queries["_limit"].to_numpy(float), kth)
-        out["d2"] = [d2[a:b] for a, b in zip(starts, ends)]
-        out["value"] = [value[a:b] for a, b in zip(starts, ends)]
+        out = places[["_place", *self.names, "_block"]].copy()
+        out["_limit"] = np.minimum(places["_limit"].to_numpy(float), kth)
+        for name, found in (("d2", d2), ("value", value), ("_row", number)):
+            out[name] = [found[a:b] for a, b in zip(starts, ends)]
         return out
 
 
@@ -116,23 +117,21 @@ class PivotIndex:
         same_place = Window.partitionBy(*names).orderBy("value", *ids)
         rows = rows.select(*ids, F.col("value").cast("double").alias("value"), *[F.col(c).cast("double").alias(c) for c in names])
         rows = rows.filter(finite([*names, "value"])).withColumn("_n", F.row_number().over(same_place)).filter(F.col("_n") <= self.need)
-        self.kept = materialize(rows)
+        self.kept = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
         self.total = self.kept.count()
-        self.id_types = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ids]
         self.visits: list[DataFrame] = []
         self.small = self.total <= block_rows
         if not self.small:
             self._deal(max(block_rows, -(-self.total // MOST_BLOCKS)))
 
     def _deal(self, block_rows: int) -> None:
-        ids, names = self.ids, self.names
+        names = self.names
         wanted = min(MOST_PIVOTS, max(1, math.isqrt(self.total)))
         first = self.kept.filter("_n = 1").select(*names).orderBy(F.xxhash64(*names), *names).limit(wanted)
         pivots = self.pivots = np.array([tuple(r) for r in first.collect()], float).reshape(-1, len(names))
 
         def place(batches):
             for pdf in batches:
-                pdf = pdf.drop(columns="_n")
                 x, cell, far = pdf[names].to_numpy(float), np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
                 for low, high in _chunks(len(x), len(pivots)):
                     d2 = squared(x[low:high], pivots)
@@ -140,9 +139,9 @@ class PivotIndex:
                     far[low:high] = np.sqrt(d2.min(axis=1))
                 yield pdf.assign(_cell=cell, _far=far)
 
-        coordinates = ", ".join([*self.id_types, "value double", *[f"{c} double" for c in names]])
-        dealt = self.kept.mapInPandas(place, f"{coordinates}, _cell bigint, _far double")
-        dealt = order_index(dealt, ["_cell", "_far", *ids], "_i")
+        coordinates = ", ".join(["_row bigint, value double", *[f"{c} double" for c in names]])
+        dealt = self.kept.select("_row", "value", *names).mapInPandas(place, f"{coordinates}, _cell bigint, _far double")
+        dealt = order_index(dealt, ["_cell", "_far", "_row"], "_i")
         sizes = {r["_cell"]: r["count"] for r in dealt.groupBy("_cell").count().collect()}  # one row per pivot
         row, block, starts = 0, 0, []
         for c in range(len(pivots)):
@@ -179,25 +178,40 @@ class PivotIndex:
         return bounds
 
     def _meet(self, visits: DataFrame, best, schema: str) -> DataFrame:
-        """Runs ``best`` on every block with the queries that visit it, in groups of bounded size."""
+        """Runs ``best`` on every block with the places that visit it, in groups of bounded size."""
         self.visits.append(visits)
         groups = visits.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).alias("_groups"))  # one row per block
         groups = F.broadcast(materialize(groups))
-        left = visits.join(groups, "_block").withColumn("_g", F.pmod(F.xxhash64(*self.ids), "_groups")).drop("_groups")
+        left = visits.join(groups, "_block").withColumn("_g", F.pmod(F.xxhash64("_place"), "_groups")).drop("_groups")
         right = self.blocked.join(groups, "_block").withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1))).drop("_groups")
         keys = ["_block", "_g"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, b: best(q, b), schema)
 
     def nearest(self, queries: DataFrame) -> DataFrame:
         """The k nearest rows of each query: ids, ``d2`` (squared distance) and ``value``."""
-        ids, names = self.ids, self.names
+        return self.lists(queries).select(*self.ids, F.inline("near")).drop("_row")
+
+    def lists(self, queries: DataFrame) -> DataFrame:
+        """One row per query that has any: ids and ``near``, the k nearest rows as an array of (``d2``, ``value``, ``_row``), nearest first."""
+        ids, names, near = self.ids, self.names, F.col("near")
         asked = queries.select(*ids, *[F.col(c).cast("double").alias(c) for c in names]).filter(finite(names))
-        best, flat = _Best(ids, names, self.k, self.skip_own), ", ".join([*self.id_types, "d2 double", "value double"])
+        places = materialize(asked.select(*names).distinct().withColumn("_place", F.monotonically_increasing_id()))
+        found = self._places(places).groupBy("_place").agg(F.array_sort(F.collect_list(F.struct("d2", "value", "_row"))).alias("near"))
+        out = asked.join(places.join(found, "_place").drop("_place"), names)
+        if self.skip_own:
+            own = self.kept.select(*ids, F.col("_row").alias("_own"))
+            out = out.join(own, ids, "left").withColumn("near", F.filter("near", lambda r: ~r["_row"].eqNullSafe(F.col("_own"))))
+        return out.select(*ids, F.slice(near, 1, self.k).alias("near")).filter(F.size("near") > 0)
+
+    def _places(self, places: DataFrame) -> DataFrame:
+        """The nearest rows of each place: ``_place``, ``d2``, ``value`` and ``_row``."""
+        names, flat = self.names, "_place bigint, d2 double, value double, _row bigint"
+        asked, best = places.select("_place", *names), _Best(names, self.need)
         if self.small:
-            base = queries.sparkSession.sparkContext.broadcast(self.kept.toPandas())  # at most block_rows rows
+            base = places.sparkSession.sparkContext.broadcast(self.kept.toPandas())  # at most block_rows rows
             return self._first(asked.mapInPandas(lambda batches: (best.rows(pdf, base.value) for pdf in batches), flat))
         bounds, blocks = self._bounds(), self.table["_block"].to_numpy(np.int64)
-        own = ", ".join([*self.id_types, *[f"{c} double" for c in names], "_block bigint, _limit double"])
+        own = ", ".join(["_place bigint", *[f"{c} double" for c in names], "_block bigint, _limit double"])
 
         def home(batches):
             for pdf in batches:
@@ -217,17 +231,18 @@ class PivotIndex:
                     at, number = np.nonzero(open_)
                     yield part.iloc[at].assign(_block=blocks[number])
 
-        met = materialize(self._meet(materialize(asked.mapInPandas(home, own)), best.lists, f"{own}, d2 array<double>, value array<double>"))
-        rest = self._meet(materialize(met.drop("d2", "value").mapInPandas(others, own)), best.rows, flat)
-        seen = met.select(*ids, F.inline(F.arrays_zip("d2", "value")))
+        listed = f"{own}, d2 array<double>, value array<double>, _row array<bigint>"
+        met = materialize(self._meet(materialize(asked.mapInPandas(home, own)), best.lists, listed))
+        rest = self._meet(materialize(met.drop("d2", "value", "_row").mapInPandas(others, own)), best.rows, flat)
+        seen = met.select("_place", F.inline(F.arrays_zip("d2", "value", "_row")))
         return self._first(seen.unionByName(rest))
 
     def _first(self, found: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*self.ids).orderBy("d2", "value")
-        return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= self.k).drop("_n")
+        w = Window.partitionBy("_place").orderBy("d2", "value")
+        return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= self.need).drop("_n")
 
     def visited_pairs(self) -> int:
-        """Pairs of a query and a row whose distance the searches so far have computed (0 where all rows fit one block)."""
+        """Pairs of a place and a row whose distance the searches so far have computed (0 where all rows fit one block)."""
         if not self.visits:
             return 0
         visits = reduce(DataFrame.unionByName, [v.select("_block") for v in self.visits])
