@@ -37,3 +37,17 @@ def test_hits_crossings_and_overlaps(spark, monkeypatch, limit):
     pairs = {(a["query_id"], b["query_id"]) for a in bxs for b in bxs if b["query_id"] < a["query_id"] and overlap(a, b) > 0}
     got = diagnostics.box_iou(boxes).select("query_id", "earlier_id").collect()
     assert len(got) == len(pairs) and {tuple(r) for r in got} == pairs
+
+
+def test_few_boxes_need_no_keys(spark):
+    """Up to ``FEW_BOXES`` boxes are compared directly; one more goes by cell, with the same rows."""
+    p = fixtures.points(spark, SF)
+    boxes = starts(spark, SF).orderBy("query_id").limit(boxjoin.FEW_BOXES + 1)
+    few = boxes.orderBy("query_id").limit(boxjoin.FEW_BOXES)
+    last = boxes.agg({"query_id": "max"}).first()[0]
+    for make in (ranges.hits_with_boundary, ranges.segment_crossings):
+        by_cell, direct = make(p, boxes), make(p, few)
+        plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (by_cell, direct)]
+        assert "Generate" in plans[0] and "Generate" not in plans[1]
+        names = [c for c in ("query_id", "traj_id", "pos", "is_boundary") if c in direct.columns]
+        assert sorted(map(tuple, direct.select(*names).collect())) == sorted(map(tuple, by_cell.filter(f"query_id <> {last}").select(*names).collect()))
