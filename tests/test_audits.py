@@ -51,3 +51,14 @@ def test_worst_component_without_a_loss(spark):
 def test_diffusion_gate_needs_heads(spark):
     df = spark.createDataFrame([(0, i, float(i == 0)) for i in range(50)], "traj_id long, pos long, label double")
     assert audits.diffusion_gate(audits.diffusion_rows(df, "label", [])).first() == (["heads_missing"], False)
+
+
+def test_average_precision_uses_no_window_over_the_whole_table(spark):
+    rows = [(1, i, float((i * 7) % 10), i % 3 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "traj_id bigint, pos bigint, score double, positive boolean")
+    best = sorted(rows, key=lambda x: (-x[2], x[0], x[1]))
+    at = [i for i, x in enumerate(best) if x[3]]
+    got = audits.average_precision(df, "score", "positive")
+    assert got.first()[0] == pytest.approx(sum((h + 1) / (i + 1) for h, i in enumerate(at)) / len(at))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert audits.average_precision(df.withColumn("positive", df.score < 0), "score", "positive").first()[0] is None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
 from ..plans.materialize import materialize
-from ..plans.ordered import order_index, scan, with_bound
+from ..plans.ordered import order_index
 from .diagnostics import failed_checks
 from .tracks import one_row
 
@@ -147,11 +147,10 @@ def roc_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
 
 def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Mean precision at the positives, best scores first; NULL without positives."""
-    ranked = ordinal_rank(df.select(*POINT, score, positive), score, "_r", True).withColumn("_all", F.lit(0))
-    ranked = with_bound(ranked, "_all", ranked.count())
-    run = scan(ranked, ["_all"], "_r", {"_hits": ("sum", F.col(positive).cast("bigint"))}, "_all")
-    precision = F.when(F.col(positive), F.col("_hits") / (F.col("_r") + 1))
-    return run.agg(F.avg(precision).alias("pr_auc"))
+    ranked = ordinal_rank(df.select(*POINT, score, positive), score, "_r", True)
+    # positives up to and including a positive: its own place among them, so no window runs over the whole table
+    hits = order_index(ranked.filter(F.col(positive)).select("_r"), ["_r"], "_hits")
+    return hits.agg(F.avg((F.col("_hits") + 1) / (F.col("_r") + 1)).alias("pr_auc"))
 
 
 def _keep(n: int, ratio: float) -> int:
