@@ -92,3 +92,17 @@ def test_long_tracks_give_the_same(hot):
     want = {tuple(r) for r in utility.set_gains(p, q, [0.3], limit=0).select("query_id", "traj_id", "pos", F.round("gain", 9)).collect()}
     hot.conf.set("spark.tracklake.hotRows", "6")
     assert got == want and got
+
+
+def test_best_reads_its_input_once(spark):
+    """The rows behind a global order are written once, not computed for its cuts and again for the sort."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(60).selectExpr("0.5D AS ratio", "id % 2 AS query_id", "id AS traj_id", "0L AS pos", "double(id) AS gain")
+    best = utility._best(rows.mapInPandas(counted, rows.schema), "gain", F.lit(3)).select("traj_id").collect()
+    assert sorted(r[0] for r in best) == [54, 55, 56, 57, 58, 59] and seen.value == 60
