@@ -70,25 +70,28 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(7))
 
 
-def _place(digest: Column, table: int, size: Column) -> Column:
-    """Cell of a digest in one table; each table uses its own 20 bits."""
-    return F.shiftrightunsigned(digest, 20 * table).bitwiseAND(size - 1)
+def _dealt(items: Column, table: int, size: int, key) -> Column:
+    """``items`` by the cell of ``key(item)`` in one table: array of ``size`` arrays; each table uses its own 20 bits.
 
+    They are dealt by at most three bits at a time, so an item is looked at a few times at every size.
+    """
+    groups, left = F.array(items), size.bit_length() - 1
+    while left:
+        bits = min(3, left)
+        left -= bits
+        at = lambda x: F.shiftrightunsigned(key(x), 20 * table + left).bitwiseAND((1 << bits) - 1)  # noqa: B023, E731 - used at once
+        groups = F.flatten(F.transform(groups, lambda g: F.transform(F.sequence(_zero(), F.lit((1 << bits) - 1).cast("long")), lambda v: F.filter(g, lambda x: at(x) == v))))  # noqa: B023
+    return groups
 
-def cells(keys: Column, size: Column) -> Column:
-    """The three tables of a set, one after the other: array of (n, key, check)."""
 
-    def table(number: int) -> Column:
-        def cell(at: Column) -> Column:
-            own = F.filter(keys, lambda x: _place(x, number, size) == at)
-            return F.aggregate(
-                own, F.struct(_zero().alias("n"), _zero().alias("key"), _zero().alias("check")),
-                lambda c, x: F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(x).alias("key"), c["check"].bitwiseXOR(_check(x)).alias("check")),
-            )
+def cells(keys: Column, size: int) -> Column:
+    """The three tables of a set, one after the other: array of (n, key, check)."""
+    empty = F.struct(_zero().alias("n"), _zero().alias("key"), _zero().alias("check"))
 
-        return F.transform(F.sequence(_zero(), size - 1), cell)
+    def cell(own: Column) -> Column:
+        return F.aggregate(own, empty, lambda c, x: F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(x).alias("key"), c["check"].bitwiseXOR(_check(x)).alias("check")))
 
-    return F.concat(*map(table, range(3)))
+    return F.concat(*[F.transform(_dealt(keys, table, size, lambda x: x), cell) for table in range(3)])
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -96,36 +99,34 @@ def subtract(a: Column, b: Column) -> Column:
         (x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
 
 
-def peel(difference: Column, size: Column) -> Column:
+def peel(difference: Column, size: int) -> Column:
     """(left, found): cells that are not empty after peeling, and how many digests were recovered; complete if left is 0."""
 
     def pure(state: Column) -> Column:
-        single = F.filter(state, lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["check"]))
-        return F.array_distinct(F.transform(single, lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
+        def single(n: int) -> Column:
+            own = F.filter(state, lambda c: (c["n"] == n) & (_check(c["key"]) == c["check"]))
+            # numbers are told apart by their hash, structs one by one
+            return F.transform(F.array_distinct(F.transform(own, lambda c: c["key"])), lambda k: F.struct(F.lit(n).cast("long").alias("n"), k.alias("key")))
 
-    def without(state: Column, gone: Column) -> Column:
-        def cell(c: Column, i: Column) -> Column:
-            def hits(g: Column) -> Column:
-                table = F.when(i < size, _place(g["key"], 0, size)).when(i < 2 * size, _place(g["key"], 1, size)).otherwise(_place(g["key"], 2, size))
-                return table == F.pmod(i, size)
+        return F.concat(single(1), single(-1))
 
-            # an empty cell holds no digest that is still to be found
-            return F.when((c["n"] == 0) & (c["key"] == 0), c).otherwise(F.aggregate(F.filter(gone, hits), c, lambda s, g: F.struct(
+    def without(state: Column, gone: Column) -> Column:
+        def cell(c: Column, own: Column) -> Column:
+            return F.when(F.size(own) == 0, c).otherwise(F.aggregate(own, c, lambda s, g: F.struct(
                 (s["n"] - g["n"]).alias("n"), s["key"].bitwiseXOR(g["key"]).alias("key"), s["check"].bitwiseXOR(_check(g["key"])).alias("check"))))
 
-        return F.transform(state, cell)
-
-    start = F.struct(difference.alias("cells"), pure(difference).alias("next"), F.array().cast("array<struct<n:bigint,key:bigint>>").alias("found"))
+        return F.zip_with(state, F.concat(*[_dealt(gone, table, size, lambda g: g["key"]) for table in range(3)]), cell)
 
     def step(s: Column, _: Column) -> Column:
         # the state of the round is bound once, as it is used twice
-        rest = F.transform(F.array(without(s["cells"], s["next"])), lambda left: F.struct(left.alias("cells"), pure(left).alias("next"), F.concat(s["found"], s["next"]).alias("found")))
+        rest = F.transform(F.array(without(s["cells"], s["next"])), lambda left: F.struct(left.alias("cells"), pure(left).alias("next"), (s["found"] + F.size(s["next"])).alias("found")))
         return F.when(F.size(s["next"]) == 0, s).otherwise(rest[0])
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), start, step,
-        lambda s: F.struct(F.size(F.filter(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0))).alias("left"), F.size(s["found"]).alias("found")),
-    )
+    # the difference is bound once as well
+    return F.transform(F.array(difference), lambda d: F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(d.alias("cells"), pure(d).alias("next"), F.lit(0).alias("found")), step,
+        lambda s: F.struct(F.size(F.filter(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0))).alias("left"), s["found"].alias("found")),
+    ))[0]
 
 
 def with_likeness(df: DataFrame, out: str, a: str, b: str) -> DataFrame:
@@ -139,8 +140,7 @@ def with_likeness(df: DataFrame, out: str, a: str, b: str) -> DataFrame:
         return F.filter(keys, lambda x: F.shiftrightunsigned(x, 44).bitwiseAND(F.col("_blocks") - 1) == number)
 
     def tried(p: Column, size: int) -> Column:
-        wide = F.lit(size).cast("long")
-        return peel(subtract(cells(p["x"], wide), cells(p["y"], wide)), wide)
+        return peel(subtract(cells(p["x"], size), cells(p["y"], size)), size)
 
     def first(p: Column) -> Column:
         return F.when(p["x"] == p["y"], F.struct(F.lit(0).alias("left"), F.lit(0).alias("found"))).otherwise(tried(p, TRIES[0]))
@@ -169,7 +169,7 @@ def fingerprint(keys: Column) -> Column:
     def hexed(c: Column) -> Column:
         return F.concat(F.hex(c["n"]), F.lit("."), F.hex(c["key"]), F.lit("."), F.hex(c["check"]))
 
-    return F.concat_ws(",", F.size(keys).cast("string"), F.transform(cells(keys, F.lit(BASE).cast("long")), hexed))
+    return F.concat_ws(",", F.size(keys).cast("string"), F.transform(cells(keys, BASE), hexed))
 
 
 def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
