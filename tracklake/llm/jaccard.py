@@ -45,6 +45,8 @@ from .hashing import distinct_shingles, mixed, words_of
 SLOTS = 1 << 22
 #: Ranges of the suffix filter.
 PARTS = 256
+#: Largest size of a part that is told apart, a byte; cutting both sides there only makes the filter weaker.
+MOST_IN_PART = 127
 #: A shingle is frequent when its counter passes this many times the mean counter (and this many at least).
 FREQUENT = 4
 LEAST_FREQUENT = 16
@@ -140,10 +142,10 @@ def signatures(docs: DataFrame, n: int, percent: int, levels, crowded=None) -> D
                     key.append(_key(own))
                     size.append(len(own))
                     prefix.append(ordered(own, levels.value, percent, crowded and crowded.value)[: prefix_length(len(own), percent)].view(np.int64))
-                    parts.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=PARTS), 32_767).astype(np.int16))
+                    parts.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=PARTS), MOST_IN_PART).astype(np.int8))
         return {"doc_id": ids, "key": key, "size": size, "prefix": prefix, "parts": parts}
 
-    return map_batches(_texts(docs), work, "doc_id long, key long, size long, prefix array<bigint>, parts array<smallint>")
+    return map_batches(_texts(docs), work, "doc_id long, key long, size long, prefix array<bigint>, parts array<tinyint>")
 
 
 def _by_shingle(postings: DataFrame, work, ddl: str) -> DataFrame:
