@@ -3,10 +3,11 @@
 Rows are dealt into shards of bounded size and queries into blocks; each pair of a
 shard and a block is one group.  A shard turns inner products into distances by one
 extra coordinate (vectors get the largest norm of the shard), builds a vantage-point
-tree over its distinct vectors and walks it once with all queries of the block.  A
-child is skipped when ``factor`` times the distance from the query to the shell of
-the child exceeds the distance of the k-th best found so far: factor 1 gives exact
-results, larger factors skip more.
+tree over its distinct vectors and walks it with the queries of the block, some thousands
+at a time.  A child is skipped when ``factor`` times the distance from the query to the
+shell of the child exceeds the distance of the k-th best found so far: factor 1 gives
+exact results, larger factors skip more.  A walk holds a bounded number of found pairs:
+beyond it, only the best of each query are kept.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite
 components are neither queries nor candidates; only vectors of equal length are
@@ -30,9 +31,21 @@ K = 20
 QUERY_STEP = 20
 #: On clustered vectors the ten best were found with recall 1.0 at this factor, 0.98 at 2 and 0.93 at 3.
 FACTOR = 1.2
-SHARD_ROWS = 16_384
-BLOCK_QUERIES = 16_384
+#: Rows of a shard and queries of a block, at most; of vectors longer than 64 fewer, so that either has ``GROUP_NUMBERS`` components.
+SHARD_ROWS = 32_768
+BLOCK_QUERIES = 32_768
+GROUP_NUMBERS = 64 * 32_768
+#: Small tables are dealt into so many shards, if these have ``FEW_ROWS`` rows.
+SHARDS = 16
+FEW_ROWS = 4_096
 LEAF_ROWS = 128
+#: A walk takes so many queries at most; fewer if they look for many rows.
+WALK_QUERIES = 2_048
+WALK_PLACES = 65_536
+#: Found pairs that a walk holds before it keeps the best only.
+HELD_PAIRS = 1 << 20
+#: Numbers that are copied at once for exact products.
+COPIED_NUMBERS = 1 << 18
 
 
 @dataclass(slots=True)
@@ -59,53 +72,119 @@ def build(x: np.ndarray, rows: np.ndarray) -> Node:
     return Node(int(point), None, build(x, rest[a]), build(x, rest[b]), shells)
 
 
-def search(x: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query position, row of ``x``) of all hits that may be among the k best, and the number of compared pairs.
+@dataclass(slots=True)
+class Index:
+    x: np.ndarray  # distinct vectors
+    x_up: np.ndarray  # the same with the extra coordinate
+    top: float
+    tree: Node
+
 
-    ``x`` holds distinct vectors.
-    """
+def prepare(x: np.ndarray) -> Index:
+    """``x`` holds distinct vectors."""
     norm = np.sqrt(np.square(x).sum(axis=1))
     top = norm.max()
     x_up = np.concatenate([x, np.sqrt(np.maximum(top * top - norm * norm, 0))[:, None]], axis=1)
+    return Index(x, x_up, top, build(x_up, np.arange(len(x))))
+
+
+def search(x: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query position, row of ``x``) of the k best, equal scores to the smaller row, and the number of compared pairs."""
+    who, row, _, compared = walk(prepare(x), queries, k, factor)
+    return who, row, compared
+
+
+def walk(index: Index, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query position, row and exact score of the k best found, by query, score and row; the number of compared pairs."""
+    x_up, top = index.x_up, index.top
     scale = top / np.sqrt(np.square(queries).sum(axis=1))
     q_up = np.concatenate([queries * scale[:, None], np.zeros((len(queries), 1))], axis=1)
-    tree = build(x_up, np.arange(len(x)))
     slack = 1e-9 * top
     best = np.full((len(queries), k), -np.inf)  # scaled products, the least of a row is its k-th best
     limit = np.full(len(queries), np.inf)  # distance of the k-th best
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-    compared = 0
+    home = np.full(len(queries), -1)  # the first row of the leaf that a query met first
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = compared = 0
+
+    def keep_best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The held pairs that may be among the k best, cut to these by exact scores, which are returned."""
+        nonlocal held
+        who, row, s = (np.concatenate(c) for c in zip(*hits))
+        near = s >= best[who, 0] - slack * top
+        who, row, s = who[near], row[near], s[near]
+        score = exact_scores(queries, index.x, who, row)
+        order = np.lexsort((row, -score, who))
+        who = who[order]
+        first = np.arange(len(who)) - np.searchsorted(who, who) < k
+        order, who = order[first], who[first]
+        hits[:] = [(who, row[order], s[order])]
+        held = len(who)
+        return who, row[order], score[order]
 
     def offer(who: np.ndarray, rows: np.ndarray) -> None:
-        nonlocal compared
+        nonlocal compared, held
         compared += len(who) * len(rows)
         s = q_up[who] @ x_up[rows].T
-        kth = best[who, 0]
-        a, b = np.nonzero(s >= (kth - slack * top)[:, None])
-        hits.append((who[a], rows[b]))
-        both = np.concatenate([best[who], s], axis=1)
+        at = np.flatnonzero(s >= (best[who, 0] - slack * top)[:, None])
+        if not len(at):
+            return
+        a, b = np.divmod(at, len(rows))
+        found = s.reshape(-1)[at]
+        hits.append((who[a], rows[b], found))
+        held += len(at)
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = a[1:] != a[:-1]
+        line = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        place = np.arange(len(a)) - starts[line]
+        both = np.full((len(starts), k + place.max() + 1), -np.inf)
+        changed = who[a[starts]]
+        both[:, :k] = best[changed]
+        both[line, k + place] = found
         both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-        best[who] = both
-        limit[who] = np.sqrt(np.maximum(2 * top * top - 2 * both[:, 0], 0)) + slack
+        best[changed] = both
+        limit[changed] = np.sqrt(np.maximum(2 * top * top - 2 * both[:, 0], 0)) + slack
+        if held > HELD_PAIRS:
+            keep_best()
 
-    def visit(node: Node, who: np.ndarray) -> None:
+    def bounds(node: Node, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least distance that a row of the near and the far child can have."""
+        d = np.sqrt(np.square(q_up[who] - x_up[node.point]).sum(axis=1))
+        near_lo, near_hi, far_lo, far_hi = node.shells
+        return np.maximum(np.maximum(near_lo - d, d - near_hi), 0), np.maximum(np.maximum(far_lo - d, d - far_hi), 0)
+
+    def settle(node: Node, who: np.ndarray) -> None:
+        """Each query first meets the leaf that lies nearest, which bounds its k-th best."""
+        if not len(who):
+            return
         if node.point < 0:
+            home[who] = node.rows[0]
             offer(who, node.rows)
             return
-        point = np.array([node.point])
-        d = np.sqrt(np.square(q_up[who] - x_up[node.point]).sum(axis=1))
-        offer(who, point)
-        near_lo, near_hi, far_lo, far_hi = node.shells
-        near = np.maximum(np.maximum(near_lo - d, d - near_hi), 0)
-        far = np.maximum(np.maximum(far_lo - d, d - far_hi), 0)
-        first = near <= far
-        for child, bound, mine in ((node.near, near, first), (node.far, far, ~first), (node.far, far, first), (node.near, near, ~first)):
-            going = mine & (factor * bound <= limit[who])
+        near, far = bounds(node, who)
+        settle(node.near, who[near <= far])
+        settle(node.far, who[near > far])
+
+    def visit(node: Node, who: np.ndarray) -> None:
+        """A node is entered once, by all queries it may improve: split by their own order, they would come one by one."""
+        if node.point < 0:
+            who = who[home[who] != node.rows[0]]
+            if len(who):
+                offer(who, node.rows)
+            return
+        near, far = bounds(node, who)
+        offer(who, np.array([node.point]))
+        children = [(node.near, near), (node.far, far)]
+        if (near <= far).sum() * 2 < len(who):
+            children.reverse()
+        for child, bound in children:
+            going = factor * bound <= limit[who]
             if going.any():
                 visit(child, who[going])
 
-    visit(tree, np.arange(len(queries)))
-    return np.concatenate([a for a, _ in hits]), np.concatenate([b for _, b in hits]), compared
+    settle(index.tree, np.arange(len(queries)))
+    visit(index.tree, np.arange(len(queries)))
+    return *keep_best(), compared
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,50 +195,64 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def exact_scores(queries: np.ndarray, x: np.ndarray, who: np.ndarray, row: np.ndarray) -> np.ndarray:
+    step = max(1, COPIED_NUMBERS // x.shape[1])
+    parts = [exact_products(queries[who[i : i + step]], x[row[i : i + step]]) for i in range(0, len(who), step)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = column.combine_chunks()
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(values), -1)
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
 def _copies(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct vectors, and for each distinct (vector, id) in that order the vector's number and the id."""
-    distinct, copy_of = np.unique(x, axis=0, return_inverse=True)
+    """Distinct vectors by their least id, and for each distinct (vector, id) in that order the vector's number and the id."""
+    x = np.ascontiguousarray(x + x.dtype.type(0))  # 0.0 for -0.0, as rows are told apart by their bytes
+    rows = x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).reshape(-1)
+    _, first, copy_of = np.unique(rows, return_index=True, return_inverse=True)
     copy_of = copy_of.reshape(-1)
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, copy_of, ids)
+    by_id = np.argsort(least, kind="stable")
+    number = np.empty(len(by_id), dtype=np.int64)
+    number[by_id] = np.arange(len(by_id))
+    copy_of = number[copy_of]
     order = np.lexsort((ids, copy_of))
     copy_of, ids = copy_of[order], ids[order]
     new = np.ones(len(ids), dtype=bool)
     new[1:] = (copy_of[1:] != copy_of[:-1]) | (ids[1:] != ids[:-1])
-    return distinct, copy_of[new], ids[new]
+    return x[first[by_id]], copy_of[new], ids[new]
 
 
 def best_in_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
     """(query id, id, score) of the k best rows of a shard for each query, the query's own rows left out."""
     distinct, copy_of, ids = _copies(ids, x)
+    index = prepare(distinct.astype(np.float64))
     asked, asked_of, query_ids = _copies(query_ids, queries)
-    queries = asked[asked_of]
     starts = np.searchsorted(copy_of, np.arange(len(distinct) + 1))
-    # the query's own vector may be among the best
-    who, row, _ = search(distinct, queries, k + 1, factor)
-    score = exact_products(queries[who], distinct[row])
-    # keep hits at or above the (k+1)-th distinct score before copies are expanded, of which the k+1 smallest ids suffice
-    order = np.lexsort((-score, who))
-    who, row, score = who[order], row[order], score[order]
-    first = np.searchsorted(who, np.arange(len(queries) + 1))
-    at = np.minimum(first[who] + k, first[who + 1] - 1)
-    kept = score >= score[at]
-    who, row, score = who[kept], row[kept], score[kept]
-    copies = np.minimum(starts[row + 1] - starts[row], k + 1)
-    expand = np.repeat(np.arange(len(row)), copies)
-    within = np.arange(len(expand)) - np.repeat(np.cumsum(copies) - copies, copies)
-    found = ids[starts[row[expand]] + within]
-    who, score = who[expand], score[expand]
-    other = found != query_ids[who]
-    who, found, score = who[other], found[other], score[other]
-    order = np.lexsort((found, -score, who))
-    who, found, score = who[order], found[order], score[order]
-    place = np.arange(len(who)) - np.searchsorted(who, who)
-    return query_ids[who[place < k]], found[place < k], score[place < k]
+    in_order = np.sort(ids)
+    # the query's own vectors may be among the best
+    own = np.searchsorted(in_order, query_ids, "right") - np.searchsorted(in_order, query_ids)
+    places = k + int(own.max())
+    step = max(1, min(WALK_QUERIES, WALK_PLACES // places))
+    out = []
+    for i in range(0, len(query_ids), step):
+        asking = query_ids[i : i + step]
+        who, row, score, _ = walk(index, asked[asked_of[i : i + step]].astype(np.float64), places, factor)
+        # rows are numbered by their least id; of copies the k+1 smallest ids suffice
+        copies = np.minimum(starts[row + 1] - starts[row], k + 1)
+        expand = np.repeat(np.arange(len(row)), copies)
+        within = np.arange(len(expand)) - np.repeat(np.cumsum(copies) - copies, copies)
+        found = ids[starts[row[expand]] + within]
+        who, score = who[expand], score[expand]
+        other = found != asking[who]
+        who, found, score = who[other], found[other], score[other]
+        order = np.lexsort((found, -score, who))
+        who, found, score = who[order], found[order], score[order]
+        first = np.arange(len(who)) - np.searchsorted(who, who) < k
+        out.append((asking[who[first]], found[first], score[first]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def usable(vector: Column) -> Column:
@@ -172,12 +265,15 @@ def nearest(
     vectors: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each query row of ``vectors`` (vec_id, embedding)."""
+    # floats travel as they are: they take half the room, and doubles of them are the same numbers
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("_asks")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("_asks")
     ).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    numbers = rows.agg(F.count(F.lit(1)), F.count_if("_asks")).first()
-    shards, blocks = max(1, math.ceil(numbers[0] / shard_rows)), max(1, math.ceil(numbers[1] / block_queries))
     size = F.size("v").alias("size")
+    n, asks, numbers, asked_numbers = rows.agg(F.count(F.lit(1)), F.count_if("_asks"), F.sum(F.size("v")), F.sum(F.when(F.col("_asks"), F.size("v")))).first()
+    shards = max(1, math.ceil(n / shard_rows), math.ceil((numbers or 0) / GROUP_NUMBERS), min(SHARDS, n // FEW_ROWS))
+    blocks = max(1, math.ceil(asks / block_queries), math.ceil((asked_numbers or 0) / GROUP_NUMBERS))
     own = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
     block = F.pmod(F.xxhash64(F.col("vec_id") + 1), F.lit(blocks)).cast("int").alias("block")
     sides = [
@@ -189,14 +285,15 @@ def nearest(
     def work(shard: pa.Table, asked: pa.Table) -> pa.Table:
         if not shard.num_rows or not asked.num_rows:
             return out.empty_table()
-        # in the order of the ids, so that a task that runs again gives the same rows
-        asked, shard = asked.sort_by("vec_id"), shard.sort_by("vec_id")
         ids, query_ids = (t.column("vec_id").to_numpy() for t in (shard, asked))
         found = best_in_shard(ids, _matrix(shard.column("v")), query_ids, _matrix(asked.column("v")), k, factor)
         return pa.table(list(found), schema=out)
 
     keys = ["size", "shard", "block"]
-    found = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(work, "query_id long, vec_id long, score double")
+    # groups are few and large: with more partitions than groups, few tasks get two
+    parts = min(2 * shards * blocks, 10_000)
+    left, right = (side.repartition(parts, *keys).groupBy(*keys) for side in sides)
+    found = left.cogroup(right).applyInArrow(work, "query_id long, vec_id long, score double")
     top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
